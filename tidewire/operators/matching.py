@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidewire.functions.text import line_words
 from tidewire.plans.patterns import probe_key, word_probes
 from tidewire.plans.rules import SEQ, Rule, rule_terms, usable_terms
-from tidewire.plans.sizing import lookup_join
+from tidewire.plans.sizing import is_small, lookup_join
 from tidewire.session import durable
 
 
@@ -35,7 +35,7 @@ def match_by_columns(items: DataFrame, rules: list[Rule], scoped: bool = False)
     return rows.filter(F.col("filter_id").isNotNull())
 
 
-def word_hits(tokens: DataFrame, patterns: DataFrame) -> DataFrame:
+def word_hits(tokens: DataFrame, patterns: DataFrame, patterns_fit: bool) -> DataFrame:
     """``(word, regex, n)``: vocabulary words matching each regex, with their token counts.
 
     A pattern is looked up under a single probe key, a word answers to several, and only the
@@ -45,7 +45,8 @@ def word_hits(tokens: DataFrame, patterns: DataFrame) -> DataFrame:
     vocabulary = tokens.groupBy("word").agg(F.count("*").alias("n"))
     probed = vocabulary.select("word", "n", F.explode(word_probes(F.col("word"))).alias("probe"))
     lookup = patterns.select("regex", probe_key(F.col("probe")).alias("probe"))
-    return lookup_join(probed, lookup, "probe").filter(F.expr("word rlike regex")).select("word", "regex", "n")
+    met = lookup_join(probed, lookup, "probe", small_fits=patterns_fit)
+    return met.filter(F.expr("word rlike regex")).select("word", "regex", "n")
 
 
 def sequence_table(terms: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -62,51 +63,55 @@ def sequence_table(terms: DataFrame) -> tuple[DataFrame, DataFrame]:
     return parts, places.join(sizes, ["filter_id", "conj_id"])
 
 
-def sequence_hits(items: DataFrame, parts: DataFrame) -> DataFrame:
-    """``(item_id, seq_key)``: which item holds which sequence.
+def sequence_hits(items: DataFrame, parts: DataFrame, parts_fit: bool) -> DataFrame:
+    """``(item_id, seq_key)``: which item holds which sequence; partitioned by item.
 
     Every sequence is started from the pattern with the fewest matching tokens; a sequence with
-    a pattern no word matches is never started.
+    a pattern no word matches is never started. The titles are read twice, once for the
+    vocabulary and once for the places of its matching words, which are written down.
     """
     tokens = items.select("item_id", F.posexplode(line_words(F.col("line"))).alias("pos", "word"))
-    hits = durable(word_hits(tokens, parts.groupBy("regex").agg(F.min("probe").alias("probe"))))
+    patterns = parts.groupBy("regex").agg(F.min("probe").alias("probe"))
+    hits = durable(word_hits(tokens, patterns, parts_fit))
     per_regex = hits.groupBy("regex").agg(F.sum("n").alias("n"))
     ranked = parts.join(per_regex, "regex").groupBy("seq_key", "len").agg(
         F.count("*").alias("_alive"), F.min(F.struct("n", "pos", "regex")).alias("_rarest"))
-    starts = durable(
-        ranked.filter("_alive = len").select("seq_key", "len", F.col("_rarest.pos").alias("at"), F.col("_rarest.regex").alias("regex"))
-    )
+    starts = ranked.filter("_alive = len").select(
+        "seq_key", "len", F.col("_rarest.pos").alias("first"), F.col("_rarest.regex").alias("regex"))
     live = parts.join(starts.select("seq_key"), "seq_key", "left_semi")
     wanted = hits.join(live.select("regex").distinct(), "regex", "left_semi").select("word", "regex")
-    found = lookup_join(tokens, wanted, "word").select("item_id", "pos", "regex")
+    found = durable(lookup_join(tokens, wanted, "word", small_fits=is_small(hits)).select("item_id", "pos", "regex"))
 
-    begun = lookup_join(found, starts, "regex").select(
-        "item_id", "seq_key", "len", "at", (F.col("pos") - F.col("at")).alias("start"))
+    begun = lookup_join(found, starts, "regex", small_fits=parts_fit).select(
+        "item_id", "seq_key", "len", "first", (F.col("pos") - F.col("first")).alias("start"))
     single = begun.filter("len = 1").select("item_id", "seq_key")
-    open_ends = begun.filter("len > 1 and start >= 0")
-    others = lookup_join(open_ends, live.select("seq_key", F.col("pos").alias("k"), "regex"), "seq_key").filter("k <> at")
-    checks = others.select("item_id", (F.col("start") + F.col("k")).alias("pos"), "regex", "seq_key", "start", "len")
+    rest = live.select("seq_key", F.col("pos").alias("k"), "regex")
+    open_ends = lookup_join(begun.filter("len > 1 and start >= 0"), rest, "seq_key", small_fits=parts_fit).filter("k <> first")
+    checks = open_ends.select("item_id", (F.col("start") + F.col("k")).alias("pos"), "regex", "seq_key", "start", "len")
     whole = (
         checks.join(found, ["item_id", "pos", "regex"], "left_semi")
         .groupBy("item_id", "seq_key", "start", "len").agg(F.count("*").alias("_ok"))
         .filter("_ok = len - 1").select("item_id", "seq_key")
     )
-    return single.unionByName(whole).distinct()
+    # one shuffle by item serves this distinct and the counts and distincts that follow
+    return single.unionByName(whole).repartition("item_id").distinct()
 
 
-def conj_hits(seq_hits: DataFrame, places: DataFrame) -> DataFrame:
+def conj_hits(seq_hits: DataFrame, places: DataFrame, places_fit: bool) -> DataFrame:
     """All-of by counting: ``(item_id, filter_id, conj_id)`` with every distinct sequence found."""
     return (
-        lookup_join(seq_hits, places, "seq_key")
-        .groupBy("item_id", "filter_id", "conj_id", "size").agg(F.count_distinct("seq_key").alias("found"))
+        lookup_join(seq_hits, places, "seq_key", small_fits=places_fit)
+        .groupBy("item_id", "filter_id", "conj_id", "size").agg(F.count("*").alias("found"))
         .filter("found = size")
     )
 
 
 def conj_by_count(items: DataFrame, filters: DataFrame) -> DataFrame:
     """Satisfied alternatives per item, with the number of sequences they hold."""
-    parts, places = sequence_table(durable(usable_terms(rule_terms(filters))))
-    return conj_hits(sequence_hits(items, durable(parts)), places)
+    terms = durable(usable_terms(rule_terms(filters)))
+    fit = is_small(terms)  # every table made of terms is no larger
+    parts, places = sequence_table(terms)
+    return conj_hits(sequence_hits(items, parts, fit), places, fit)
 
 
 def match_by_vocabulary(items: DataFrame, filters: DataFrame) -> DataFrame:

@@ -64,12 +64,6 @@ def usable_terms(terms: DataFrame) -> DataFrame:
     return translated.join(broken, "filter_id", "left_anti")
 
 
-def rule_seqs(terms: DataFrame) -> DataFrame:
-    """One row per sequence: its patterns in order."""
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "pattern")))
-    return terms.groupBy(*SEQ).agg(F.transform(ordered, lambda t: t["pattern"]).alias("patterns"))
-
-
 def rule_lint(filters: DataFrame) -> DataFrame:
     """Problems of rules as ``(filter_id, code, seq)``, ``seq`` the offending sequence text.
 
@@ -79,15 +73,13 @@ def rule_lint(filters: DataFrame) -> DataFrame:
     "Earlier" is by alternatives without ``&`` first, then by their length in bytes. Beginnings
     are found by an equi-join on the cut-off sequence, not by comparing all pairs.
     """
-    terms = rule_terms(filters)
-    alternatives = filters.select("filter_id", F.posexplode(split_trim("cond", ";")).alias("conj_id", "_text")).select(
+    alternatives = filters.select(
+        "filter_id", F.posexplode(F.arrays_zip(split_trim("cond", ";").alias("text"), cond_tree("cond").alias("seqs"))).alias("conj_id", "_conj"))
+    placed = alternatives.select(
         "filter_id", "conj_id",
-        F.struct(F.col("_text").contains("&").alias("a"), F.octet_length("_text").alias("b"), F.col("conj_id").alias("c")).alias("_rank"),
-    )
-    seqs = rule_seqs(terms).select(*SEQ, "patterns", F.array_join("patterns", " ").alias("seq"))
-    sizes = seqs.groupBy("filter_id", "conj_id").agg(F.count("*").alias("_size"))
-    placed = seqs.join(alternatives, ["filter_id", "conj_id"]).join(sizes, ["filter_id", "conj_id"])
-
+        F.struct(F.col("_conj.text").contains("&").alias("a"), F.octet_length("_conj.text").alias("b"), F.col("conj_id").alias("c")).alias("_rank"),
+        F.size("_conj.seqs").alias("_size"), F.posexplode("_conj.seqs").alias("seq_id", "patterns"),
+    ).withColumn("seq", F.array_join("patterns", " "))
     distinct = placed.groupBy("filter_id", "seq").agg(
         F.min(F.struct("_rank", "seq_id")).alias("_first"),
         F.first("patterns").alias("patterns"),
@@ -109,10 +101,10 @@ def rule_lint(filters: DataFrame) -> DataFrame:
     always = distinct.filter((F.col("_least") == 1) & (F.col("_most") > 1)).select(
         "filter_id", F.lit("ALWAYS_TRUE_CONJ").alias("code"), "seq")
     repeated = (
-        seqs.groupBy("filter_id", "conj_id", "seq").agg(F.count("*").alias("_n")).filter("_n > 1")
+        placed.groupBy("filter_id", "conj_id", "seq").agg(F.count("*").alias("_n")).filter("_n > 1")
         .select("filter_id", F.lit("REPEATED_IN_CONJ").alias("code"), "seq")
     )
-    bad = translated_terms(terms).filter(F.col("regex").isNull()).select(
+    bad = translated_terms(rule_terms(filters)).filter(F.col("regex").isNull()).select(
         "filter_id", F.lit("BAD_PATTERN").alias("code"), F.col("pattern").alias("seq"))
     return nested.unionByName(always).unionByName(repeated).unionByName(bad).distinct()
 

@@ -72,6 +72,17 @@ def page_items(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def headlines(spark: SparkSession, folder: str) -> DataFrame:
+    """Every sentence of every document as a headline of its own, blank ones included."""
+    return spread(table(spark, folder, "documents").select("doc_id", "text")).select(
+        "doc_id", F.posexplode(F.split("text", r"[.\n]")).alias("part", "title"))
+
+
+def pulls(spark: SparkSession, folder: str) -> DataFrame:
+    """``events`` as a log of requests: who, when."""
+    return spread(table(spark, folder, "events").select("user_id", "ts", F.col("event_id").alias("id")))
+
+
 def valid_items(items: DataFrame) -> DataFrame:
     """Items need a title."""
     return items.filter(~is_blank("title"))
