@@ -98,7 +98,7 @@ FOUND = rf"""{TERMS}, {TITLES},
   tokens AS (SELECT item_id, unnest(range(len(words))) AS place, unnest(words) AS word FROM titles),
   regexes AS (SELECT DISTINCT pattern, lower(pattern) AS low, '^' || regexp_replace(pattern, '(\p{{Ll}}[^\p{{Lu}}]*)', '(?i:\1)', 'g') AS regex FROM terms),
   hits AS (SELECT word, pattern FROM (SELECT DISTINCT word, lower(word) AS lw FROM tokens) JOIN regexes
-           ON starts_with(lw, low) WHERE regexp_matches(word, regex)),
+           ON left(lw, 1) = left(low, 1) AND starts_with(lw, low) WHERE regexp_matches(word, regex)),
   occurrences AS (SELECT item_id, place, pattern FROM tokens JOIN hits USING (word)),
   whole AS (SELECT DISTINCT item_id, filter_id, conj_id, array_to_string(patterns, ' ') AS seq FROM (
       SELECT o.item_id, t.filter_id, t.conj_id, t.seq_id, o.place - t.pos AS start, count(*) AS n

@@ -132,6 +132,7 @@ def _dedup_chunks(items: DataFrame, group: str, key: str, order: list[str], capa
     def run(starts: DataFrame, function, schema) -> DataFrame:
         rows = pinned if schema is pinned.schema else pinned.select(*dict.fromkeys([*at, key, *order]))
         rows = lookup_join(rows, starts.select(*at), at, "left_semi")
+        starts = starts.select(*[F.col(c).alias(c) for c in starts.columns])  # columns apart from those of rows
         return rows.groupBy(*at).cogroup(starts.groupBy(*at)).applyInPandas(function, schema)
 
     empty = F.array().cast("array<string>")

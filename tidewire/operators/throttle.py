@@ -31,16 +31,17 @@ def throttle(rows: DataFrame, key: str, cooldown: timedelta | Column, ts: str =
         if cooldown <= timedelta(0):
             raise ValueError("cooldown must be positive")
         cooldown = F.lit(cooldown)
-    timed = rows.withColumn("_cool", cooldown)
-    hot = durable(rows.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows).select(key))
+    # inside a struct a missing key is a key like any other to the joins below
+    timed = rows.withColumn("_cool", cooldown).withColumn("_key", F.struct(key))
+    hot = durable(timed.groupBy("_key").agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows).select("_key"))
     none_hot = hot.isEmpty()
-    calm = timed if none_hot else lookup_join(timed, hot, key, "left_anti")
+    calm = (timed if none_hot else lookup_join(timed, hot, "_key", "left_anti")).drop("_key")
     ordered = calm.repartition(key).sortWithinPartitions(key, ts, tie)
     kept = ordered.mapInArrow(_cooldown_stream(key, ts), ordered.schema).drop("_cool")
     if none_hot:
         return kept
-    hot_rows_ = lookup_join(timed, hot, key, "left_semi")
-    return kept.unionByName(_hot_kept(hot_rows_, key, ts, tie, cell_rows).drop("_cool"))
+    burning = lookup_join(timed, hot, "_key", "left_semi")
+    return kept.unionByName(_hot_kept(burning, "_key", ts, tie, cell_rows).drop("_key", "_cool"))
 
 
 def throttle_then_mute(rows: DataFrame, key: str, cooldown: timedelta | Column, begin: int | None, end: int | None,

@@ -120,7 +120,7 @@ class Rule:
     def matches(self, line: Column) -> Column:
         """Does the token line satisfy the condition? Single sequences are tried before all-ofs."""
         tests = []
-        for seqs in sorted(self.conjs, key=len):
+        for seqs in sorted(filter(None, self.conjs), key=len):
             distinct = dict.fromkeys(map(tuple, seqs))
             tests.append(reduce(lambda a, b: a & b, [sequence_matches(list(s), line) for s in distinct]))
         return reduce(lambda a, b: a | b, tests) if tests else F.lit(False)
