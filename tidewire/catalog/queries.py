@@ -275,7 +275,7 @@ def config_check(spark, folder):
     sources = subs.document_sources(spark, folder)
     # a second row for some sources, one without a name and one without links
     spoiled = sources.unionByName(sources.filter(F.col("name").endswith(".src7"))).unionByName(
-        sources.filter("name = 'en.src1'").withColumn("name", F.lit(" ")).withColumn("links", F.array().cast("array<string>")))
+        sources.filter("name = 'en.src1'").withColumn("name", F.regexp_replace("name", ".+", " ")).withColumn("links", F.array().cast("array<string>")))
     return dimensions.config_check(spoiled, subs.watch_filters(spark, folder).filter(F.size("sources") > 0), subs.supplier_pubs(spark, folder))
 
 

@@ -14,6 +14,7 @@ from tidewire.operators.dimensions import filter_pubs
 from tidewire.operators.matching import match_by_columns, match_by_vocabulary, match_column
 from tidewire.plans.rules import Rule, compile_rules
 from tidewire.plans.sizing import lookup_join
+from tidewire.session import durable
 from tidewire.sources.tables import once, prepared, with_key
 
 # Fixed value: slots of a publisher's channel.
@@ -134,19 +135,23 @@ def delivery_cap(routed: DataFrame, cap: int = CHANNEL_SLOTS) -> DataFrame:
 
     Only the boundary row of an overfull (publisher, hour) is looked for: salted ranks keep at
     most ``cap`` rows per salt before the final rank, so no task sees a whole hot publisher. The
-    boundaries, few, are then looked up by every row.
+    boundaries are then looked up by every row. The routed rows are read twice for that, so they
+    are written down first.
     """
-    hour = F.date_trunc("hour", F.col("published"))
-    timed = routed.withColumn("_hour", hour)
-    order = F.struct(F.col("published").alias("p"), F.col("item_id").alias("i"))
-    slots = timed.select("pub", "_hour", order.alias("_at"), F.pmod(F.xxhash64("item_id"), F.lit(CAP_SALTS)).alias("_salt"))
-    salted = Window.partitionBy("pub", "_hour", "_salt").orderBy("_at")
-    whole = Window.partitionBy("pub", "_hour").orderBy("_at")
+    routed = durable(routed)
+    # in a struct, rows without a time share a slot like any other
+    timed = routed.withColumn("_slot", F.struct("pub", F.date_trunc("hour", F.col("published")).alias("hour")))
+    if cap <= 0:
+        return timed.withColumn("event", F.lit("pub_full")).drop("_slot")
+    place = F.struct(F.col("published").alias("p"), F.col("item_id").alias("i"))
+    slots = timed.select("_slot", place.alias("_at"), F.pmod(F.xxhash64("item_id"), F.lit(CAP_SALTS)).alias("_salt"))
+    salted = Window.partitionBy("_slot", "_salt").orderBy("_at")
+    whole = Window.partitionBy("_slot").orderBy("_at")
     heads = slots.withColumn("_r", F.row_number().over(salted)).filter(F.col("_r") <= cap)
-    last = heads.withColumn("_r", F.row_number().over(whole)).filter(F.col("_r") == cap).select("pub", "_hour", F.col("_at").alias("_last"))
-    marked = timed.join(last, ["pub", "_hour"], "left") if cap > 0 else timed.withColumn("_last", F.lit(None))
-    full = F.lit(cap <= 0) | F.coalesce(order > F.col("_last"), F.lit(False))
-    return marked.withColumn("event", F.when(full, "pub_full").otherwise("pub_send")).drop("_hour", "_last")
+    last = heads.withColumn("_r", F.row_number().over(whole)).filter(F.col("_r") == cap).select("_slot", F.col("_at").alias("_last"))
+    full = F.coalesce(place > F.col("_last"), F.lit(False))
+    marked = lookup_join(timed, last, "_slot", "left").withColumn("event", F.when(full, "pub_full").otherwise("pub_send"))
+    return marked.drop("_slot", "_last")
 
 
 def outbox(routed: DataFrame, pubs: DataFrame, cap: int = CHANNEL_SLOTS) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions.render import parse_feed_time
 from tidewire.plans.sizing import lookup_join
+from tidewire.sources.tables import once
 
 # Only what an item keeps is in the schemas; descriptions are never read.
 RSS = ("item", "title string, link string, category array<string>, pubDate string, _broken string")
@@ -25,7 +26,9 @@ def _reader(source, kind: tuple[str, str]):
 
 def _items(raw: DataFrame, kind: tuple[str, str]) -> DataFrame:
     """A feed that does not parse gives no rows and does not stop the others."""
-    good = raw.filter(F.col("_broken").isNull())
+    # the reader refuses to be asked for the broken mark alone, so the row is pinned as a whole
+    pinned = raw.select(once(F.struct(*raw.columns)).alias("_row"), F.col("_metadata.file_path").alias("file"))
+    good = pinned.filter(F.col("_row._broken").isNull()).select("_row.*", "file")
     none = F.array().cast("array<string>")
     if kind is RSS:
         link, categories, time = F.col("link"), F.col("category"), parse_feed_time(F.col("pubDate"))
@@ -36,7 +39,7 @@ def _items(raw: DataFrame, kind: tuple[str, str]) -> DataFrame:
         time = parse_feed_time(F.coalesce("published", "updated"))
     return good.select(
         F.col("title"), link.alias("link"), F.coalesce(categories, none).alias("categories"), time.alias("published"),
-        F.col("_metadata.file_path").alias("file"),
+        "file",
     )
 
 
