@@ -288,20 +288,14 @@ def item_source(spark, folder):
 # --- matching and routing ----------------------------------------------------------------------
 
 
-def desk_items(spark, folder) -> DataFrame:
-    """Prepared items of the sources a desk rule names."""
-    filters = subs.desk_filters(spark)
-    return tables.prepared(routing.from_active_sources(tables.document_items(spark, folder), filters, rule_tables.compile_rules(filters)))
-
-
 @query
 def item_matches(spark, folder):
-    return routing.item_matches(desk_items(spark, folder), subs.desk_filters(spark), by_vocabulary=False)
+    return routing.active_item_matches(tables.document_items(spark, folder), subs.desk_filters(spark), by_vocabulary=False)
 
 
 @query
 def item_matches_vocab(spark, folder):
-    return routing.item_matches(desk_items(spark, folder), subs.desk_filters(spark), by_vocabulary=True)
+    return routing.active_item_matches(tables.document_items(spark, folder), subs.desk_filters(spark), by_vocabulary=True)
 
 
 @query

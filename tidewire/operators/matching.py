@@ -49,44 +49,59 @@ def word_hits(tokens: DataFrame, patterns: DataFrame, patterns_fit: bool) -> Dat
     return met.filter(F.expr("word rlike regex")).select("word", "regex", "n")
 
 
-def sequence_table(terms: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct sequences ``(seq_key, len, pos, regex, probe)`` and their places ``(seq_key, filter_id, conj_id, size)``.
+def rule_sequences(filters: DataFrame) -> DataFrame:
+    """Sequences of the usable rules: ``(filter_id, conj_id, seq_key, terms)``, ``terms`` their words in order.
 
-    Rules that share a sequence share its matching. ``size`` counts distinct sequences.
+    Equal sequences have equal keys, so rules that share a sequence share its matching.
     """
-    seqs = terms.groupBy(*SEQ).agg(F.array_sort(F.collect_list(F.struct("pos", "regex", "probe"))).alias("_terms"))
-    seqs = seqs.withColumn("seq_key", F.md5(F.to_json("_terms")))
-    parts = seqs.groupBy("seq_key").agg(F.first("_terms").alias("_terms")).select(
-        "seq_key", F.size("_terms").alias("len"), F.inline("_terms"))
-    places = seqs.select("seq_key", "filter_id", "conj_id").distinct()
-    sizes = places.groupBy("filter_id", "conj_id").agg(F.count("*").alias("size"))
-    return parts, places.join(sizes, ["filter_id", "conj_id"])
+    terms = usable_terms(rule_terms(filters))
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "regex", "probe")))
+    seqs = terms.groupBy(*SEQ).agg(ordered.alias("terms"))
+    return seqs.select("filter_id", "conj_id", F.md5(F.to_json("terms")).alias("seq_key"), "terms")
 
 
-def sequence_hits(items: DataFrame, parts: DataFrame, parts_fit: bool) -> DataFrame:
+def conj_places(seqs: DataFrame) -> DataFrame:
+    """``(seq_key, filter_id, conj_id, size)``, ``size`` the number of distinct sequences of the all-of."""
+    sets = seqs.groupBy("filter_id", "conj_id").agg(F.collect_set("seq_key").alias("_keys"))
+    return sets.select("filter_id", "conj_id", F.size("_keys").alias("size"), F.explode("_keys").alias("seq_key"))
+
+
+def sequence_starts(seqs: DataFrame, hits: DataFrame, seqs_fit: bool) -> DataFrame:
+    """``(seq_key, len, first, regex, terms)``: where to start each sequence that can match at all.
+
+    That is its pattern with the fewest matching tokens, at place ``first``. A sequence with a
+    pattern no word matches drops out.
+    """
+    per_regex = hits.groupBy("regex").agg(F.sum("n").alias("n"))
+    distinct = seqs.groupBy("seq_key").agg(F.first("terms").alias("terms"))
+    parts = distinct.select("seq_key", F.size("terms").alias("len"), F.inline("terms"))
+    counted = lookup_join(parts, per_regex, "regex", small_fits=seqs_fit)
+    return (
+        counted.groupBy("seq_key", "len")
+        .agg(F.collect_list(F.struct("pos", "regex")).alias("terms"), F.min(F.struct("n", "pos", "regex")).alias("_rarest"))
+        .filter(F.size("terms") == F.col("len"))
+        .select("seq_key", "len", F.col("_rarest.pos").alias("first"), F.col("_rarest.regex").alias("regex"), "terms")
+    )
+
+
+def sequence_hits(items: DataFrame, seqs: DataFrame, seqs_fit: bool) -> DataFrame:
     """``(item_id, seq_key)``: which item holds which sequence; partitioned by item.
 
-    Every sequence is started from the pattern with the fewest matching tokens; a sequence with
-    a pattern no word matches is never started. The titles are read twice, once for the
-    vocabulary and once for the places of its matching words, which are written down.
+    The titles are read twice, once for the vocabulary and once for the places of its matching
+    words, which are written down.
     """
     tokens = items.select("item_id", F.posexplode(line_words(F.col("line"))).alias("pos", "word"))
-    patterns = parts.groupBy("regex").agg(F.min("probe").alias("probe"))
-    hits = durable(word_hits(tokens, patterns, parts_fit))
-    per_regex = hits.groupBy("regex").agg(F.sum("n").alias("n"))
-    ranked = parts.join(per_regex, "regex").groupBy("seq_key", "len").agg(
-        F.count("*").alias("_alive"), F.min(F.struct("n", "pos", "regex")).alias("_rarest"))
-    starts = ranked.filter("_alive = len").select(
-        "seq_key", "len", F.col("_rarest.pos").alias("first"), F.col("_rarest.regex").alias("regex"))
-    live = parts.join(starts.select("seq_key"), "seq_key", "left_semi")
-    wanted = hits.join(live.select("regex").distinct(), "regex", "left_semi").select("word", "regex")
+    patterns = seqs.select(F.inline("terms")).groupBy("regex").agg(F.min("probe").alias("probe"))
+    hits = durable(word_hits(tokens, patterns, seqs_fit))
+    starts = durable(sequence_starts(seqs, hits, seqs_fit))
+    live = starts.select("seq_key", F.inline("terms")).withColumnRenamed("pos", "k")
+    wanted = lookup_join(hits, live.select("regex"), "regex", "left_semi", small_fits=seqs_fit).select("word", "regex")
     found = durable(lookup_join(tokens, wanted, "word", small_fits=is_small(hits)).select("item_id", "pos", "regex"))
 
-    begun = lookup_join(found, starts, "regex", small_fits=parts_fit).select(
+    begun = lookup_join(found, starts.drop("terms"), "regex", small_fits=seqs_fit).select(
         "item_id", "seq_key", "len", "first", (F.col("pos") - F.col("first")).alias("start"))
     single = begun.filter("len = 1").select("item_id", "seq_key")
-    rest = live.select("seq_key", F.col("pos").alias("k"), "regex")
-    open_ends = lookup_join(begun.filter("len > 1 and start >= 0"), rest, "seq_key", small_fits=parts_fit).filter("k <> first")
+    open_ends = lookup_join(begun.filter("len > 1 and start >= 0"), live, "seq_key", small_fits=seqs_fit).filter("k <> first")
     checks = open_ends.select("item_id", (F.col("start") + F.col("k")).alias("pos"), "regex", "seq_key", "start", "len")
     whole = (
         checks.join(found, ["item_id", "pos", "regex"], "left_semi")
@@ -108,10 +123,10 @@ def conj_hits(seq_hits: DataFrame, places: DataFrame, places_fit: bool) -> DataF
 
 def conj_by_count(items: DataFrame, filters: DataFrame) -> DataFrame:
     """Satisfied alternatives per item, with the number of sequences they hold."""
-    terms = durable(usable_terms(rule_terms(filters)))
-    fit = is_small(terms)  # every table made of terms is no larger
-    parts, places = sequence_table(terms)
-    return conj_hits(sequence_hits(items, parts, fit), places, fit)
+    seqs = durable(rule_sequences(filters))
+    # every rule-side table is made of these rows, none has more than they have terms
+    fit = is_small(seqs.select(F.explode("terms")))
+    return conj_hits(sequence_hits(items, seqs, fit), conj_places(seqs), fit)
 
 
 def match_by_vocabulary(items: DataFrame, filters: DataFrame) -> DataFrame:

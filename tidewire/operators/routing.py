@@ -60,10 +60,12 @@ def scoped_pairs(items: DataFrame, filters: DataFrame) -> DataFrame:
     return names.join(globs, "_glob").select("src", "filter_id").distinct()
 
 
-def item_matches(items: DataFrame, filters: DataFrame, scoped: bool = False, by_vocabulary: bool | None = None) -> DataFrame:
+def item_matches(items: DataFrame, filters: DataFrame, scoped: bool = False, by_vocabulary: bool | None = None,
+                 rules: list[Rule] | None = None) -> DataFrame:
     """``(item_id, filter_id)`` over items with a token line, by columns when the rules are few."""
-    rules = None if by_vocabulary else compile_rules(filters)
-    if rules is not None:
+    if rules is None and not by_vocabulary:
+        rules = compile_rules(filters)
+    if rules is not None and not by_vocabulary:
         return match_by_columns(items, rules, scoped).select("item_id", "filter_id")
     if by_vocabulary is False:
         raise ValueError("too many rules for columns")
@@ -74,6 +76,13 @@ def item_matches(items: DataFrame, filters: DataFrame, scoped: bool = False, by_
     return lookup_join(placed, scoped_pairs(items, filters), ["src", "filter_id"], "left_semi").select("item_id", "filter_id")
 
 
+def active_item_matches(items: DataFrame, filters: DataFrame, scoped: bool = False, by_vocabulary: bool | None = None) -> DataFrame:
+    """:func:`item_matches` over raw items, of active sources only."""
+    rules = compile_rules(filters)
+    active = prepared(from_active_sources(items, filters, rules))
+    return item_matches(active, filters, scoped, by_vocabulary, rules)
+
+
 def matched_items(items: DataFrame, filters: DataFrame, scoped: bool = False) -> DataFrame:
     """Items of active sources with at least one satisfied filter, ``filter_ids`` the satisfied ones."""
     rules = compile_rules(filters)

@@ -140,9 +140,17 @@ def compiles(regex_column: Column) -> Column:
     return F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), regex_column).isNotNull()
 
 
+# Letters that plain lower-casing does not bring to the form case-free matching compares by.
+_FOLDS = {"İ": "i"} | {
+    c: c.upper().lower()
+    for c in map(chr, range(0x80, 0x10000))
+    if len(c.upper()) == 1 and len(c.upper().lower()) == 1 and c.upper().lower() != c.lower()
+}
+
+
 def fold(text: Column) -> Column:
     """Case folding that makes any two texts equal that case-free matching treats as equal."""
-    return F.lower(F.upper(F.lower(F.translate(text, "İı", "ii"))))
+    return F.lower(F.translate(text, "".join(_FOLDS), "".join(_FOLDS.values())))
 
 
 def word_probes(word: Column) -> Column:
