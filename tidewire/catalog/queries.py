@@ -39,13 +39,13 @@ def joined(column: Column | str) -> Column:
 
 def titles(spark: SparkSession, folder: str) -> DataFrame:
     """All document titles with their token line."""
-    rows = tables.spread(tables.document_titles(tables.table(spark, folder, "documents")))
+    rows = tables.titled_documents(spark, folder)
     return rows.select("*", tables.once(text.token_line("title")).alias("line"))
 
 
 def whole_texts(spark: SparkSession, folder: str) -> DataFrame:
     """All document texts with the token line of the whole text."""
-    rows = tables.spread(tables.table(spark, folder, "documents").select("doc_id", "text"))
+    rows = tables.spread(tables.table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
     return rows.select("*", tables.once(text.token_line("text")).alias("line"))
 
 
@@ -54,8 +54,8 @@ def title_words(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def desk_routes(spark: SparkSession, folder: str, scoped: bool = False) -> DataFrame:
-    return routing.route_items(
-        tables.document_items(spark, folder), subs.desk_filters(spark), subs.desk_pubs(spark), scoped)
+    return routing.route_items(tables.titled_documents(spark, folder), subs.desk_filters(spark), subs.desk_pubs(spark),
+                               scoped, tables.document_stamps(spark, folder))
 
 
 # --- scans ---------------------------------------------------------------------------------
@@ -131,7 +131,7 @@ def is_blank(spark, folder):
 
 @query
 def split_trim(spark, folder):
-    rows = tables.spread(tables.table(spark, folder, "documents").select("doc_id", "text"))
+    rows = tables.spread(tables.table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
     return rows.select("doc_id", tables.once(text.split_trim("text", ",")).alias("parts")).select(
         "doc_id", F.size("parts").alias("n_parts"), F.md5(joined("parts")).alias("digest"))
 
@@ -290,12 +290,12 @@ def item_source(spark, folder):
 
 @query
 def item_matches(spark, folder):
-    return routing.active_item_matches(tables.document_items(spark, folder), subs.desk_filters(spark), by_vocabulary=False)
+    return routing.active_item_matches(tables.titled_documents(spark, folder), subs.desk_filters(spark), by_vocabulary=False)
 
 
 @query
 def item_matches_vocab(spark, folder):
-    return routing.active_item_matches(tables.document_items(spark, folder), subs.desk_filters(spark), by_vocabulary=True)
+    return routing.active_item_matches(tables.titled_documents(spark, folder), subs.desk_filters(spark), by_vocabulary=True)
 
 
 @query
@@ -306,7 +306,7 @@ def watch_matches(spark, folder):
 
 @query
 def matched_items(spark, folder):
-    return routing.matched_items(tables.document_items(spark, folder), subs.desk_filters(spark)).select("item_id")
+    return routing.matched_items(tables.titled_documents(spark, folder), subs.desk_filters(spark)).select("item_id")
 
 
 @query
@@ -354,7 +354,7 @@ def render_message(spark, folder):
 
 @query
 def url_escape(spark, folder):
-    rows = tables.spread(tables.table(spark, folder, "documents").select("doc_id", "text"))
+    rows = tables.spread(tables.table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
     return rows.select("doc_id", render.query_escape(F.col("text")).alias("escaped"))
 
 

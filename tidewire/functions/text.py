@@ -18,7 +18,6 @@ SPACE = r"\s\x{85}\p{Z}"
 # cost stays linear on long rows of punctuation.
 _WORD_END = rf"\p{{P}}(?<!\p{{P}}\p{{P}})\p{{P}}*+(?=[{SPACE}]|\z)"
 _BETWEEN = rf"[{SPACE}][{SPACE}\p{{P}}]*+"
-_OUTER = r"\A[\n\p{P}]++|\n\z"
 _TRIM = rf"\A[{SPACE}]++|(?<![{SPACE}])[{SPACE}]++\z"
 
 EMPTY_KEY = "0" * 32
@@ -27,7 +26,9 @@ EMPTY_KEY = "0" * 32
 def token_line(text: Column | str) -> Column:
     """The words of ``text`` joined by newlines; empty when there are none, null for null."""
     text = F.col(text) if isinstance(text, str) else text
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, _WORD_END, ""), _BETWEEN, "\n"), _OUTER, "")
+    # the blank in front lets the first word shed its punctuation like any other
+    ends = F.regexp_replace(F.concat(F.lit(" "), text), _WORD_END, "")
+    return F.trim(F.regexp_replace(ends, _BETWEEN, "\n"), F.lit("\n"))
 
 
 def line_words(line: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -73,14 +74,20 @@ def dedup_fifo(items: DataFrame, group: str, capacity: int = CAPACITY, key: str
     )
     ways = {r._way for r in sizes.select("_way").distinct().collect()}
     tagged = lookup_join(items, sizes, group)
-    rows = {way: tagged.filter(F.col("_way") == way).drop("_way") for way in ("first", "stream", "chunks")}
-    kept = dedup_first(rows["first"], (group, key), order)
-    if "stream" in ways:
-        ordered = rows["stream"].repartition(group).sortWithinPartitions(group, *order)
-        kept = kept.unionByName(ordered.mapInArrow(_fifo_stream(group, key, capacity), ordered.schema))
-    if "chunks" in ways:
-        kept = kept.unionByName(_dedup_chunks(rows["chunks"], group, key, order, capacity, chunk_rows))
-    return kept
+    if len(ways) > 1:
+        tagged = durable(tagged)  # read once per way
+    kept = []
+    for way in sorted(ways):
+        rows = tagged.filter(F.col("_way") == way).drop("_way")
+        if way == "first":
+            rows = dedup_first(rows, (group, key), order)
+        elif way == "stream":
+            ordered = rows.repartition(group).sortWithinPartitions(group, *order)
+            rows = ordered.mapInArrow(_fifo_stream(group, key, capacity), ordered.schema)
+        else:
+            rows = _dedup_chunks(rows, group, key, order, capacity, chunk_rows)
+        kept.append(rows.select(*items.columns))
+    return reduce(DataFrame.unionByName, kept) if kept else items
 
 
 def _fifo_stream(group: str, key: str, capacity: int):

@@ -95,9 +95,16 @@ def matched_items(items: DataFrame, filters: DataFrame, scoped: bool = False) ->
     return items.join(sets, "item_id")
 
 
-def survivors(items: DataFrame, filters: DataFrame, scoped: bool = False) -> DataFrame:
-    """Matched items, first of each title; only matched items count as seen."""
-    return dedup_first(with_key(matched_items(items, filters, scoped)))
+def survivors(items: DataFrame, filters: DataFrame, scoped: bool = False, details: DataFrame | None = None) -> DataFrame:
+    """Matched items, first of each title; only matched items count as seen.
+
+    ``details`` holds more item columns by ``item_id``, such as ``published``. They are joined
+    to the matches only, so unmatched titles never cross the network.
+    """
+    found = matched_items(items, filters, scoped)
+    if details is not None:
+        found = found.join(details, "item_id")
+    return dedup_first(with_key(found))
 
 
 def routes(kept: DataFrame, filters: DataFrame, pubs: DataFrame) -> DataFrame:
@@ -106,6 +113,7 @@ def routes(kept: DataFrame, filters: DataFrame, pubs: DataFrame) -> DataFrame:
     While the resolved publishers are few they go into the plan as a map and no shuffle is
     needed; otherwise (filter, publisher) pairs are joined and made distinct per item.
     """
+    kept = kept.drop("line")
     pairs = filter_pubs(pubs, filters)
     few = pairs.limit(MAX_PLAN_PAIRS + 1).collect()
     if len(few) <= MAX_PLAN_PAIRS:
@@ -122,9 +130,10 @@ def routes(kept: DataFrame, filters: DataFrame, pubs: DataFrame) -> DataFrame:
     return lookup_join(each, pairs, "filter_id").drop("filter_id").dropDuplicates(["item_id", "pub"])
 
 
-def route_items(items: DataFrame, filters: DataFrame, pubs: DataFrame, scoped: bool = False) -> DataFrame:
+def route_items(items: DataFrame, filters: DataFrame, pubs: DataFrame, scoped: bool = False,
+                details: DataFrame | None = None) -> DataFrame:
     """The whole way: active sources, match, first of each title, publishers of each survivor."""
-    return routes(survivors(items, filters, scoped), filters, pubs)
+    return routes(survivors(items, filters, scoped, details), filters, pubs)
 
 
 def item_pub_sets(routed: DataFrame) -> DataFrame:

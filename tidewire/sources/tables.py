@@ -19,10 +19,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on an input of a few large row groups; an input with splits enough stays as it is."""
+def spread(df: DataFrame, by: str) -> DataFrame:
+    """Use all cores on an input of a few large row groups; an input with splits enough stays as it is.
+
+    ``by`` is a column without hot values, an id.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(3 * cores, by)
 
 
 def once(column: Column) -> Column:
@@ -49,15 +52,22 @@ def document_titles(documents: DataFrame) -> DataFrame:
     )
 
 
-def document_items(spark: SparkSession, folder: str) -> DataFrame:
-    """``documents`` joined with their ``events`` row, which gives category and time."""
-    titles = spread(document_titles(table(spark, folder, "documents")))
-    stamps = table(spark, folder, "events").select(
+def document_stamps(spark: SparkSession, folder: str) -> DataFrame:
+    """Category and time of each document, from its row in ``events``."""
+    return table(spark, folder, "events").select(
         F.col("event_id").alias("item_id"),
         F.array("event_type").alias("categories"),
         F.col("ts").alias("published"),
     )
-    return titles.join(stamps, "item_id")
+
+
+def titled_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(document_titles(table(spark, folder, "documents")), "item_id")
+
+
+def document_items(spark: SparkSession, folder: str) -> DataFrame:
+    """``documents`` as whole items."""
+    return titled_documents(spark, folder).join(document_stamps(spark, folder), "item_id")
 
 
 def page_items(spark: SparkSession, folder: str) -> DataFrame:
@@ -74,13 +84,13 @@ def page_items(spark: SparkSession, folder: str) -> DataFrame:
 
 def headlines(spark: SparkSession, folder: str) -> DataFrame:
     """Every sentence of every document as a headline of its own, blank ones included."""
-    return spread(table(spark, folder, "documents").select("doc_id", "text")).select(
+    return spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id").select(
         "doc_id", F.posexplode(F.split("text", r"[.\n]")).alias("part", "title"))
 
 
 def pulls(spark: SparkSession, folder: str) -> DataFrame:
     """``events`` as a log of requests: who, when."""
-    return spread(table(spark, folder, "events").select("user_id", "ts", F.col("event_id").alias("id")))
+    return table(spark, folder, "events").select("user_id", "ts", F.col("event_id").alias("id"))
 
 
 def valid_items(items: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from tidewire.operators.routing import MAX_PLAN_PAIRS, matched_items, routes
 from tidewire.plans.rules import compile_rules
 from tidewire.session import run_dir
 from tidewire.sources.sinks import Publisher
-from tidewire.sources.tables import document_titles, prepared, table, with_key
+from tidewire.sources.tables import document_stamps, document_titles, prepared, with_key
 
 
 def stream_table(spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -45,7 +45,7 @@ def start_route(items: DataFrame, filters: DataFrame, pubs: DataFrame, publish:
     """
     few = compile_rules(filters) is not None and filter_pubs(pubs, filters).limit(MAX_PLAN_PAIRS + 1).count() <= MAX_PLAN_PAIRS
     if few:
-        routed = routes(match_stream(items, filters, within), filters, pubs).drop("line")
+        routed = routes(match_stream(items, filters, within), filters, pubs)
         writer = routed.writeStream
         if isinstance(publish, str):
             writer = writer.format("parquet").option("path", publish).partitionBy("pub")
@@ -58,7 +58,7 @@ def start_route(items: DataFrame, filters: DataFrame, pubs: DataFrame, publish:
         first = dedup_stream(with_key(prepared(active)), within).drop("line")
 
         def match_batch(batch: DataFrame, batch_id: int) -> None:
-            found = routes(with_key(matched_items(batch.drop("key"), filters)), filters, pubs).drop("line")
+            found = routes(with_key(matched_items(batch.drop("key"), filters)), filters, pubs)
             if isinstance(publish, str):
                 found.write.mode("overwrite").partitionBy("pub").parquet(f"{publish}/batch={batch_id}")
             else:
@@ -82,7 +82,4 @@ def drain(rows: DataFrame, name: str) -> DataFrame:
 
 def document_item_stream(spark: SparkSession, folder: str) -> DataFrame:
     """``documents`` as a stream of items, category and time looked up in ``events``."""
-    titles = document_titles(stream_table(spark, folder, "documents"))
-    stamps = table(spark, folder, "events").select(
-        F.col("event_id").alias("item_id"), F.array("event_type").alias("categories"), F.col("ts").alias("published"))
-    return titles.join(stamps, "item_id")
+    return document_titles(stream_table(spark, folder, "documents")).join(document_stamps(spark, folder), "item_id")
