@@ -29,7 +29,7 @@ def stream_of(keys, src="s", start=0):
 
 def brute_fifo(rows, capacity):
     kept, seen = set(), {}
-    for item_id, src, key, published in sorted(rows, key=lambda r: (r[3], r[0])):
+    for item_id, src, key, published in sorted(rows, key=lambda r: (r[3] or datetime.min, r[0])):
         if seen.setdefault(src, KeyMemory(capacity)).keep(key):
             kept.add(item_id)
     return kept
@@ -41,6 +41,7 @@ def test_fifo(spark, chunk_rows):
     rows = stream_of([rng.choice("abcdefghij") for _ in range(700)], "hot")
     rows += stream_of([rng.choice("abcdef") for _ in range(50)], "mild", 10_000)
     rows += stream_of([rng.choice("abc") for _ in range(80)], "few", 20_000)
+    rows += [(30_000 + i, "hot", rng.choice("abcdefghij"), None) for i in range(30)]  # without a time: first of all
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, ITEMS)
     got = [r.item_id for r in dedup.dedup_fifo(df, "src", 4, chunk_rows=chunk_rows).collect()]
@@ -114,3 +115,17 @@ def test_muted_rows_spend_the_cooldown(spark):
     df = spark.createDataFrame(rows, "user long, ts timestamp_ntz, id long")
     got = throttle.throttle_then_mute(df, "user", timedelta(hours=3), 20, 5)
     assert {r.id for r in got.collect()} == {10}
+
+
+def test_task_functions_travel_with_the_job(tmp_path):
+    """Workers do not need the package on their path."""
+    import os
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    (tmp_path / "f").write_bytes(cloudpickle.dumps((KeyMemory, throttle._cooldown_stream("k", "ts"))))
+    code = "import pickle; memory, _ = pickle.load(open('f', 'rb')); assert memory(2).keep('a')"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True)

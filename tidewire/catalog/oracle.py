@@ -134,10 +134,10 @@ ORACLE: dict[str, str] = {
     "receive_counts": "SELECT lang || '.' || source AS src, count(*) AS n FROM documents GROUP BY 1",
     "parse_pubdate": "SELECT event_id, date_trunc('second', ts) - CASE WHEN event_id % 2 = 0 THEN INTERVAL 3 HOUR ELSE INTERVAL 0 HOUR END AS published FROM events",
     "tokenize": f"WITH {TITLES} SELECT item_id, array_to_string(words, '|') AS words FROM titles",
-    "tokenize_text": f"WITH {TEXTS} SELECT doc_id, len(words) AS n_words, md5(array_to_string(words, '|')) AS digest FROM texts",
+    "tokenize_text": f"WITH {TEXTS} SELECT doc_id, len(words)::INTEGER AS n_words, md5(array_to_string(words, '|')) AS digest FROM texts",
     "is_blank": f"WITH {HEADLINES} SELECT doc_id, part, {BLANK} AS blank FROM headlines",
     "split_trim": f"WITH p AS (SELECT doc_id, {split_trim('text', ',')} AS parts FROM documents) "
-                  "SELECT doc_id, len(parts) AS n_parts, md5(array_to_string(parts, '|')) AS digest FROM p",
+                  "SELECT doc_id, len(parts)::INTEGER AS n_parts, md5(array_to_string(parts, '|')) AS digest FROM p",
     "dedup_key": f"WITH {TITLES} SELECT item_id, {KEY} AS key FROM titles",
     "dedup_capacity": f"WITH {TITLES}, k AS (SELECT {KEY} AS key FROM titles) SELECT count(DISTINCT key) AS keys, count(DISTINCT key) <= 8192 AS fits FROM k",
     "set_index_of": f"WITH {TITLES} SELECT item_id, coalesce(list_position(words, 'of'), 0) - 1 AS at FROM titles",

@@ -7,8 +7,8 @@ from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,24 +123,24 @@ def _dedup_chunks(items: DataFrame, group: str, key: str, order: list[str], capa
     group_type = items.schema[group].dataType.simpleString()
     state_schema = f"{group} {group_type}, _chunk int, started array<string>, ended array<string>"
 
-    def end_state(_, rows: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        started = list(start["started"].iloc[0])
-        memory = KeyMemory(capacity, started)
-        for k in rows.sort_values(order)[key]:
+    def in_order(rows: pa.Table) -> pa.Table:
+        return rows.take(pc.sort_indices(rows, [(c, "ascending") for c in order], null_placement="at_start"))
+
+    def end_state(rows: pa.Table, start: pa.Table) -> pa.Table:
+        memory = KeyMemory(capacity, start["started"][0].as_py())
+        for k in in_order(rows)[key].to_pylist():
             memory.keep(k)
-        where = start.iloc[0]
-        return pd.DataFrame({group: [where[group]], "_chunk": [where["_chunk"]], "started": [started], "ended": [list(memory.queue)]})
+        return start.append_column("ended", pa.array([list(memory.queue)], pa.list_(pa.string())))
 
-    def survivors(_, rows: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        memory = KeyMemory(capacity, list(start["started"].iloc[0]))
-        rows = rows.sort_values(order)
-        return rows[[memory.keep(k) for k in rows[key]]]
+    def survivors(rows: pa.Table, start: pa.Table) -> pa.Table:
+        memory, rows = KeyMemory(capacity, start["started"][0].as_py()), in_order(rows)
+        return rows.filter(pa.array([memory.keep(k) for k in rows[key].to_pylist()], pa.bool_()))
 
     def run(starts: DataFrame, function, schema) -> DataFrame:
         rows = pinned if schema is pinned.schema else pinned.select(*dict.fromkeys([*at, key, *order]))
         rows = lookup_join(rows, starts.select(*at), at, "left_semi")
         starts = starts.select(*[F.col(c).alias(c) for c in starts.columns])  # columns apart from those of rows
-        return rows.groupBy(*at).cogroup(starts.groupBy(*at)).applyInPandas(function, schema)
+        return rows.groupBy(*at).cogroup(starts.groupBy(*at)).applyInArrow(function, schema)
 
     empty = F.array().cast("array<string>")
     states = durable(run(pinned.select(*at).distinct().withColumn("started", empty), end_state, state_schema))

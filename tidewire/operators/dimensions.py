@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidewire.functions.affix import affixes, glob_keys
 from tidewire.functions.text import is_blank
 from tidewire.plans.rules import rule_terms
+from tidewire.plans.sizing import lookup_join
 
 # Fixed value: the cooldown of a source that names none.
 DEFAULT_COOLDOWN = "INTERVAL '15' MINUTE"
@@ -28,7 +29,8 @@ def _glob_keys(filters: DataFrame, globs: str) -> DataFrame:
 
 def affix_pairs(names: DataFrame, filters: DataFrame, globs: str) -> DataFrame:
     """Distinct ``(name, filter_id)`` with the name matching the filter's globs."""
-    return _name_keys(names).join(_glob_keys(filters, globs), "_glob").select("name", "filter_id").distinct()
+    # "match everything" is one hot key here
+    return lookup_join(_name_keys(names), _glob_keys(filters, globs), "_glob").select("name", "filter_id").distinct()
 
 
 def _named(names: DataFrame, filters: DataFrame, globs: str) -> DataFrame:
@@ -54,10 +56,6 @@ def filter_pubs(pubs: DataFrame, filters: DataFrame) -> DataFrame:
     return affix_pairs(pubs, filters, "pubs").select("filter_id", F.col("name").alias("pub"))
 
 
-def filter_pub_sets(pubs: DataFrame, filters: DataFrame) -> DataFrame:
-    return filter_pubs(pubs, filters).groupBy("filter_id").agg(F.array_sort(F.collect_set("pub")).alias("pubs"))
-
-
 def effective_cooldown(cooldown: Column) -> Column:
     default = F.expr(DEFAULT_COOLDOWN)
     return F.when(cooldown.isNull() | (cooldown == F.expr("INTERVAL '0' SECOND")), default).otherwise(cooldown)

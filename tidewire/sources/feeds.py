@@ -66,4 +66,5 @@ def write_rss(items: DataFrame, path: str, by: list[str]) -> None:
     """Items as RSS files in one folder per value of ``by``."""
     stamp = F.concat(F.date_format("published", "dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))
     rows = items.select(*by, "title", "link", F.col("categories").alias("category"), stamp.alias("pubDate"))
-    rows.write.format("xml").option("rootTag", "channel").option("rowTag", "item").partitionBy(*by).save(path)
+    # rebalanced, a folder gets few files and a hot one is still written by many tasks
+    rows.hint("rebalance", *by).write.format("xml").option("rootTag", "channel").option("rowTag", "item").partitionBy(*by).save(path)

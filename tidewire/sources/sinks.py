@@ -10,8 +10,8 @@ Publisher = Callable[[DataFrame, int], None]
 
 
 def write_outbox(rows: DataFrame, path: str, mode: str = "append") -> None:
-    """Outbox rows in one folder per publisher."""
-    rows.write.mode(mode).partitionBy("pub").parquet(path)
+    """Outbox rows in one folder per publisher, rebalanced so that a busy publisher is written by many tasks."""
+    rows.hint("rebalance", "pub").write.mode(mode).partitionBy("pub").parquet(path)
 
 
 def outbox_publisher(path: str) -> Publisher:

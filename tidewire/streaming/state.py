@@ -34,7 +34,7 @@ class Cooldown(StatefulProcessor):
         self.due = handle.getValueState("due", T.StructType([T.StructField("at", T.LongType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values([self.ts, self.tie], ignore_index=True)
+        batch = pd.concat(list(rows)).sort_values([self.ts, self.tie], ignore_index=True, na_position="first")
         times = batch[self.ts].to_numpy("datetime64[us]").astype("int64")
         at = int(np.searchsorted(times, self.due.get()[0])) if self.due.exists() else 0
         kept, due = [], None
@@ -60,7 +60,7 @@ class RememberedKeys(StatefulProcessor):
         self.kept = handle.getValueState("kept", T.StructType([T.StructField("keys", T.ArrayType(T.StringType()))]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(self.order, ignore_index=True)
+        batch = pd.concat(list(rows)).sort_values(self.order, ignore_index=True, na_position="first")
         memory = KeyMemory(self.capacity, self.kept.get()[0] if self.kept.exists() else ())
         mask = [memory.keep(k) for k in batch[self.key]]
         self.kept.update((list(memory.queue),))
