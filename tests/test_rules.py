@@ -57,7 +57,8 @@ EXPRESSIONS = [
     ("x & x", ["x"], ["y"]),
     ("a b & c; a & dddd", ["a q dddd"], ["a c"]),
     (" ; & ", [], ["a"]),
-    (r"(\D)$ b", ["q b"], ["1 b"]),
+    (r"(\D)$ b", ["q b", "x q b"], ["1 b", "q", "", "b q"]),
+    (r"[^0-9]a; ([^x])$ b c", ["ba", "a b c"], ["1a", "x b c", "b c", "q"]),
     ("*", ["q"], ["..."]),
     ("a * c", ["a b c", "x a b c"], ["a c", "a\nc"]),
 ]

@@ -100,9 +100,10 @@ def _hot_kept(rows: DataFrame, key: str, ts: str, tie: str, cell_rows: int) -> D
     down. For a span of T that is log2(T / cooldown) joins each way, every one spread over
     (key, instant).
     """
+    at = micros(F.col(ts)) if rows.schema[ts].dataType.typeName() == "timestamp_ntz" else F.unix_micros(ts)
     instants = durable(
         rows.groupBy(key, ts).agg(F.min(tie).alias(tie), F.min(interval_micros(F.col("_cool"))).alias("_cool"))
-        .select(key, ts, tie, micros(F.col(ts)).alias("_at"), "_cool")
+        .select(key, ts, tie, at.alias("_at"), "_cool")
     )
     links = [durable(_links(instants, key, cell_rows))]
     while True:

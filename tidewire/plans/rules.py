@@ -135,11 +135,10 @@ def sequence_matches(patterns: list[str], line: Column) -> Column:
     if all(map(stays_in_word, patterns)):
         return (line != "") & line.rlike(line_regex(regexes))
     words = F.split(line, "\n")
-    size = len(regexes)
-    starts = F.sequence(F.lit(1), F.size(words) - (size - 1))
-    hit = F.exists(starts, lambda i: reduce(
-        lambda a, b: a & b, [F.element_at(words, i + k).rlike(r) for k, r in enumerate(regexes)]))
-    return (line != "") & (F.size(words) >= size) & hit
+    last_start = F.size(words) - (len(regexes) - 1)
+    rows = F.arrays_zip(*[F.slice(words, k + 1, last_start).alias(f"w{k}") for k in range(len(regexes))])
+    hit = F.exists(rows, lambda row: reduce(lambda a, b: a & b, [row[f"w{k}"].rlike(r) for k, r in enumerate(regexes)]))
+    return F.when((line != "") & (last_start > 0), hit).otherwise(False)
 
 
 def compile_rules(filters: DataFrame) -> list[Rule] | None:
