@@ -152,3 +152,18 @@ def test_too_many_rules_do_not_become_columns(spark):
 
 def test_words_of_line(spark):
     assert titled(spark, ["a b", ""]).select(line_words(F.col("line"))).collect()[1][0] == []
+
+
+def test_folding_covers_case_free_matching(spark):
+    """Letters that a case-free regex takes for each other share their index key."""
+    from tidewire.plans.patterns import fold
+
+    pairs = set()
+    for c in map(chr, range(0x41, 0x10000)):
+        if c.isalpha():
+            forms = {c.lower(), c.upper(), c.upper().lower(), c.lower().upper(), c.title(), "i", "k", "s", "σ", "μ", "å"}
+            pairs |= {(c, f) for f in forms if len(f) == 1 and f != c}
+    df = spark.createDataFrame(sorted(pairs), "a string, b string").repartition(8)
+    same = df.filter(F.expr("a rlike concat('^(?iu:', b, ')$')"))
+    assert same.count() > 1000
+    assert same.filter(fold(F.col("a")) != fold(F.col("b"))).collect() == []

@@ -211,6 +211,13 @@ ORACLE: dict[str, str] = {
     "stream_route": f"WITH {routed()} SELECT DISTINCT key, pub FROM matches JOIN filter_pubs USING (filter_id)",
     "stream_dedup": f"WITH {TITLES} SELECT DISTINCT {KEY} AS key FROM titles",
 }
+ORACLE["watch_routes"] = f"""WITH {FOUND}, {ITEMS},
+  matches AS (SELECT DISTINCT item_id, filter_id FROM conj_found),
+  keyed AS (SELECT item_id, published, {KEY} AS key FROM items JOIN titles USING (item_id)),
+  first AS (SELECT item_id FROM (SELECT item_id, row_number() OVER (PARTITION BY key ORDER BY published, item_id) AS n
+            FROM (SELECT DISTINCT item_id FROM matches) JOIN keyed USING (item_id)) WHERE n = 1),
+  resolved AS (SELECT filter_id, name AS pub FROM (SELECT s_name AS name FROM supplier), (SELECT filter_id, pubs AS globs FROM watch) WHERE {NAMED})
+SELECT DISTINCT item_id, pub FROM matches JOIN first USING (item_id) JOIN resolved USING (filter_id)"""
 ORACLE["item_matches_vocab"] = ORACLE["item_matches"]
 ORACLE["stream_throttle"] = ORACLE["throttle"]
 ORACLE["stream_dedup_fifo"] = ORACLE["dedup_fifo"]

@@ -332,6 +332,14 @@ def route_items_scoped(spark, folder):
     return desk_routes(spark, folder, scoped=True).select("item_id", "pub")
 
 
+@query
+def watch_routes(spark, folder):
+    """Routing with the rules derived from ``benchmark`` to suppliers; which way they match depends on their number."""
+    routed = routing.route_items(tables.titled_documents(spark, folder), subs.watch_filters(spark, folder),
+                                 subs.supplier_pubs(spark, folder), details=tables.document_stamps(spark, folder))
+    return routed.select("item_id", "pub")
+
+
 @query
 def item_pub_sets(spark, folder):
     return routing.item_pub_sets(desk_routes(spark, folder)).select("item_id", joined("pubs").alias("pubs"))
