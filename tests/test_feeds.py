@@ -45,7 +45,7 @@ def test_links_of_sources(spark, tmp_path):
         (tmp_path / name).mkdir(parents=True)
         (tmp_path / name / "f.xml").write_text(RSS.replace("e.org/", f"e.org/{name}/"))
     base = f"file:{tmp_path}"
-    sources = spark.createDataFrame([("A.x", [f"{base}/a/1", f"{base}/a/2"]), ("B.x", [f"{base}/b/f.xml"])], "name string, links array<string>")
+    sources = spark.createDataFrame([("A.x", [f"{base}/a/1", f"{base}/a/2"]), ("B.x", [f"{tmp_path}/b/f.xml"])], "name string, links array<string>")
     rows = feeds.of_sources(feeds.read_feeds(spark, str(tmp_path)), sources)
     counts = {r.src: r["count"] for r in rows.groupBy("src").count().collect()}
     assert counts == {"A.x": 6, "B.x": 3}

@@ -86,8 +86,7 @@ def scan_multi_link(spark, folder):
     path = run_dir(spark, "feeds")
     items = tables.document_items(spark, folder).withColumn("half", F.col("item_id") % 2)
     feeds.write_rss(items, path, ["src", "half"])
-    base = f"file:{path}" if path.startswith("/") else path
-    links = F.array(*[F.concat(F.lit(f"{base}/src="), F.col("name"), F.lit(f"/half={half}")) for half in (0, 1)])
+    links = F.array(*[F.concat(F.lit(f"{path}/src="), F.col("name"), F.lit(f"/half={half}")) for half in (0, 1)])
     sources = subs.document_sources(spark, folder).withColumn("links", links)
     return feeds.of_sources(feeds.read_feeds(spark, path), sources).select("src", "title", "link", "published")
 

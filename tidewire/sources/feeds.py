@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.functions.render import parse_feed_time
@@ -52,14 +52,22 @@ def stream_feeds(spark: SparkSession, path: str, kind: tuple[str, str] = RSS) ->
     return _items(_reader(spark.readStream, kind).load(path), kind)
 
 
+def _bare_path(uri: Column) -> Column:
+    return F.regexp_replace(uri, r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?(?=/)", "")
+
+
 def of_sources(feed_rows: DataFrame, sources: DataFrame) -> DataFrame:
     """Feed rows of the links (files or folders) each source names, with ``src``.
 
-    A row meets its source by an equi-join on its file or folder; files nobody names drop out.
+    A row meets its source by an equi-join on its file or folder, as a full URI or as a bare
+    path; files nobody names drop out.
     """
-    places = feed_rows.withColumn("_place", F.explode(F.array("file", F.regexp_extract("file", r"^(.*)/[^/]*$", 1))))
-    links = sources.select(F.col("name").alias("src"), F.explode("links").alias("_place")).distinct()
-    return lookup_join(places, links, "_place").drop("_place", "file")
+    folder = F.regexp_extract("file", r"^(.*)/[^/]*$", 1)
+    names = F.array_distinct(F.array("file", folder, _bare_path(F.col("file")), _bare_path(folder)))
+    places = feed_rows.withColumn("_place", F.explode(names))
+    links = sources.select(F.col("name").alias("src"), F.explode("links").alias("_link"))
+    local = F.when(F.col("_link").startswith("file:"), _bare_path(F.col("_link"))).otherwise(F.col("_link"))
+    return lookup_join(places, links.select("src", local.alias("_place")).distinct(), "_place").drop("_place", "file")
 
 
 def write_rss(items: DataFrame, path: str, by: list[str]) -> None:
