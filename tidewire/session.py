@@ -1,7 +1,8 @@
-"""Session defaults and reliable checkpoints."""
+"""Session defaults, and tables that jobs write on the way."""
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -29,20 +30,22 @@ def build_session(app_name: str = "tidewire", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
+@functools.cache
+def local_dir() -> str:
+    return tempfile.mkdtemp(prefix="tidewire-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; local runs without one get a temporary folder.
 
     A cluster must name a shared folder itself, a local path would be lost with its executor.
     """
-    context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured is None and context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
+    if configured is None:
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        configured = tempfile.mkdtemp(prefix="tidewire-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(configured)
-    return configured or context.getCheckpointDir()
+        configured = local_dir()
+    return configured
 
 
 def run_dir(spark: SparkSession, name: str) -> str:
@@ -50,7 +53,15 @@ def run_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint once and go on from there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def durable(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write ``df`` as Parquet under the shared folder once and go on from there.
+
+    Later reads take the columns they need and survive lost executors. The folder is removed when
+    the application ends.
+    """
+    spark = df.sparkSession
+    path = run_dir(spark, name)
+    df.write.parquet(path)
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    return spark.read.schema(df.schema).parquet(path)
