@@ -50,11 +50,14 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
     added = [t["content"] for t in described["added_tokens"]]
     ranks = {bytes(letters[c] for c in token): i for token, i in described["model"]["vocab"].items() if token not in added}
     plain = tiktoken.Encoding("plain", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
-    whole = Tokenizer.from_file(path)
+
+    @functools.cache
+    def whole() -> Tokenizer:
+        return Tokenizer.from_file(path)
 
     def encode(text: str) -> np.ndarray:
         if any(t in text for t in added):
-            ids = whole.encode(text, add_special_tokens=False).ids
+            ids = whole().encode(text, add_special_tokens=False).ids
         else:
             ids = plain.encode_ordinary(text)
         return np.frombuffer(array("I", ids), np.uint32)

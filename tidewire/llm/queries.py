@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.llm import common, packing
+from tidewire.llm import common, mixture, packing, shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -22,3 +22,15 @@ def register(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Sp
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents cut and packed into sequences of 2048 tokens."""
     return packing.pack_documents(common.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@register
+def op4_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed by source."""
+    return mixture.mix(common.documents(spark, sf_dir))
+
+
+@register
+def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents dealt to 16 shards of one mixture."""
+    return shards.shard_documents(common.documents(spark, sf_dir))
