@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.llm import common, mixture, packing, shards
+from tidewire.llm import common, merkle, mixture, packing, shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -34,3 +34,9 @@ def op4_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents dealt to 16 shards of one mixture."""
     return shards.shard_documents(common.documents(spark, sf_dir))
+
+
+@register
+def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle fingerprints of all documents, of their edited texts, and how near these and the next are."""
+    return merkle.fingerprints(common.documents(spark, sf_dir))
