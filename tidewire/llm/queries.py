@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.llm import common, merkle, mixture, packing, shards
+from tidewire.llm import common, lines, merkle, mixture, packing, quality, shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -40,3 +40,35 @@ def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merkle fingerprints of all documents, of their edited texts, and how near these and the next are."""
     return merkle.fingerprints(common.documents(spark, sf_dir))
+
+
+@register
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all documents, by trees trained on ``labels``."""
+    docs = common.documents(spark, sf_dir)
+    return quality.judge(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+@register
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without lines that many sources share."""
+    return lines.dedup_lines(common.documents(spark, sf_dir))
+
+
+ORACLE["op7_lines"] = f"""
+WITH split AS (
+  SELECT doc_id, source, u.line, u.pos
+  FROM documents, LATERAL (SELECT unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos) u),
+trimmed AS (SELECT *, trim(translate(line, chr(9) || chr(11) || chr(12) || chr(13), '    '), ' ') AS body FROM split),
+wordy AS (SELECT * FROM trimmed WHERE len(list_filter(string_split(body, ' '), x -> x <> '')) >= {lines.LEAST_WORDS}),
+shared AS (SELECT body, min(doc_id) AS owner FROM wordy GROUP BY body HAVING count(DISTINCT source) >= {lines.SITES}),
+firsts AS (SELECT w.body, w.doc_id, min(w.pos) AS first FROM wordy w JOIN shared s ON s.body = w.body AND s.owner = w.doc_id GROUP BY ALL),
+gone AS (
+  SELECT w.doc_id, w.pos FROM wordy w JOIN shared s USING (body) LEFT JOIN firsts f ON f.body = w.body AND f.doc_id = w.doc_id
+  WHERE f.first IS NULL OR w.pos > f.first)
+SELECT d.doc_id, coalesce(k.text, CASE WHEN d.text IS NOT NULL THEN '' END) AS text, coalesce(g.n, 0)::BIGINT AS n_removed
+FROM documents d
+LEFT JOIN (SELECT s.doc_id, string_agg(s.line, chr(10) ORDER BY s.pos) AS text FROM split s
+           WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = s.doc_id AND g.pos = s.pos) GROUP BY s.doc_id) k USING (doc_id)
+LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) g USING (doc_id)
+"""
