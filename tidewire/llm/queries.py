@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.llm import common, lines, merkle, mixture, packing, quality, shards
+from tidewire.llm import common, lines, merkle, mixture, packing, quality, shards, shingle_join
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -42,6 +42,12 @@ def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.fingerprints(common.documents(spark, sf_dir))
 
 
+@register
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the smallest document that links of 3-word shingles reach from them."""
+    return shingle_join.link(common.documents(spark, sf_dir))
+
+
 @register
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts on all documents, by trees trained on ``labels``."""
@@ -60,7 +66,7 @@ WITH split AS (
   SELECT doc_id, source, u.line, u.pos
   FROM documents, LATERAL (SELECT unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos) u),
 trimmed AS (SELECT *, trim(translate(line, chr(9) || chr(11) || chr(12) || chr(13), '    '), ' ') AS body FROM split),
-wordy AS (SELECT * FROM trimmed WHERE len(list_filter(string_split(body, ' '), x -> x <> '')) >= {lines.LEAST_WORDS}),
+wordy AS (SELECT * FROM trimmed WHERE len(list_filter(string_split(body, ' '), lambda x: x <> '')) >= {lines.LEAST_WORDS}),
 shared AS (SELECT body, min(doc_id) AS owner FROM wordy GROUP BY body HAVING count(DISTINCT source) >= {lines.SITES}),
 firsts AS (SELECT w.body, w.doc_id, min(w.pos) AS first FROM wordy w JOIN shared s ON s.body = w.body AND s.owner = w.doc_id GROUP BY ALL),
 gone AS (
