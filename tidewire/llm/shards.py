@@ -34,11 +34,9 @@ def assign(rows: DataFrame, shards: int = SHARDS, seed: str = SEED) -> DataFrame
     celled = counted.withColumn("_cell", F.floor(F.conv(F.substring("_draw", 1, 8), 16, 10).cast("long") / F.lit(1 << 32) * wide))
     ranked = common.running(celled, ["source"], ["_cell"], [F.col("_draw")], F.lit(1), "_rank").drop("_cell")
     fraction = ranked.withColumn("_fraction", (2 * F.col("_rank") + 1) / (2 * F.col("_rows")))
-    total = rows.agg(F.count("*").alias("_total")).select("_total", F.lit(0).alias("_all"))
-    # one row of one number
-    spread = fraction.withColumn("_all", F.lit(0)).join(F.broadcast(total), "_all")
-    width = F.greatest(F.lit(1.0), F.least(F.sqrt("_total"), F.col("_total") / 128))
-    stretched = spread.withColumn("_stretch", F.floor(F.col("_fraction") * width))
+    total = rows.count()
+    spread = fraction.withColumn("_total", F.lit(total)).withColumn("_all", F.lit(0))
+    stretched = spread.withColumn("_stretch", F.floor(F.col("_fraction") * common.cells(total)))
     placed = common.running(stretched, ["_all"], ["_stretch"], [F.col("_fraction"), F.col("source"), F.col("_draw")], F.lit(1), "_place")
     shard = F.expr(f"_place * {shards} div _total")
     start = F.expr(f"(shard * _total + {shards - 1}) div {shards}")
