@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.llm import common, lines, merkle, mixture, packing, quality, shards, shingle_join
+from tidewire.llm import common, language, lines, merkle, mixture, packing, quality, shards, shingle_join, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -78,3 +78,15 @@ LEFT JOIN (SELECT s.doc_id, string_agg(s.line, chr(10) ORDER BY s.pos) AS text F
            WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = s.doc_id AND g.pos = s.pos) GROUP BY s.doc_id) k USING (doc_id)
 LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) g USING (doc_id)
 """
+
+
+@register
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that aren't held out."""
+    return language.identify(common.documents(spark, sf_dir))
+
+
+@register
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on the urls of all pages."""
+    return urls.judge_pages(spark, sf_dir)
