@@ -20,6 +20,12 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
 
+def shown_document(url: Column | str) -> Column:
+    """The number that ends a url's path, which is the document that the page shows; null if there is none."""
+    found = F.regexp_extract(url, r"://[^/?#]*[^?#]*?/([0-9]{1,18})(?:[.][a-z]+)?/?(?:[?#].*)?$", 1)
+    return F.nullif(found, F.lit("")).cast("long")
+
+
 def text_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound the rows of an Arrow batch: whole texts are large."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

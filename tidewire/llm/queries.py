@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.llm import common, language, lines, merkle, mixture, packing, quality, shards, shingle_join, urls
+from tidewire.llm import common, html, language, lines, merkle, mixture, packing, quality, shards, shingle_join, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -90,3 +90,11 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts on the urls of all pages."""
     return urls.judge_pages(spark, sf_dir)
+
+
+@register
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages. The known texts are those of the documents whose number ends a page's path."""
+    pages = common.pages(spark, sf_dir)
+    numbered = pages.select(common.shown_document("url").alias("doc_id"), "html")
+    return html.extract_pages(pages, html.fit(numbered, common.documents(spark, sf_dir)))

@@ -11,7 +11,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import pages
+from tidewire.llm.common import pages, shown_document
 from tidewire.plans.sizing import lookup_join
 from tidewire.session import durable
 
@@ -105,11 +105,11 @@ def judge(urls: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def labelled_pages(spark, sf_dir: str) -> DataFrame:
-    """Urls labelled by the document they show: its number is the last one in the path. Bad: low quality or toxic."""
+    """Urls labelled by the document they show: its number ends the path. Bad: low quality or toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(
         F.max((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
-    shown = pages(spark, sf_dir).select("url", F.regexp_extract("url", r"://[^/?#]*[^?#]*?/(\d{1,18})[^/\d?#]*/?(?:[?#].*)?$", 1).alias("_id"))
-    return shown.where("_id <> ''").withColumn("doc_id", F.col("_id").cast("long")).join(labels, "doc_id").select("url", "bad")
+    shown = pages(spark, sf_dir).select("url", shown_document("url").alias("doc_id"))
+    return shown.join(labels, "doc_id").select("url", "bad")
 
 
 def judge_pages(spark, sf_dir: str) -> DataFrame:
