@@ -62,21 +62,14 @@ def running(df: DataFrame, group: list[str], cell: list[str], order: list[Column
     ``amount`` must be an integer, so that the result doesn't depend on the order of execution. Null
     groups are groups. Choose cells so that none holds more than a task can.
     """
-    rows = df.withColumn("_amount", amount.cast("long"))
-    keys = group + cell
-    totals = rows.groupBy(*keys).agg(F.sum("_amount").alias("_total"))
-    along = Window.partitionBy(*group).orderBy(*cell)
-    starts = totals.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-        (F.sum("_total").over(along) - F.col("_total")).alias("_start"))
-    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # a struct with null fields equals itself, and the join finds rows where the window has dealt them
+    rows = df.withColumn("_amount", amount.cast("long")).withColumn("_key", F.struct(*group, *cell))
+    totals = rows.groupBy("_key").agg(F.sum("_amount").alias("_total"))
+    along = Window.partitionBy(*[F.col("_key")[g] for g in group]).orderBy(*[F.col("_key")[c] for c in cell])
+    starts = totals.select("_key", (F.sum("_total").over(along) - F.col("_total")).alias("_start"))
+    inside = Window.partitionBy("_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = rows.withColumn("_inside", F.sum("_amount").over(inside) - F.col("_amount"))
-    match = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    condition = match[0]
-    for m in match[1:]:
-        condition = condition & m
-    return summed.join(starts, condition).withColumn(name, F.col("_start") + F.col("_inside")).drop(
-        "_amount", "_inside", "_start", *[f"_k{i}" for i in range(len(keys))])
+    return summed.join(starts, "_key").withColumn(name, F.col("_start") + F.col("_inside")).drop("_key", "_amount", "_inside", "_start")
 
 
 def cells(rows: int, least: int = 128) -> int:

@@ -60,9 +60,9 @@ def copies(docs: DataFrame, size: Column, seed: str = SEED, **shares) -> DataFra
     """Add size, source_size, target and copies (0 to ``MOST``) to documents (doc_id, source, text).
 
     Null sources are one source. Documents without words have expectations like others and take nothing. Equal
-    rows are interchangeable. Reruns agree: everything random is a hash.
+    rows are interchangeable. Reruns agree: everything random is a hash. Columns of the added names are replaced.
     """
-    sized = docs.withColumn("size", size)
+    sized = docs.withColumn("_size", size).drop("size", "source_size", "target", "copies").withColumnRenamed("_size", "size")
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
     wanted = targets(sizes.drop("_rows"), **shares).join(
         sizes.select(F.col("source").alias("_source"), "_rows"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")

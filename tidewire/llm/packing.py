@@ -168,6 +168,7 @@ def pack(cut: DataFrame, size: int = SIZE) -> DataFrame:
     ``cut`` is read three times, so it should be a table. Pieces of one length may be a third of all: they are
     ranked in cells.
     """
+    cut = cut.drop("sequence_id", "offset")
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     where = places(plan(counts, size))
     split = F.array(*[F.lit(common.cells(counts.get(n, 0))) for n in range(size + 1)])

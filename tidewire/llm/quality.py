@@ -9,7 +9,6 @@ threshold, value by node of complete binary trees), so that scoring a batch take
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -154,23 +153,21 @@ def with_statistics(docs: DataFrame, forest: Forest | None = None) -> DataFrame:
     common.text_batches(docs.sparkSession)
     added = [(c, "long") for c in BASE] + [("base_failed", "boolean")]
     added += [("score", "double"), ("kept", "boolean")] if forest else [(c, "double") for c in FEATURES]
-    kept_columns = docs.drop(*[c for c, _ in added])
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept_columns.schema] + [f"{c} {t}" for c, t in added])
-
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [statistics(t) for t in batch["text"].fillna("")]
-            counts = np.array([f[0] for f in found], np.int64).reshape(-1, len(BASE))
-            features = np.array([f[1] for f in found], np.float64).reshape(-1, len(FEATURES))
-            failed = (counts[:, 0] < LEAST_WORDS) | (100 * counts[:, 4] > MOST_REPEATED * counts[:, 0])
-            out = batch.assign(**{c: counts[:, i] for i, c in enumerate(BASE)}, base_failed=failed)
-            if forest:
-                score = forest.score(features)
-                yield out.assign(score=score, kept=~failed & (score >= 0.5))
-            else:
-                yield out.assign(**{c: features[:, i] for i, c in enumerate(FEATURES)})
 
-    return kept_columns.mapInPandas(measure, schema)
+    @F.pandas_udf(", ".join(f"{c} {t}" for c, t in added))
+    def measure(text: pd.Series) -> pd.DataFrame:
+        found = [statistics(t) for t in text.fillna("")]
+        counts = np.array([f[0] for f in found], np.int64).reshape(-1, len(BASE))
+        features = np.array([f[1] for f in found], np.float64).reshape(-1, len(FEATURES))
+        failed = (counts[:, 0] < LEAST_WORDS) | (100 * counts[:, 4] > MOST_REPEATED * counts[:, 0])
+        out = pd.DataFrame(counts, columns=BASE).assign(base_failed=failed)
+        if forest is None:
+            return out.assign(**{c: features[:, i] for i, c in enumerate(FEATURES)})
+        score = forest.score(features)
+        return out.assign(score=score, kept=~failed & (score >= 0.5))
+
+    kept_columns = docs.drop(*[c for c, _ in added])
+    return kept_columns.withColumn("_measured", measure("text")).select("*", "_measured.*").drop("_measured")
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Forest:

@@ -26,6 +26,7 @@ def assign(rows: DataFrame, shards: int = SHARDS, seed: str = SEED) -> DataFrame
     told apart by their other columns, and equal rows are interchangeable. ``rows`` is read several times: give a
     table of narrow rows. Row order is a hash of the seed, the doc_id and the other columns, so reruns agree.
     """
+    rows = rows.drop("shard", "slot")
     columns = rows.columns
     drawn = rows.withColumn("_draw", common.digest(*[F.col(c).cast("string") for c in columns], seed=seed))
     counts = drawn.groupBy("source").agg(F.count("*").alias("_rows")).select(F.col("source").alias("_source"), "_rows")
