@@ -129,7 +129,7 @@ def test_mixture(spark, odd, none, some):
     for (size, target), g in got.groupby(["source_size", "target"]):
         assert abs(g.taken.sum() - target) <= 2 * g["size"].max() + 1, (size, target)
     again = mixture.mix(frame.repartition(2)).toPandas()
-    assert Counter(got.itertuples(index=False, name=None)) == Counter(again.itertuples(index=False, name=None))
+    assert Counter(map(str, got.itertuples(index=False, name=None))) == Counter(map(str, again.itertuples(index=False, name=None)))
     assert mixture.mix(odd).count() == len(ODD) and mixture.mix(none).count() == 0
 
 
@@ -479,7 +479,7 @@ def test_decoding_equals_all_labellings():
     for _ in range(50):
         trial = html.Field(draw.normal(size=len(html.FEATURES)), draw.normal(size=(2, 2)))
         found = [draw.choice(len(html.FEATURES), 4, replace=False).tolist() for _ in range(int(draw.integers(1, 7)))]
-        value = lambda z, trial=trial, found=found: sum(trial.weight[f].sum() for f, k in zip(found, z, strict=True) if k) + sum(trial.step[a, b] for a, b in zip(z, z[1:], strict=False))
+        value = lambda z, trial=trial, found=found: sum(trial.weight[f].sum() for f, k in zip(found, z, strict=True) if k) + sum(trial.step[int(a), int(b)] for a, b in zip(z, z[1:], strict=False))
         every = [[bool(k >> i & 1) for i in range(len(found))] for k in range(2 ** len(found))]
         assert np.isclose(value(trial.decode(found)), max(map(value, every)))
 
