@@ -129,3 +129,39 @@ def test_task_functions_travel_with_the_job(tmp_path):
     code = "import pickle; memory, _ = pickle.load(open('f', 'rb')); assert memory(2).keep('a')"
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True)
+
+
+def test_fifo_keeps_rows_without_a_group(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.choice([None, "a", ""]), rng.choice("abcdefg"), rng.choice([None, START + timedelta(seconds=i)])) for i in range(300)]
+    df = spark.createDataFrame(rows, ITEMS)
+    for capacity in (2, 100):
+        for chunk_rows in (1_000_000, 40):
+            got = {r.item_id for r in dedup.dedup_fifo(df, "src", capacity, chunk_rows=chunk_rows).collect()}
+            assert got == brute_fifo(rows, capacity)
+
+
+@pytest.mark.parametrize("hot_rows", [1_000_000, 0])
+def test_throttle_without_times(spark, hot_rows):
+    """Rows without a time come first, so each key keeps one of them, by the smallest id."""
+    rng = random.Random(4)
+    rows = [(i, rng.choice([None, 1, 2]), rng.choice([None, START + timedelta(minutes=rng.randint(0, 500))])) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, user_id long, ts timestamp_ntz")
+    due, want = {}, set()
+    for i, user, ts in sorted(rows, key=lambda r: (r[2] is not None, r[2] or START, r[0])):
+        if ts is None:
+            if user not in due:
+                due[user] = datetime.min
+                want.add(i)
+        elif user not in due or ts >= due[user]:
+            due[user] = ts + timedelta(minutes=45)
+            want.add(i)
+    assert {r.id for r in throttle.throttle(df, "user_id", timedelta(minutes=45), hot_rows=hot_rows).collect()} == want
+
+
+def test_hot_throttle_has_no_window_over_all_cells(spark):
+    rows = spark.range(3000).select("id", F.lit(1).alias("user_id"), F.timestamp_seconds(F.col("id")).cast("timestamp_ntz").alias("ts"))
+    assert throttle.throttle(rows, "user_id", timedelta(seconds=2), hot_rows=0, cell_rows=1).count() == 1500
+    cells = spark.range(10_000).select(F.lit(1).alias("k"), F.col("id").alias("_cell"), F.when(F.col("id") % 7 == 0, F.col("id")).alias("_low"))
+    later = {r._cell: r._later for r in throttle._later_lows(cells, "k").collect()}
+    assert all(later[c] == (c // 7 * 7 + 7 if c // 7 * 7 + 7 < 10_000 else None) for c in range(10_000))

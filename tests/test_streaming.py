@@ -1,14 +1,16 @@
 """Streams in several micro-batches against the batch operators."""
 
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 import pytest
+from compare import duck, spark_rows, sql_rows
 from pyspark.sql import functions as F
 
 from tidewire.catalog import subscriptions as subs
+from tidewire.catalog.oracle import ORACLE
+from tidewire.catalog.queries import QUERIES
 from tidewire.operators import dedup, routing, throttle
-from tidewire.sources import tables
-from tidewire.sources.sinks import outbox_publisher
+from tidewire.sources import feeds, tables
 from tidewire.streaming import jobs, state
 
 
@@ -41,24 +43,67 @@ def test_fifo_over_batches(spark, items, tmp_path):
     assert sorted(r.item_id for r in got.collect()) == sorted(r.item_id for r in dedup.dedup_fifo(keyed, "src", 5).collect())
 
 
-def test_route_over_batches(spark, items, tmp_path):
+@pytest.mark.parametrize("order", ["published", "item_id"])
+@pytest.mark.parametrize("many", [False, True])
+def test_route_over_batches(spark, items, tmp_path, monkeypatch, many, order):
+    """Several micro-batches, in the order of time and not, and both ways to match, deliver what the batch delivers."""
     filters, pubs = subs.desk_filters(spark), subs.desk_pubs(spark)
-    want = routing.route_items(items, filters, pubs)
-    stream = in_files(items, tmp_path / "in", "published")
-    query = jobs.start_route(stream, filters, pubs, str(tmp_path / "out"), str(tmp_path / "log"), within="365 days")
+    want = sorted((r.key, r.pub) for r in routing.route_items(items, filters, pubs).collect())
+    if many:
+        monkeypatch.setattr(routing, "compile_rules", lambda filters: None)
+        monkeypatch.setattr(routing, "MAX_PLAN_PAIRS", 1)
+    query = jobs.start_route(in_files(items, tmp_path / "in", order, parts=3), filters, pubs, str(tmp_path / "out"), str(tmp_path / "log"))
     query.awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out"))
-    assert sorted((r.key, r.pub) for r in got.collect()) == sorted((r.key, r.pub) for r in want.collect())
+    assert sorted((r.key, r.pub) for r in got.collect()) == want
+    assert {"batch", "pub", "message", "url", "key"} <= set(got.columns)
 
 
-@pytest.mark.parametrize("many", [False, True])
-def test_route_to_a_publisher_function(spark, items, tmp_path, monkeypatch, many):
+def undated(spark):
+    """Repeats without a time, and old items that come late."""
+    rows = [(1, "s", "one two", "l", [], None), (2, "s", "three", "l", [], datetime(2024, 5, 1)), (3, "s", "one two", "l", [], None),
+            (4, "s", "four", "l", [], datetime(2001, 1, 1)), (5, "s", "three!", "l", [], datetime(1999, 1, 1)), (6, "s", "one two", "l", [], datetime(2030, 1, 1)),
+            (7, "s", "five", "l", [], None), (8, "s", "four", "l", [], None)]
+    return spark.createDataFrame(rows, "item_id long, src string, title string, link string, categories array<string>, published timestamp_ntz")
+
+
+def test_undated_and_old_items_are_sent_once(spark, tmp_path):
+    items = undated(spark)
+    filters = spark.createDataFrame([(1, "*", [], [])], "filter_id int, cond string, sources array<string>, pubs array<string>")
+    pubs = subs.desk_pubs(spark).filter("name = 'main'")
+    jobs.start_route(in_files(items, tmp_path / "in", "item_id", parts=4), filters, pubs, str(tmp_path / "out"), str(tmp_path / "log")).awaitTermination()
+    assert sorted(r.item_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2, 4, 7]
+    keyed = tables.with_key(tables.prepared(in_files(items, tmp_path / "in2", "item_id", parts=4)))
+    assert sorted(r.item_id for r in jobs.drain(jobs.dedup_stream(keyed), "d").collect()) == [1, 2, 4, 7]
+
+
+def test_memory_forgets_after_its_time(spark, tmp_path):
+    found = tables.with_key(tables.prepared(undated(spark)))
+    forever, never = jobs.ArrivalMemory(spark, str(tmp_path / "a")), jobs.ArrivalMemory(spark, str(tmp_path / "b"), timedelta(0))
+    assert [m(found, b).count() for m in (forever, never) for b in (0, 1)] == [4, 0, 4, 4]
+    assert forever(found, 0).count() == 4  # a repeated batch replaces itself
+
+
+def test_a_layout_and_a_deduplicator_of_ones_own(spark, items, tmp_path):
     filters, pubs = subs.desk_filters(spark), subs.desk_pubs(spark)
-    want = routing.route_items(items, filters, pubs)
-    if many:
-        monkeypatch.setattr(jobs, "compile_rules", lambda filters: None)
-    stream = in_files(items, tmp_path / "in", "published", parts=2)
-    query = jobs.start_route(stream, filters, pubs, outbox_publisher(str(tmp_path / "out")), str(tmp_path / "log"), within="365 days")
-    query.awaitTermination()
-    got = spark.read.option("basePath", str(tmp_path / "out")).parquet(str(tmp_path / "out" / "batch=*"))
-    assert sorted((r.key, r.pub) for r in got.collect()) == sorted((r.key, r.pub) for r in want.collect())
+    jobs.start_route(in_files(items, tmp_path / "in", "published", parts=2), filters, pubs, str(tmp_path / "out"), str(tmp_path / "log"), scoped=True,
+                     dedup=lambda found, batch: found, layout=lambda: F.upper("title")).awaitTermination()
+    want = routing.route_items(items, filters, pubs, scoped=True, dedup=lambda found: found)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted((r.item_id, r.message) for r in got.collect()) == sorted((r.item_id, r.title.upper()) for r in want.collect())
+
+
+@pytest.mark.parametrize("name", ["stream_route", "stream_dedup", "stream_dedup_fifo", "stream_throttle", "stream_source_throttle", "stream_outbox"])
+def test_streams_over_folder_tables(spark, folder, tmp_path, name):
+    for table in ("documents", "events"):
+        spark.read.parquet(f"{folder}/{table}.parquet").repartition(3).write.parquet(str(tmp_path / f"{table}.parquet"))
+        spark.range(5).write.parquet(str(tmp_path / f"{table}_old.parquet"))  # a sibling that isn't the table
+    want = sql_rows(duck(folder), ORACLE[name])
+    assert spark_rows(QUERIES[name](spark, str(tmp_path))) == want
+
+
+def test_feeds_as_a_stream(spark, items, tmp_path):
+    path = str(tmp_path / "feed")
+    feeds.write_rss(items, path, ["src"])
+    got = jobs.drain(feeds.stream_feeds(spark, f"{path}/*"), "feeds")
+    assert sorted(r.title for r in got.collect()) == sorted(r.title for r in items.collect())

@@ -44,29 +44,36 @@ def affix(name: str, globs: list[str]) -> str:
 ACTIVE = " OR ".join(affix("src", g) for g in GLOBS.values())
 
 ITEMS = """items AS (
-  SELECT d.doc_id AS item_id, d.lang || '.' || d.source AS src, split_part(d.text, chr(10), 1) AS title,
+  SELECT d.doc_id AS item_id, d.lang || '.' || d.source AS src, split_part(d.text, chr(10), 1) AS title, d.text AS body,
          'http://example.org/doc/' || d.doc_id AS link, e.event_type AS category, e.ts AS published
   FROM documents d JOIN events e ON e.event_id = d.doc_id)"""
-TITLES = f"titles AS (SELECT doc_id AS item_id, {words('split_part(text, chr(10), 1)')} AS words FROM documents)"
+TITLES = f"titles AS (SELECT doc_id AS item_id, {words('text')} AS words FROM documents)"
 TEXTS = f"texts AS (SELECT doc_id, {words('text')} AS words FROM documents)"
-TOKENS = f"{ITEMS}, toks AS (SELECT *, {words('title')} AS words FROM items), keyed AS (SELECT *, {KEY} AS key FROM toks)"
+TOKENS = f"{ITEMS}, toks AS (SELECT *, {words('body')} AS words FROM items), keyed AS (SELECT *, {KEY} AS key FROM toks)"
 HEADLINES = ("headlines AS (SELECT doc_id, unnest(range(len(parts)))::INTEGER AS part, unnest(parts) AS title "
              r"FROM (SELECT doc_id, regexp_split_to_array(text, '[.\n]') AS parts FROM documents))")
 SOURCES = "sources AS (SELECT DISTINCT lang, source, lang || '.' || source AS name FROM documents)"
 
 
-def rule_rows(scoped: bool = False) -> str:
+WANTED = (f"CASE WHEN starts_with(src, 'en.') THEN {affix('category', ['click', 'up'])} "
+          f"WHEN starts_with(src, 'de.') THEN {affix('category', ['err'])} ELSE true END")
+
+
+def rule_rows(scoped: bool = False, wanted: str = "true") -> str:
     return " UNION ALL ".join(
-        f"SELECT *, {n} AS filter_id FROM keyed WHERE ({ACTIVE}) AND ({test})" + (f" AND {affix('src', GLOBS[n])}" if scoped else "")
+        f"SELECT *, {n} AS filter_id FROM keyed WHERE ({ACTIVE}) AND ({wanted}) AND ({test})" + (f" AND {affix('src', GLOBS[n])}" if scoped else "")
         for n, test in RULES.items())
 
 
-def routed(scoped: bool = False) -> str:
-    return f"""{TOKENS}, matches AS ({rule_rows(scoped)}),
+FILTER_PUBS = """filter_pubs(filter_id, pub) AS (VALUES (1, 'main'), (2, 'main'), (2, 'info'), (3, 'info'),
+            (4, 'main'), (4, 'info'), (4, 'ops'), (4, 'archive'), (5, 'ops'))"""
+
+
+def routed(scoped: bool = False, wanted: str = "true") -> str:
+    return f"""{TOKENS}, matches AS ({rule_rows(scoped, wanted)}),
   first AS (SELECT item_id FROM (SELECT item_id, row_number() OVER (PARTITION BY key ORDER BY published, item_id) AS n
             FROM (SELECT DISTINCT item_id, key, published FROM matches)) WHERE n = 1),
-  filter_pubs(filter_id, pub) AS (VALUES (1, 'main'), (2, 'main'), (2, 'info'), (3, 'info'),
-            (4, 'main'), (4, 'info'), (4, 'ops'), (4, 'archive'), (5, 'ops')),
+  {FILTER_PUBS},
   routed AS (SELECT DISTINCT m.item_id, p.pub, m.title, m.link, m.src, m.published
              FROM matches m JOIN first USING (item_id) JOIN filter_pubs p USING (filter_id))"""
 
@@ -81,7 +88,7 @@ def escaped(expr: str) -> str:
     return f"replace(url_encode({expr}), '%20', '+')"
 
 
-DIGITS = "lpad(CAST(item_id AS VARCHAR), 3, '0')"
+DIGITS = "CASE WHEN item_id < 1000 THEN lpad(CAST(item_id AS VARCHAR), 3, '0') ELSE CAST(item_id AS VARCHAR) END"
 WATCH = f"""watch AS (
   SELECT CAST(item_id AS INTEGER) AS filter_id, translate(text, '.' || chr(10) || ',', ';;&') AS cond,
          CASE WHEN item_id % 4 = 0 THEN [] ELSE ['src' || (item_id % 20)] END AS sources,
@@ -93,6 +100,9 @@ TERMS = f"""{WATCH},
            FROM (SELECT *, {split_trim('conj', '&')} AS l FROM conjs)),
   lists AS (SELECT *, {split_trim('seq_text', ' ')} AS patterns FROM seqs),
   terms AS (SELECT filter_id, conj_id, seq_id, unnest(range(len(patterns)))::INTEGER AS pos, unnest(patterns) AS pattern FROM lists)"""
+SPOILED_TERMS = TERMS.replace("translate(text, '.' || chr(10) || ',', ';;&') AS cond", """CASE item_id % 5
+         WHEN 0 THEN translate(text, '.' || chr(10) || ',', ';;&') || '; ends$$ here' WHEN 1 THEN translate(text, '.' || chr(10) || ',', ';;&') || '; a & b\\(; a'
+         WHEN 2 THEN NULL WHEN 3 THEN translate(text, '.' || chr(10) || ',', ';;&') || '; x y & x y; x' ELSE translate(text, '.' || chr(10) || ',', ';;&') END AS cond""")
 # patterns made of letters only: lower-case runs match either case, the start is anchored
 FOUND = rf"""{TERMS}, {TITLES},
   tokens AS (SELECT item_id, unnest(range(len(words))) AS place, unnest(words) AS word FROM titles),
@@ -115,15 +125,24 @@ THROTTLED = """ordered AS (SELECT user_id, ts, event_id AS id, row_number() OVER
                      o.ts >= w.kept + INTERVAL 6 HOUR
     FROM walk w JOIN ordered o ON o.user_id = w.user_id AND o.n = w.n + 1)"""
 MUTED = "(hour(ts) - 20 + 24) % 24 < (5 - 20 + 24) % 24"
-FIFO = f"""WITH RECURSIVE {TOKENS},
-  ordered AS (SELECT item_id, src, key, published, row_number() OVER (PARTITION BY src ORDER BY published, item_id) AS n FROM keyed),
+def fifo(rows: str) -> str:
+    return f"""ordered AS (SELECT item_id, src, key, published, row_number() OVER (PARTITION BY src ORDER BY published, item_id) AS n FROM {rows}),
   walk AS (SELECT item_id, src, key, published, n, [key] AS kept, true AS keep FROM ordered WHERE n = 1
     UNION ALL SELECT o.item_id, o.src, o.key, o.published, o.n,
         CASE WHEN list_contains(w.kept, o.key) THEN w.kept
              WHEN len(w.kept) >= 4 THEN list_append(w.kept[2:], o.key) ELSE list_append(w.kept, o.key) END,
         NOT list_contains(w.kept, o.key)
-    FROM walk w JOIN ordered o ON o.src = w.src AND o.n = w.n + 1)
-SELECT item_id, src, key, published FROM walk WHERE keep"""
+    FROM walk w JOIN ordered o ON o.src = w.src AND o.n = w.n + 1)"""
+
+
+FIFO = f"WITH RECURSIVE {TOKENS}, {fifo('keyed')} SELECT item_id, src, key, published FROM walk WHERE keep"
+SOURCE_PULLS = f"""{ITEMS},
+  numbered AS (SELECT src, published AS ts, item_id AS id, CAST(regexp_extract(src, '[0-9]+$') AS INTEGER) AS number FROM items),
+  timed AS (SELECT *, CASE number % 3 WHEN 1 THEN INTERVAL 6 HOUR WHEN 2 THEN INTERVAL 36 HOUR ELSE INTERVAL 15 MINUTE END AS cool,
+                   row_number() OVER (PARTITION BY src ORDER BY ts, id) AS n FROM numbered),
+  walk AS (SELECT src, ts, id, number, n, ts AS kept, true AS keep FROM timed WHERE n = 1
+    UNION ALL SELECT o.src, o.ts, o.id, o.number, o.n, CASE WHEN o.ts >= w.kept + o.cool THEN o.ts ELSE w.kept END, o.ts >= w.kept + o.cool
+    FROM walk w JOIN timed o ON o.src = w.src AND o.n = w.n + 1)"""
 BLANK = f"title IS NULL OR regexp_full_match(title, '[{SPACE}]*')"
 
 ORACLE: dict[str, str] = {
@@ -132,7 +151,8 @@ ORACLE: dict[str, str] = {
     "scan_feed_xml": f"WITH {ITEMS} SELECT title, link, category AS categories, date_trunc('second', published) AS published FROM items",
     "scan_multi_link": f"WITH {ITEMS} SELECT src, title, link, date_trunc('second', published) AS published FROM items",
     "receive_counts": "SELECT lang || '.' || source AS src, count(*) AS n FROM documents GROUP BY 1",
-    "parse_pubdate": "SELECT event_id, date_trunc('second', ts) - CASE WHEN event_id % 2 = 0 THEN INTERVAL 3 HOUR ELSE INTERVAL 0 HOUR END AS published FROM events",
+    "parse_pubdate": """SELECT event_id, CASE event_id % 6 WHEN 0 THEN date_trunc('second', ts) - INTERVAL 3 HOUR WHEN 3 THEN date_trunc('second', ts) + INTERVAL 5 HOUR
+      WHEN 2 THEN date_trunc('minute', ts) WHEN 5 THEN date_trunc('minute', ts) ELSE date_trunc('second', ts) END AS published FROM events""",
     "tokenize": f"WITH {TITLES} SELECT item_id, array_to_string(words, '|') AS words FROM titles",
     "tokenize_text": f"WITH {TEXTS} SELECT doc_id, len(words)::INTEGER AS n_words, md5(array_to_string(words, '|')) AS digest FROM texts",
     "is_blank": f"WITH {HEADLINES} SELECT doc_id, part, {BLANK} AS blank FROM headlines",
@@ -155,7 +175,7 @@ ORACLE: dict[str, str] = {
     "conj_match": f"WITH {TEXTS} SELECT doc_id FROM texts WHERE {has('^(?i:the)')} AND {has('^(?i:of)')} AND {row('^(?i:with)', '^(?i:the)')}",
     "dnf_match": f"WITH {TEXTS} " + " UNION ALL ".join(f"SELECT doc_id, {n} AS filter_id FROM texts WHERE {test}" for n, test in RULES.items()),
     "rule_terms": f"WITH {TERMS} SELECT filter_id, conj_id, seq_id, pos, pattern FROM terms",
-    "rule_lint": f"""WITH {TERMS},
+    "rule_lint": f"""WITH {SPOILED_TERMS},
       ranked AS (SELECT l.*, array_to_string(patterns, ' ') AS seq, count(*) OVER (PARTITION BY filter_id, conj_id) AS size,
                         row(contains(conj, '&'), strlen(conj), conj_id, seq_id) AS rank FROM lists l),
       each AS (SELECT filter_id, seq, any_value(patterns) AS patterns, min(rank) AS rank, min(size) AS least, max(size) AS most FROM ranked GROUP BY ALL)
@@ -163,13 +183,14 @@ ORACLE: dict[str, str] = {
              CASE WHEN a.rank < b.rank THEN b.seq ELSE a.seq END AS seq
       FROM each a JOIN each b ON a.filter_id = b.filter_id AND len(a.patterns) < len(b.patterns) AND b.patterns[1:len(a.patterns)] = a.patterns
       UNION ALL SELECT filter_id, 'ALWAYS_TRUE_CONJ', seq FROM each WHERE least = 1 AND most > 1
-      UNION ALL SELECT DISTINCT filter_id, 'REPEATED_IN_CONJ', seq FROM ranked GROUP BY filter_id, conj_id, seq HAVING count(*) > 1""",
+      UNION ALL SELECT DISTINCT filter_id, 'REPEATED_IN_CONJ', seq FROM ranked GROUP BY filter_id, conj_id, seq HAVING count(*) > 1
+      UNION ALL SELECT DISTINCT filter_id, 'BAD_PATTERN', pattern FROM terms WHERE pattern IN ('ends$$', 'b\\(')
+      UNION ALL SELECT filter_id, 'NO_CONDITION', '' FROM watch WHERE filter_id NOT IN (SELECT filter_id FROM terms)""",
     "conj_by_count": f"WITH {FOUND} SELECT item_id, filter_id, conj_id, found FROM conj_found",
     "affix_match_pairs": f"WITH {SOURCES}, {WATCH} SELECT name, filter_id FROM sources, (SELECT filter_id, sources AS globs FROM watch) WHERE {NAMED}",
     "affix_match": f"WITH {ITEMS} SELECT item_id, starts_with(src, 'en') OR ends_with(src, 'en') OR starts_with(src, 'src' || (item_id % 20)) "
                    "OR ends_with(src, 'src' || (item_id % 20)) AS matches FROM items",
-    "category_prefilter": f"WITH {ITEMS} SELECT item_id, src FROM items WHERE CASE WHEN starts_with(src, 'en.') THEN {affix('category', ['click', 'up'])} "
-                          f"WHEN starts_with(src, 'de.') THEN {affix('category', ['err'])} ELSE true END",
+    "category_prefilter": f"WITH {ITEMS} SELECT item_id, src FROM items WHERE {WANTED}",
     "source_agency": f"WITH {SOURCES} SELECT name, lang AS agency FROM sources",
     "active_sources": f"WITH s AS (SELECT DISTINCT lang || '.' || source AS src FROM documents) SELECT src AS name FROM s WHERE {ACTIVE}",
     "orphan_sources": f"WITH s AS (SELECT DISTINCT lang || '.' || source AS src FROM documents) SELECT src AS name FROM s WHERE NOT ({ACTIVE})",
@@ -221,3 +242,17 @@ SELECT DISTINCT item_id, pub FROM matches JOIN first USING (item_id) JOIN resolv
 ORACLE["item_matches_vocab"] = ORACLE["item_matches"]
 ORACLE["stream_throttle"] = ORACLE["throttle"]
 ORACLE["stream_dedup_fifo"] = ORACLE["dedup_fifo"]
+ORACLE["watch_routes_columns"] = ORACLE["watch_routes"]
+ORACLE["route_pipeline"] = f"WITH {routed(True, WANTED)} SELECT item_id, pub FROM routed"
+ORACLE["route_fifo"] = f"""WITH RECURSIVE {TOKENS}, matches AS ({rule_rows()}), {FILTER_PUBS},
+  found AS (SELECT DISTINCT item_id, src, key, published FROM matches), {fifo('found')}
+SELECT DISTINCT m.item_id, p.pub FROM matches m JOIN (SELECT item_id FROM walk WHERE keep) USING (item_id) JOIN filter_pubs p USING (filter_id)"""
+ORACLE["route_pages"] = f"""WITH keyed AS (SELECT *, {KEY} AS key FROM (
+    SELECT page_id AS item_id, {words("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS words FROM pages)),
+  matches AS ({" UNION ALL ".join(f"SELECT *, {n} AS filter_id FROM keyed WHERE {test}" for n, test in RULES.items())}), {FILTER_PUBS},
+  first AS (SELECT key, min(item_id) AS item_id FROM matches GROUP BY key)
+SELECT DISTINCT m.item_id, p.pub FROM matches m JOIN first USING (item_id) JOIN filter_pubs p USING (filter_id)"""
+ORACLE["source_throttle"] = f"WITH RECURSIVE {SOURCE_PULLS} SELECT src, ts, id FROM walk WHERE keep AND NOT (number % 2 = 0 AND ({MUTED}))"
+ORACLE["stream_source_throttle"] = ORACLE["source_throttle"]
+ORACLE["stream_outbox"] = f"""WITH {routed(True, WANTED)}, m AS (SELECT *, {MESSAGE} AS message FROM routed)
+SELECT pub, message, 'http://example.org/send?text=' || {escaped('message')} AS url FROM m"""

@@ -28,9 +28,12 @@ FIFO_CAPACITY = 4
 HOURLY_CAP = 2
 
 
-def query(function: Query) -> Query:
-    QUERIES[function.__name__] = function
-    return function
+def query(function: Query | None = None, *, name: str | None = None):
+    def register(function: Query) -> Query:
+        QUERIES[name or function.__name__] = function
+        return function
+
+    return register(function) if function else register
 
 
 def joined(column: Column | str) -> Column:
@@ -38,9 +41,9 @@ def joined(column: Column | str) -> Column:
 
 
 def titles(spark: SparkSession, folder: str) -> DataFrame:
-    """All document titles with their token line."""
+    """All documents as items with the token line of their text."""
     rows = tables.titled_documents(spark, folder)
-    return rows.select("*", tables.once(text.token_line("title")).alias("line"))
+    return rows.select("item_id", "src", tables.once(text.token_line("text")).alias("line"))
 
 
 def whole_texts(spark: SparkSession, folder: str) -> DataFrame:
@@ -63,7 +66,7 @@ def desk_routes(spark: SparkSession, folder: str, scoped: bool = False) -> DataF
 
 @query
 def scan_items(spark, folder):
-    return tables.document_items(spark, folder).withColumn("categories", joined("categories"))
+    return tables.document_items(spark, folder).drop("text").withColumn("categories", joined("categories"))
 
 
 @query
@@ -98,12 +101,18 @@ def receive_counts(spark, folder):
 
 @query
 def parse_pubdate(spark, folder):
-    """Event times written the way feeds do, with weekday and zone or in ISO form, and parsed back."""
+    """Event times written the ways feeds do, with weekday and zone or in ISO form, and parsed back."""
     stamps = tables.table(spark, folder, "events").select("event_id", "ts")
-    rfc = F.concat(F.element_at(F.array(*map(F.lit, ["Sun", "Mon", "Tue", "Wed", "Thu", "Fri", "Sat"])), F.dayofweek("ts")),
-                   F.lit(", "), F.date_format("ts", "dd MMM yyyy HH:mm:ss"), F.lit(" +0300"))
-    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    written = F.when(F.col("event_id") % 2 == 0, rfc).otherwise(iso)
+    day = F.concat(F.element_at(F.array(*map(F.lit, ["Sun", "Mon", "Tue", "Wed", "Thu", "Fri", "Sat"])), F.dayofweek("ts")), F.lit(", "))
+    forms = [
+        F.concat(day, F.date_format("ts", "dd MMM yyyy HH:mm:ss"), F.lit(" +0300")),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"),
+        F.concat(day, F.date_format("ts", "dd MMM yy HH:mm"), F.lit(" GMT")),
+        F.concat(F.date_format("ts", "dd MMM yy HH:mm:ss"), F.lit(" EST")),
+        F.concat(F.date_format("ts", "dd MMMM yyyy HH:mm:ss"), F.lit(" GMT")),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm'Z'"),
+    ]
+    written = F.get(F.array(*forms), (F.col("event_id") % len(forms)).cast("int"))
     return stamps.select("event_id", render.parse_feed_time(written).alias("published"))
 
 
@@ -177,7 +186,7 @@ def rejected_items(spark, folder):
 
 @query
 def pattern_match(spark, folder):
-    """Every distinct title word against the patterns of the desk rules."""
+    """Every distinct word against the patterns of the desk rules."""
     words = titles(spark, folder).select(F.explode(text.line_words(F.col("line"))).alias("word")).distinct()
     patterns = sorted({p for _, cond, _, _ in subs.DESK_RULES for p in cond.replace(";", " ").replace("&", " ").split()})
     hits = F.array_compact(F.array(*[F.when(F.col("word").rlike(translate(p).regex), F.lit(p)) for p in patterns]))
@@ -213,7 +222,7 @@ def rule_terms(spark, folder):
 
 @query
 def rule_lint(spark, folder):
-    return rule_tables.rule_lint(subs.watch_filters(spark, folder))
+    return rule_tables.rule_lint(subs.spoiled_filters(spark, folder))
 
 
 @query
@@ -230,7 +239,7 @@ def affix_match_pairs(spark, folder):
     return dimensions.affix_pairs(subs.document_sources(spark, folder), subs.watch_filters(spark, folder), "sources")
 
 
-@query
+@query(name="affix_match")
 def affix_match_items(spark, folder):
     """Does the item's source match the globs of its category list (a column, not a constant)?"""
     rows = tables.document_items(spark, folder)
@@ -331,14 +340,47 @@ def route_items_scoped(spark, folder):
     return desk_routes(spark, folder, scoped=True).select("item_id", "pub")
 
 
+def benchmark_routes(spark: SparkSession, folder: str, by_vocabulary: bool) -> DataFrame:
+    routed = routing.route_items(tables.titled_documents(spark, folder), subs.watch_filters(spark, folder),
+                                 subs.supplier_pubs(spark, folder), details=tables.document_stamps(spark, folder), by_vocabulary=by_vocabulary)
+    return routed.select("item_id", "pub")
+
+
 @query
 def watch_routes(spark, folder):
-    """Routing with the rules derived from ``benchmark`` to suppliers; which way they match depends on their number."""
-    routed = routing.route_items(tables.titled_documents(spark, folder), subs.watch_filters(spark, folder),
-                                 subs.supplier_pubs(spark, folder), details=tables.document_stamps(spark, folder))
+    """Routing with the rules derived from ``benchmark`` to suppliers, through the vocabulary."""
+    return benchmark_routes(spark, folder, True)
+
+
+@query
+def watch_routes_columns(spark, folder):
+    """The same by columns, as far as there are few enough rules."""
+    return benchmark_routes(spark, folder, False)
+
+
+@query
+def route_pipeline(spark, folder):
+    """Known sources, their categories, matching by scope, dedup, publishers."""
+    routed = routing.route_items(tables.document_items(spark, folder), subs.desk_filters(spark), subs.desk_pubs(spark),
+                                 scoped=True, sources=subs.document_sources(spark, folder))
+    return routed.select("item_id", "pub")
+
+
+@query
+def route_fifo(spark, folder):
+    """Routing with a bounded memory of titles per source."""
+    routed = routing.route_items(tables.document_items(spark, folder), subs.desk_filters(spark), subs.desk_pubs(spark),
+                                 dedup=lambda found: dedup.dedup_fifo(found, "src", FIFO_CAPACITY))
     return routed.select("item_id", "pub")
 
 
+@query
+def route_pages(spark, folder):
+    """Pages by their true titles, with the desk rules for any source."""
+    rules = subs.desk_filters(spark).withColumn("sources", F.array().cast("array<string>"))
+    return routing.route_items(tables.page_items(spark, folder), rules, subs.desk_pubs(spark)).select("item_id", "pub")
+
+
 @query
 def item_pub_sets(spark, folder):
     return routing.item_pub_sets(desk_routes(spark, folder)).select("item_id", joined("pubs").alias("pubs"))
@@ -388,7 +430,7 @@ def mute_hours(spark, folder):
     return tables.pulls(spark, folder).filter(~is_muted(F.col("ts"), *subs.MUTE)).select("id", "user_id", "ts")
 
 
-@query
+@query(name="throttle")
 def throttled(spark, folder):
     return throttle.throttle(tables.pulls(spark, folder), "user_id", subs.COOLDOWN)
 
@@ -398,6 +440,20 @@ def throttle_then_mute(spark, folder):
     return throttle.throttle_then_mute(tables.pulls(spark, folder), "user_id", subs.COOLDOWN, *subs.MUTE)
 
 
+def source_pulls(spark: SparkSession, folder: str, items: DataFrame) -> DataFrame:
+    """Items as requests to their source, with its cooldown and mute hours."""
+    requests = items.select("src", F.col("published").alias("ts"), F.col("item_id").alias("id"))
+    return requests.join(subs.pull_sources(spark, folder).withColumnRenamed("name", "src"), "src")
+
+
+@query
+def source_throttle(spark, folder):
+    """Each source with its own cooldown and mute hours."""
+    rows = source_pulls(spark, folder, tables.document_items(spark, folder))
+    kept = throttle.throttle_then_mute(rows, "src", F.col("cooldown"), F.col("mute_begin"), F.col("mute_end"))
+    return kept.select("src", "ts", "id")
+
+
 # --- streams -----------------------------------------------------------------------------------
 
 
@@ -414,7 +470,7 @@ def stream_route(spark, folder):
 @query
 def stream_dedup(spark, folder):
     keyed = tables.with_key(tables.prepared(jobs.document_item_stream(spark, folder))).select("key", "published")
-    return jobs.drain(jobs.dedup_stream(keyed, "1 day"), "dedup").select("key")
+    return jobs.drain(jobs.dedup_stream(keyed), "dedup").select("key")
 
 
 @query
@@ -429,5 +485,17 @@ def stream_throttle(spark, folder):
     return jobs.drain(state.throttle_stream(pulls, "user_id", subs.COOLDOWN), "throttle")
 
 
-QUERIES["throttle"] = QUERIES.pop("throttled")
-QUERIES["affix_match"] = QUERIES.pop("affix_match_items")
+@query
+def stream_source_throttle(spark, folder):
+    return jobs.drain(state.throttle_stream(
+        source_pulls(spark, folder, jobs.document_item_stream(spark, folder)), "src", F.col("cooldown"),
+        begin=F.col("mute_begin"), end=F.col("mute_end")), "throttle").select("src", "ts", "id")
+
+
+@query
+def stream_outbox(spark, folder):
+    """What the routing job delivers, rendered: which of two equal texts goes out depends on arrival, so the text's key stands for it."""
+    path = run_dir(spark, "outbox")
+    jobs.start_route(jobs.document_item_stream(spark, folder), subs.desk_filters(spark), subs.desk_pubs(spark),
+                     f"{path}/outbox", f"{path}/log", sources=subs.document_sources(spark, folder), scoped=True).awaitTermination()
+    return spark.read.parquet(f"{path}/outbox").select("pub", "message", "url")

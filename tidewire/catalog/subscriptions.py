@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewire.operators.dimensions import effective_cooldown
 from tidewire.sources.tables import table
 
 # The desk rules, publishers and source settings.
@@ -61,10 +62,28 @@ def document_sources(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def pull_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """The sources with settings of their own: every third has the default cooldown, every other one is muted at night."""
+    number = F.regexp_extract("name", r"([0-9]+)$", 1).cast("int")
+    hours = F.when(number % 3 == 1, F.expr("INTERVAL '6' HOUR")).when(number % 3 == 2, F.expr("INTERVAL '36' HOUR"))
+    return document_sources(spark, folder).select(
+        "name", effective_cooldown(hours).alias("cooldown"),
+        F.when(number % 2 == 0, MUTE[0]).alias("mute_begin"), F.when(number % 2 == 0, MUTE[1]).alias("mute_end"))
+
+
+def spoiled_filters(spark: SparkSession, folder: str) -> DataFrame:
+    """The watch rules, some with a faulty pattern, a repeated part or no condition."""
+    third = F.col("filter_id") % 5
+    spoiled = F.when(third == 0, F.concat("cond", F.lit("; ends$$ here"))).when(third == 1, F.concat("cond", F.lit("; a & b\\(; a"))) \
+        .when(third == 2, F.lit(None).cast("string")).when(third == 3, F.concat("cond", F.lit("; x y & x y; x")))
+    return watch_filters(spark, folder).withColumn("cond", F.when(third == 4, F.col("cond")).otherwise(spoiled))
+
+
 def watch_filters(spark: SparkSession, folder: str) -> DataFrame:
     texts = table(spark, folder, "benchmark")
     cond = F.translate(F.translate("text", ".\n", ";;"), ",", "&")
-    digits = F.lpad(F.col("item_id").cast("string"), 3, "0")
+    number = F.col("item_id").cast("string")
+    digits = F.when(F.length(number) < 3, F.lpad(number, 3, "0")).otherwise(number)
     return texts.select(
         F.col("item_id").cast("int").alias("filter_id"),
         cond.alias("cond"),

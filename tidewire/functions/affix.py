@@ -36,4 +36,4 @@ def affixes(name: Column) -> Column:
 
 def glob_keys(globs: Column) -> Column:
     """Globs as join keys for :func:`affixes`; "no globs" is the glob that matches everything."""
-    return F.when(F.size(globs) == 0, F.array(F.lit(""))).otherwise(F.array_distinct(globs))
+    return F.when(F.coalesce(F.size(globs), F.lit(0)) <= 0, F.array(F.lit(""))).otherwise(F.array_distinct(globs))

@@ -75,8 +75,9 @@ def parse_feed_time(text: Column) -> Column:
     """Feed timestamps (RFC 822 with or without weekday, ISO 8601) as UTC wall time, null when absent or bad."""
     bare = F.regexp_replace(F.trim(text), r"^[A-Za-z]{3},\s*", "")
     zoned = F.regexp_replace(bare, r"\s(?:GMT|UTC|UT|Z)$", " +0000")
-    layouts = ["d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm Z", "d MMM yy HH:mm:ss Z"]
+    layouts = [f"d {month} {year} HH:mm{seconds} {zone}" for month in ("MMM", "MMMM") for year in ("yyyy", "yy")
+               for seconds in (":ss", "") for zone in ("Z", "z")]
     parsed = [F.try_to_timestamp(zoned, F.lit(layout)) for layout in layouts]
-    iso = F.when(bare.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_timestamp(bare))
+    iso = F.when(bare.rlike(r"^\d{4}-\d{2}-\d{2}"), F.coalesce(F.try_to_timestamp(bare), F.try_to_timestamp(bare, F.lit("yyyy-MM-dd'T'HH:mmXXX"))))
     instant = F.coalesce(iso, *parsed)
     return F.to_utc_timestamp(instant, F.current_timezone()).cast("timestamp_ntz")

@@ -66,6 +66,8 @@ def dedup_fifo(items: DataFrame, group: str, capacity: int = CAPACITY, key: str
     if capacity <= 0:
         raise ValueError("capacity must be positive")
     order = list(order)
+    # as text a missing group is a group like any other to the joins and tasks below
+    source, items, group = items, items.withColumn("_group", F.to_json(F.struct(group))), "_group"
     per_key = items.groupBy(group, key).agg(F.count("*").alias("n"))
     sizes = durable(
         per_key.groupBy(group).agg(F.sum("n").alias("_rows"), F.count("*").alias("_keys"))
@@ -86,8 +88,8 @@ def dedup_fifo(items: DataFrame, group: str, capacity: int = CAPACITY, key: str
             rows = ordered.mapInArrow(_fifo_stream(group, key, capacity), ordered.schema)
         else:
             rows = _dedup_chunks(rows, group, key, order, capacity, chunk_rows)
-        kept.append(rows.select(*items.columns))
-    return reduce(DataFrame.unionByName, kept) if kept else items
+        kept.append(rows.select(*source.columns))
+    return reduce(DataFrame.unionByName, kept) if kept else source
 
 
 def _fifo_stream(group: str, key: str, capacity: int):

@@ -24,7 +24,7 @@ def match_column(rules: list[Rule], scoped: bool = False):
         test = rule.matches(F.col("line"))
         if scoped:
             test = rule.covers(F.col("src")) & test
-        hits.append(F.when(test, F.lit(rule.filter_id)))
+        hits.append(F.when(test, rule.id_column()))
     return F.array_compact(F.array(*hits)) if hits else F.array().cast("array<int>")
 
 
@@ -66,50 +66,47 @@ def conj_places(seqs: DataFrame) -> DataFrame:
     return sets.select("filter_id", "conj_id", F.size("_keys").alias("size"), F.explode("_keys").alias("seq_key"))
 
 
-def sequence_starts(seqs: DataFrame, hits: DataFrame, seqs_fit: bool) -> DataFrame:
-    """``(seq_key, len, first, regex, terms)``: where to start each sequence that can match at all.
+def sequence_anchors(seqs: DataFrame, hits: DataFrame, seqs_fit: bool) -> DataFrame:
+    """``(word, seq_key, first, terms)``: the words at which to look for each sequence that can match at all.
 
-    That is its pattern with the fewest matching tokens, at place ``first``. A sequence with a
-    pattern no word matches drops out.
+    Those are the words of its pattern with the fewest matching tokens, which is at place
+    ``first``; ``terms`` are its other patterns. A sequence with a pattern no word matches drops out.
     """
     per_regex = hits.groupBy("regex").agg(F.sum("n").alias("n"))
     distinct = seqs.groupBy("seq_key").agg(F.first("terms").alias("terms"))
     parts = distinct.select("seq_key", F.size("terms").alias("len"), F.inline("terms"))
     counted = lookup_join(parts, per_regex, "regex", small_fits=seqs_fit)
-    return (
+    starts = (
         counted.groupBy("seq_key", "len")
         .agg(F.collect_list(F.struct("pos", "regex")).alias("terms"), F.min(F.struct("n", "pos", "regex")).alias("_rarest"))
         .filter(F.size("terms") == F.col("len"))
-        .select("seq_key", "len", F.col("_rarest.pos").alias("first"), F.col("_rarest.regex").alias("regex"), "terms")
+        .select("seq_key", F.col("_rarest.pos").alias("first"), F.col("_rarest.regex").alias("regex"),
+                F.filter("terms", lambda t: t["pos"] != F.col("_rarest.pos")).alias("terms"))
     )
+    return lookup_join(hits.select("word", "regex"), starts, "regex", small_fits=seqs_fit).select("word", "seq_key", "first", "terms")
 
 
 def sequence_hits(items: DataFrame, seqs: DataFrame, seqs_fit: bool) -> DataFrame:
-    """``(item_id, seq_key)``: which item holds which sequence; partitioned by item.
+    """``(item_id, seq_key)``: which item holds which sequence.
 
-    The titles are read twice, once for the vocabulary and once for the places of its matching
-    words, which are written down.
+    The texts are read twice: once for the vocabulary, and once to look at the occurrences of each
+    sequence's rarest pattern, around which the item's own words must match the others. Anchors that
+    fit are broadcast, and that pass is narrow; otherwise anchor words meet tokens by a
+    salted join, and only items with a candidate are looked at again.
     """
-    tokens = items.select("item_id", F.posexplode(line_words(F.col("line"))).alias("pos", "word"))
+    worded = items.select("item_id", line_words(F.col("line")).alias("words"))
+    tokens = worded.select("item_id", F.posexplode("words").alias("pos", "word"))
     patterns = seqs.select(F.inline("terms")).groupBy("regex").agg(F.min("probe").alias("probe"))
     hits = durable(word_hits(tokens, patterns, seqs_fit))
-    starts = durable(sequence_starts(seqs, hits, seqs_fit))
-    live = starts.select("seq_key", F.inline("terms")).withColumnRenamed("pos", "k")
-    wanted = lookup_join(hits, live.select("regex"), "regex", "left_semi", small_fits=seqs_fit).select("word", "regex")
-    found = durable(lookup_join(tokens, wanted, "word", small_fits=is_small(hits)).select("item_id", "pos", "regex"))
-
-    begun = lookup_join(found, starts.drop("terms"), "regex", small_fits=seqs_fit).select(
-        "item_id", "seq_key", "len", "first", (F.col("pos") - F.col("first")).alias("start"))
-    single = begun.filter("len = 1").select("item_id", "seq_key")
-    open_ends = lookup_join(begun.filter("len > 1 and start >= 0"), live, "seq_key", small_fits=seqs_fit).filter("k <> first")
-    checks = open_ends.select("item_id", (F.col("start") + F.col("k")).alias("pos"), "regex", "seq_key", "start", "len")
-    whole = (
-        checks.join(found, ["item_id", "pos", "regex"], "left_semi")
-        .groupBy("item_id", "seq_key", "start", "len").agg(F.count("*").alias("_ok"))
-        .filter("_ok = len - 1").select("item_id", "seq_key")
-    )
-    # one shuffle by item serves this distinct and the counts and distincts that follow
-    return single.unionByName(whole).repartition("item_id").distinct()
+    anchors = durable(sequence_anchors(seqs, hits, seqs_fit))
+    around = F.expr("forall(terms, t -> coalesce(try_element_at(words, pos - first + t.pos + 1), '') rlike t.regex)")
+    if is_small(anchors):
+        placed = worded.select("item_id", "words", F.posexplode("words").alias("pos", "word"))
+        met = placed.join(F.broadcast(anchors), "word")
+    else:
+        candidates = lookup_join(tokens, anchors, "word", small_fits=False)
+        met = candidates.filter("pos >= first").join(worded, "item_id")
+    return met.filter(F.col("pos") >= F.col("first")).filter(around).select("item_id", "seq_key").distinct()
 
 
 def conj_hits(seq_hits: DataFrame, places: DataFrame, places_fit: bool) -> DataFrame:

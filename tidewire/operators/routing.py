@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions.affix import any_affix_match, glob_keys, affixes
@@ -22,6 +23,8 @@ CHANNEL_SLOTS = 1024
 CAP_SALTS = 32
 MAX_PLAN_PAIRS = 1_000
 
+Deduplicator = Callable[[DataFrame], DataFrame]
+
 
 def item_source(items: DataFrame, sources: DataFrame) -> DataFrame:
     """Items with the columns of their source; items of unknown sources are left out."""
@@ -49,7 +52,7 @@ def from_active_sources(items: DataFrame, filters: DataFrame, rules: list[Rule]
         return items.filter(reduce(lambda a, b: a | b, [r.covers(F.col("src")) for r in rules], F.lit(False)))
     globs = filters.select(F.explode(glob_keys(F.col("sources"))).alias("_glob")).distinct()
     names = items.select("src").distinct()
-    known = names.select("src", F.explode(affixes(F.col("src"))).alias("_glob")).join(globs, "_glob", "left_semi")
+    known = lookup_join(names.select("src", F.explode(affixes(F.col("src"))).alias("_glob")), globs, "_glob", "left_semi")
     return lookup_join(items, known.select("src").distinct(), "src", "left_semi")
 
 
@@ -57,18 +60,21 @@ def scoped_pairs(items: DataFrame, filters: DataFrame) -> DataFrame:
     """``(src, filter_id)`` for the documented meaning: a filter only sees the sources it names."""
     names = items.select("src").distinct().select("src", F.explode(affixes(F.col("src"))).alias("_glob"))
     globs = filters.select("filter_id", F.explode(glob_keys(F.col("sources"))).alias("_glob"))
-    return names.join(globs, "_glob").select("src", "filter_id").distinct()
+    # "" is one hot key here
+    return lookup_join(names, globs, "_glob").select("src", "filter_id").distinct()
 
 
 def item_matches(items: DataFrame, filters: DataFrame, scoped: bool = False, by_vocabulary: bool | None = None,
                  rules: list[Rule] | None = None) -> DataFrame:
-    """``(item_id, filter_id)`` over items with a token line, by columns when the rules are few."""
+    """``(item_id, filter_id)`` over items with a token line, by columns when the rules are few.
+
+    ``by_vocabulary`` asks for one of the two ways; they give the same rows, and too many rules
+    for columns go through the vocabulary in any case.
+    """
     if rules is None and not by_vocabulary:
         rules = compile_rules(filters)
     if rules is not None and not by_vocabulary:
         return match_by_columns(items, rules, scoped).select("item_id", "filter_id")
-    if by_vocabulary is False:
-        raise ValueError("too many rules for columns")
     found = match_by_vocabulary(items, filters)
     if not scoped:
         return found
@@ -83,37 +89,44 @@ def active_item_matches(items: DataFrame, filters: DataFrame, scoped: bool = Fal
     return item_matches(active, filters, scoped, by_vocabulary, rules)
 
 
-def matched_items(items: DataFrame, filters: DataFrame, scoped: bool = False) -> DataFrame:
-    """Items of active sources with at least one satisfied filter, ``filter_ids`` the satisfied ones."""
+def matched_items(items: DataFrame, filters: DataFrame, scoped: bool = False, by_vocabulary: bool | None = None) -> DataFrame:
+    """Items of active sources with at least one satisfied filter: ``filter_ids`` the satisfied ones, and their dedup ``key``.
+
+    Items are told apart by id, source and words, so rows that repeat an id each get their own filters.
+    """
     rules = compile_rules(filters)
     items = prepared(from_active_sources(items, filters, rules))
-    if rules is not None:
+    if rules is not None and not by_vocabulary:
         found = items.select("*", once(match_column(rules, scoped)).alias("filter_ids"))
-        return found.filter(F.size("filter_ids") > 0)
-    sets = item_matches(items, filters, scoped, True).groupBy("item_id").agg(
-        F.array_sort(F.collect_set("filter_id")).alias("filter_ids"))
-    return items.join(sets, "item_id")
+        return with_key(found.filter(F.size("filter_ids") > 0))
+    rows = items.withColumn("_row", F.xxhash64("item_id", "src", "line"))
+    found = item_matches(rows.select(F.col("_row").alias("item_id"), "src", "line"), filters, scoped, True)
+    sets = found.groupBy(F.col("item_id").alias("_row")).agg(F.array_sort(F.collect_set("filter_id")).alias("filter_ids"))
+    return with_key(rows).join(sets, "_row").drop("_row")
 
 
-def survivors(items: DataFrame, filters: DataFrame, scoped: bool = False, details: DataFrame | None = None) -> DataFrame:
-    """Matched items, first of each title; only matched items count as seen.
+def survivors(items: DataFrame, filters: DataFrame, scoped: bool = False, details: DataFrame | None = None,
+              sources: DataFrame | None = None, dedup: Deduplicator = dedup_first, by_vocabulary: bool | None = None) -> DataFrame:
+    """Matched items that ``dedup`` leaves; only matched items count as seen.
 
-    ``details`` holds more item columns by ``item_id``, such as ``published``. They are joined
-    to the matches only, so unmatched titles never cross the network.
+    ``sources`` lets in only items of known sources, and of those the ones that pass their
+    source's categories. ``details`` holds more item columns by ``item_id``, such as
+    ``published``. They are joined to the matches only, so unmatched texts never cross the network.
     """
-    found = matched_items(items, filters, scoped)
+    if sources is not None:
+        items = category_prefilter(items, sources)
+    found = matched_items(items, filters, scoped, by_vocabulary)
     if details is not None:
         found = found.join(details, "item_id")
-    return dedup_first(with_key(found))
+    return dedup(found)
 
 
 def routes(kept: DataFrame, filters: DataFrame, pubs: DataFrame) -> DataFrame:
     """Survivors to one row per item and publisher, the union over the satisfied filters.
 
     While the resolved publishers are few they go into the plan as a map and no shuffle is
-    needed; otherwise (filter, publisher) pairs are joined and made distinct per item.
+    needed; otherwise they are looked up per distinct set of filters. Rows that repeat an item stay rows.
     """
-    kept = kept.drop("line")
     pairs = filter_pubs(pubs, filters)
     few = pairs.limit(MAX_PLAN_PAIRS + 1).collect()
     if len(few) <= MAX_PLAN_PAIRS:
@@ -122,29 +135,37 @@ def routes(kept: DataFrame, filters: DataFrame, pubs: DataFrame) -> DataFrame:
             resolved.setdefault(pair.filter_id, []).append(pair.pub)
         if not resolved:
             return kept.filter(F.lit(False)).withColumn("pub", F.lit("")).drop("filter_ids")
-        by_filter = F.create_map(*[c for f, names in resolved.items() for c in (F.lit(f), F.array(*map(F.lit, sorted(names))))])
+        id_type = filters.schema["filter_id"].dataType
+        by_filter = F.create_map(*[c for f, names in resolved.items() for c in (F.lit(f).cast(id_type), F.array(*map(F.lit, sorted(names))))])
         none = F.array().cast("array<string>")
         union = F.array_distinct(F.flatten(F.transform("filter_ids", lambda f: F.coalesce(F.try_element_at(by_filter, f), none))))
         return kept.select("*", F.explode(union).alias("pub")).drop("filter_ids")
-    each = kept.select("*", F.explode("filter_ids").alias("filter_id")).drop("filter_ids")
-    return lookup_join(each, pairs, "filter_id").drop("filter_id").dropDuplicates(["item_id", "pub"])
+    kept = durable(kept)
+    each = kept.select("filter_ids").distinct().select("filter_ids", F.explode("filter_ids").alias("filter_id"))
+    union = lookup_join(each, pairs, "filter_id").select("filter_ids", "pub").distinct()
+    return lookup_join(kept, union, "filter_ids").drop("filter_ids")
 
 
-def route_items(items: DataFrame, filters: DataFrame, pubs: DataFrame, scoped: bool = False,
-                details: DataFrame | None = None) -> DataFrame:
-    """The whole way: active sources, match, first of each title, publishers of each survivor."""
-    return routes(survivors(items, filters, scoped, details), filters, pubs)
+def route_items(items: DataFrame, filters: DataFrame, pubs: DataFrame, scoped: bool = False, details: DataFrame | None = None,
+                sources: DataFrame | None = None, dedup: Deduplicator = dedup_first, by_vocabulary: bool | None = None) -> DataFrame:
+    """The whole way: known and wanted by their source, active sources, match, dedup, publishers of each survivor."""
+    return routes(survivors(items, filters, scoped, details, sources, dedup, by_vocabulary), filters, pubs)
 
 
 def item_pub_sets(routed: DataFrame) -> DataFrame:
     return routed.groupBy("item_id").agg(F.array_sort(F.collect_set("pub")).alias("pubs"))
 
 
-def rendered(routed: DataFrame, pubs: DataFrame) -> DataFrame:
-    """Routed rows with the message and link of their publisher."""
+def default_layout() -> Column:
+    """The message of a row by its publisher's template."""
+    return render_each(F.col("template"), item_slots())
+
+
+def rendered(routed: DataFrame, pubs: DataFrame, layout: Callable[[], Column] = default_layout) -> DataFrame:
+    """Routed rows with the message and link of their publisher; ``layout`` makes the message from item and publisher columns."""
     dims = pubs.select(F.col("name").alias("pub"), "url_format", "template")
     full = lookup_join(routed, dims, "pub")
-    return full.withColumn("message", render_each(F.col("template"), item_slots())).withColumn(
+    return full.withColumn("message", layout()).withColumn(
         "url", build_url(F.col("url_format"), F.col("message")))
 
 
@@ -172,9 +193,9 @@ def delivery_cap(routed: DataFrame, cap: int = CHANNEL_SLOTS) -> DataFrame:
     return marked.drop("_slot", "_last")
 
 
-def outbox(routed: DataFrame, pubs: DataFrame, cap: int = CHANNEL_SLOTS) -> DataFrame:
+def outbox(routed: DataFrame, pubs: DataFrame, cap: int = CHANNEL_SLOTS, layout: Callable[[], Column] = default_layout) -> DataFrame:
     """What would be sent: ``(pub, item_id, message, url, event)``."""
-    return rendered(delivery_cap(routed, cap), pubs).select("pub", "item_id", "message", "url", "event")
+    return rendered(delivery_cap(routed, cap), pubs, layout).select("pub", "item_id", "message", "url", "event")
 
 
 def audit_log(routed: DataFrame) -> DataFrame:

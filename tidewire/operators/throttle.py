@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from datetime import timedelta
 
@@ -16,6 +17,8 @@ from tidewire.plans.sizing import lookup_join
 from tidewire.session import durable
 
 HOT_ROWS = 5_000_000
+# The place of a missing time, in microseconds.
+NO_TIME = -(1 << 62)
 CELL_ROWS = 100_000
 
 
@@ -23,8 +26,8 @@ def throttle(rows: DataFrame, key: str, cooldown: timedelta | Column, ts: str =
              hot_rows: int = HOT_ROWS, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Keep a row iff ``ts`` is at least ``cooldown`` after the key's last kept row.
 
-    The first row of a key is always kept; equal times go by ``tie``. The cooldown is positive
-    and one value per key. Keys with up to ``hot_rows`` rows are sorted and streamed, a task
+    The first row of a key is always kept; equal times go by ``tie``. A row without a time comes
+    before all others, so one such row of a key is kept. The cooldown is positive and one value per key. Keys with up to ``hot_rows`` rows are sorted and streamed, a task
     holding one batch at a time. Hotter keys are resolved by joins alone, see :func:`_hot_kept`.
     """
     if isinstance(cooldown, timedelta):
@@ -60,7 +63,7 @@ def _cooldown_stream(key: str, ts: str):
             if size == 0:
                 continue
             codes = pc.dictionary_encode(batch.column(key), null_encoding="encode").indices.to_numpy()
-            times = batch.column(ts).cast(pa.int64()).to_numpy()
+            times = batch.column(ts).cast(pa.int64()).fill_null(NO_TIME).to_numpy()
             cools = batch.column("_cool").cast(pa.int64()).to_numpy()
             starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
             keep = np.zeros(size, dtype=bool)
@@ -87,8 +90,9 @@ def micros(ts: Column) -> Column:
 
 def interval_micros(span: Column) -> Column:
     """A day-time interval in microseconds."""
+    span = span.cast("interval day to second")
     parts = {"DAY": 86_400_000_000, "HOUR": 3_600_000_000, "MINUTE": 60_000_000, "SECOND": 1_000_000}
-    return sum(((F.extract(F.lit(part), span) * size).cast("bigint") for part, size in parts.items()), F.lit(0))
+    return sum(((F.extract(F.lit(part), span) * F.lit(size).cast("bigint")).cast("bigint") for part, size in parts.items()), F.lit(0))
 
 
 def _hot_kept(rows: DataFrame, key: str, ts: str, tie: str, cell_rows: int) -> DataFrame:
@@ -101,10 +105,9 @@ def _hot_kept(rows: DataFrame, key: str, ts: str, tie: str, cell_rows: int) -> D
     (key, instant).
     """
     at = micros(F.col(ts)) if rows.schema[ts].dataType.typeName() == "timestamp_ntz" else F.unix_micros(ts)
+    rows = rows.withColumn("_at", F.coalesce(at, F.lit(NO_TIME)))
     instants = durable(
-        rows.groupBy(key, ts).agg(F.min(tie).alias(tie), F.min(interval_micros(F.col("_cool"))).alias("_cool"))
-        .select(key, ts, tie, at.alias("_at"), "_cool")
-    )
+        rows.groupBy(key, "_at").agg(F.min(tie).alias(tie), F.min(interval_micros(F.col("_cool"))).alias("_cool")))
     links = [durable(_links(instants, key, cell_rows))]
     while True:
         once, again = links[-1], links[-1].select(key, F.col("_at").alias("_next"), F.col("_next").alias("_after"))
@@ -115,8 +118,8 @@ def _hot_kept(rows: DataFrame, key: str, ts: str, tie: str, cell_rows: int) -> D
     chain = instants.groupBy(key).agg(F.min("_at").alias("_at"))
     for step in reversed(links):
         chain = durable(chain.unionByName(chain.join(step, [key, "_at"]).select(key, F.col("_next").alias("_at"))))
-    kept = instants.join(chain, [key, "_at"], "left_semi").select(key, ts, tie)
-    return rows.join(kept, [key, ts, tie], "left_semi")
+    kept = instants.join(chain, [key, "_at"], "left_semi").select(key, "_at", tie)
+    return rows.join(kept, [key, "_at", tie], "left_semi").drop("_at")
 
 
 def _links(instants: DataFrame, key: str, cell_rows: int) -> DataFrame:
@@ -135,11 +138,27 @@ def _links(instants: DataFrame, key: str, cell_rows: int) -> DataFrame:
         key, "_x", "_at", cell.alias("_cell"), F.when(F.col("_at").isNull(), F.col("_x")).alias("_row"))
     # latest first; at equal times rows come before the questions they answer
     in_cell = Window.partitionBy(key, "_cell").orderBy(F.desc("_x"), F.desc_nulls_last("_row")).rowsBetween(Window.unboundedPreceding, 0)
-    later = Window.partitionBy(key).orderBy(F.desc("_cell")).rowsBetween(Window.unboundedPreceding, -1)
-    cells = points.groupBy(key, "_cell").agg(F.min("_row").alias("_low")).select(
-        key, "_cell", F.last("_low", ignorenulls=True).over(later).alias("_later"))
+    cells = _later_lows(points.groupBy(key, "_cell").agg(F.min("_row").alias("_low")), key)
     answered = points.withColumn("_near", F.last("_row", ignorenulls=True).over(in_cell)).filter(F.col("_at").isNotNull())
     return (
         answered.join(cells, [key, "_cell"])
         .select(key, "_at", F.coalesce("_near", "_later").alias("_next")).filter(F.col("_next").isNotNull())
     )
+
+
+def _later_lows(cells: DataFrame, key: str) -> DataFrame:
+    """``(key, _cell, _later)``: the lowest instant of the cells after each one.
+
+    Cells go in blocks, about as many as a block has cells: each block looks inside itself, and what
+    it cannot answer is the first instant of the next block. No window holds all cells of a key.
+    """
+    spread = cells.agg(F.min(F.when(F.col("_cell") > -(1 << 40), F.col("_cell"))), F.max("_cell")).first()
+    low, high = spread[0] or 0, spread[1] or 0
+    width = max(1, math.isqrt(max(0, high - low)))
+    blocked = cells.withColumn("_block", F.expr(f"_cell div {width}"))
+    inside = Window.partitionBy(key, "_block").orderBy(F.desc("_cell")).rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy(key).orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocked.groupBy(key, "_block").agg(F.min("_low").alias("_first")).select(
+        key, "_block", F.last("_first", ignorenulls=True).over(across).alias("_beyond"))
+    near = blocked.withColumn("_near", F.last("_low", ignorenulls=True).over(inside))
+    return near.join(blocks, [key, "_block"]).select(key, "_cell", F.coalesce("_near", "_beyond").alias("_later"))

@@ -111,7 +111,7 @@ def translate(pattern: str) -> Translated | None:
         if ending is None:
             return None
         out.append(ending)
-    if _NOT_PORTABLE.search(body):
+    if _NOT_PORTABLE.search(body) or "\\(" in body or "\\)" in body:
         return None
     return Translated("".join(out), _probe(body, anchored))
 

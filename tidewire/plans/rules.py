@@ -25,9 +25,9 @@ SEQ = ["filter_id", "conj_id", "seq_id"]
 
 
 def cond_tree(cond: Column | str) -> Column:
-    """A condition as nested arrays: alternatives, their all-of parts, their words."""
+    """A condition as nested arrays: alternatives, their all-of parts, their words; null has none."""
     return F.transform(
-        split_trim(cond, ";"),
+        split_trim(F.coalesce(F.col(cond) if isinstance(cond, str) else cond, F.lit("")), ";"),
         lambda conj: F.transform(split_trim(conj, "&"), lambda seq: split_trim(seq, " ")),
     )
 
@@ -70,6 +70,7 @@ def rule_lint(filters: DataFrame) -> DataFrame:
     ``PREFIX_DUP``: the sequence extends one that comes earlier in its rule. ``SHADOWED``: it is
     the beginning of an earlier one. ``ALWAYS_TRUE_CONJ``: an all-of part is also an alternative
     by itself. ``REPEATED_IN_CONJ``: named twice in one all-of. ``BAD_PATTERN``: no valid regex.
+    ``NO_CONDITION``: nothing to match, so ``seq`` is empty.
     "Earlier" is by alternatives without ``&`` first, then by their length in bytes. Beginnings
     are found by an equi-join on the cut-off sequence, not by comparing all pairs.
     """
@@ -106,7 +107,9 @@ def rule_lint(filters: DataFrame) -> DataFrame:
     )
     bad = translated_terms(rule_terms(filters)).filter(F.col("regex").isNull()).select(
         "filter_id", F.lit("BAD_PATTERN").alias("code"), F.col("pattern").alias("seq"))
-    return nested.unionByName(always).unionByName(repeated).unionByName(bad).distinct()
+    nothing = filters.filter(~F.exists(cond_tree("cond"), lambda conj: F.exists(conj, lambda seq: F.size(seq) > 0))).select(
+        "filter_id", F.lit("NO_CONDITION").alias("code"), F.lit("").alias("seq"))
+    return nested.unionByName(always).unionByName(repeated).unionByName(bad).unionByName(nothing).distinct()
 
 
 @dataclass
@@ -116,6 +119,10 @@ class Rule:
     filter_id: int
     sources: list[str]
     conjs: list[list[list[str]]]
+    id_type: str = "int"
+
+    def id_column(self) -> Column:
+        return F.lit(self.filter_id).cast(self.id_type)
 
     def matches(self, line: Column) -> Column:
         """Does the token line satisfy the condition? Single sequences are tried before all-ofs."""
@@ -147,6 +154,7 @@ def compile_rules(filters: DataFrame) -> list[Rule] | None:
     A rule with a bad pattern never matches, though the sources it names stay active.
     At most ``MAX_COLUMN_RULES`` + 1 rows come to the driver.
     """
+    id_type = filters.schema["filter_id"].dataType.simpleString()
     rows = filters.select("filter_id", "sources", cond_tree("cond").alias("tree")).limit(MAX_COLUMN_RULES + 1).collect()
     terms = [(r.filter_id, pattern) for r in rows for conj in r.tree for seq in conj for pattern in seq]
     if len(rows) > MAX_COLUMN_RULES or len(terms) > MAX_COLUMN_TERMS:
@@ -154,7 +162,7 @@ def compile_rules(filters: DataFrame) -> list[Rule] | None:
     good = good_patterns(filters.sparkSession, {pattern for _, pattern in terms})
     broken = {filter_id for filter_id, pattern in terms if pattern not in good}
     return [
-        Rule(r.filter_id, list(r.sources), [] if r.filter_id in broken else [list(conj) for conj in r.tree])
+        Rule(r.filter_id, list(r.sources or []), [] if r.filter_id in broken else [list(conj) for conj in r.tree], id_type)
         for r in sorted(rows, key=lambda r: r.filter_id)
     ]
 

@@ -1,6 +1,7 @@
 """Item views over tables, and how an item is made ready for matching.
 
-Item schema: ``item_id, src, title, link, categories array<string>, published`` (nullable).
+Item schema: ``item_id, src, title, link, categories array<string>, published`` (nullable). An item may
+also have a ``text``: that is matched and deduplicated then, in place of the title, which is what is shown.
 """
 
 from __future__ import annotations
@@ -43,11 +44,12 @@ def first_line(text: Column | str) -> Column:
 
 
 def document_titles(documents: DataFrame) -> DataFrame:
-    """Documents as titled rows: the title is the first line, as a headline is; the rest is the body."""
+    """Documents as items: the whole text counts, its first line is what is shown, as a headline is."""
     return documents.select(
         F.col("doc_id").alias("item_id"),
         F.concat_ws(".", "lang", "source").alias("src"),
         first_line("text").alias("title"),
+        "text",
         F.concat(F.lit(LINK_BASE), F.col("doc_id").cast("string")).alias("link"),
     )
 
@@ -103,9 +105,11 @@ def rejected_items(items: DataFrame) -> DataFrame:
 
 
 def prepared(items: DataFrame) -> DataFrame:
-    """Valid items with their token line, computed once."""
-    return valid_items(items).select("*", once(token_line("title")).alias("line"))
+    """Valid items with the token line of their text (or else title), computed once."""
+    body = "text" if "text" in items.columns else "title"
+    return valid_items(items).select(*[c for c in items.columns if c != "text"], once(token_line(body)).alias("line"))
 
 
 def with_key(items: DataFrame) -> DataFrame:
-    return items.withColumn("key", dedup_key(F.col("line")))
+    """The dedup key in place of the token line, which may be long."""
+    return items.withColumn("key", dedup_key(F.col("line"))).drop("line")

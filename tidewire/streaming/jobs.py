@@ -2,70 +2,89 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+from datetime import timedelta
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidewire.functions.affix import affixes, glob_keys
-from tidewire.operators.dimensions import filter_pubs
-from tidewire.operators.routing import MAX_PLAN_PAIRS, matched_items, routes
-from tidewire.plans.rules import compile_rules
-from tidewire.session import run_dir
-from tidewire.sources.sinks import Publisher
-from tidewire.sources.tables import document_stamps, document_titles, prepared, with_key
+from tidewire.operators.dedup import dedup_first
+from tidewire.operators.routing import category_prefilter, default_layout, matched_items, rendered, routes
+from tidewire.session import durable, run_dir
+from tidewire.sources.sinks import Publisher, outbox_publisher
+from tidewire.sources.tables import document_stamps, document_titles
+
+#: A deduplicator of micro-batches: (matched rows, batch id) to the rows to go on with.
+BatchDeduplicator = Callable[[DataFrame, int], DataFrame]
+REMEMBERED = timedelta(days=30)
 
 
 def stream_table(spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
-    """A table folder's files as a stream; files added later are picked up."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet")
+    """The files of one table as a stream, be it a file or a folder; files added to a folder later are picked up."""
+    path = f"{folder}/{name}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(folder)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
+        return reader.parquet(path)
+    # file streams read folders: this one is held to the file of this very name
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+
+
+def dedup_stream(items: DataFrame, within: timedelta = REMEMBERED, key: str = "key") -> DataFrame:
+    """First of each key to arrive; a key is remembered for ``within`` of its arrival at least.
+
+    What the rows say about their own time plays no part: rows without a time are sent once, and old rows are not late.
+    """
+    arrived = items.withColumn("_arrived", F.current_timestamp())
+    return arrived.withWatermark("_arrived", f"{int(within.total_seconds())} seconds").dropDuplicatesWithinWatermark([key]).drop("_arrived")
 
 
-def dedup_stream(items: DataFrame, within: str, key: str = "key", ts: str = "published") -> DataFrame:
-    """First of each key, remembered for at least ``within`` of event time."""
-    timed = items.withColumn("_event", F.col(ts).cast("timestamp"))  # watermarks need a zoned time
-    return timed.withWatermark("_event", within).dropDuplicatesWithinWatermark([key]).drop("_event")
+class ArrivalMemory:
+    """Remembers the keys of what went out, by arrival, in a table beside the stream's checkpoint.
+
+    Each micro-batch writes its own part under its id, so a repeated batch replaces itself, and sees the parts of
+    the batches before it that are younger than ``within``. A part holds a key and a time for each row that went out.
+    """
 
+    def __init__(self, spark: SparkSession, path: str, within: timedelta = REMEMBERED):
+        self.path, self.within = path, within
+        empty = spark.createDataFrame([], "key string, arrived timestamp")
+        empty.write.mode("overwrite").parquet(f"{path}/batch=-1")
 
-def match_stream(items: DataFrame, filters: DataFrame, within: str, scoped: bool = False) -> DataFrame:
-    """Matched items of a stream, first of each title; needs a rule table that fits columns."""
-    return dedup_stream(with_key(matched_items(items, filters, scoped)), within)
+    def __call__(self, found: DataFrame, batch_id: int) -> DataFrame:
+        spark = found.sparkSession
+        known = spark.read.schema("key string, arrived timestamp, batch long").parquet(self.path).filter(
+            (F.col("batch") < batch_id) & (F.col("arrived") >= F.current_timestamp() - F.lit(self.within)))
+        fresh = durable(dedup_first(found).join(known.select("key"), "key", "left_anti"), "fresh")
+        fresh.select("key", F.current_timestamp().alias("arrived")).write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+        return fresh
 
 
 def start_route(items: DataFrame, filters: DataFrame, pubs: DataFrame, publish: Publisher | str, checkpoint: str,
-                within: str = "1 day", **trigger) -> StreamingQuery:
-    """Route a stream of items to ``publish``: a path for an outbox by publisher, or a batch function.
+                within: timedelta = REMEMBERED, sources: DataFrame | None = None, scoped: bool = False,
+                dedup: BatchDeduplicator | None = None, layout: Callable[[], Column] = default_layout, **trigger) -> StreamingQuery:
+    """Route a stream of items to ``publish``: a path for an outbox by micro-batch and publisher, or a batch function.
 
-    Few rules become columns of the stream itself. Many rules are matched per micro-batch, after
-    dedup: whether a title matches depends on its words alone, and so does its key, so the order
-    of the two makes no difference.
+    Each micro-batch takes the way of the batch operators, whatever the number of rules: sources, match, dedup,
+    publishers, message and link. ``dedup`` defaults to an :class:`ArrivalMemory` beside the checkpoint. Rows come with
+    all item columns, ``key``, ``pub``, ``message`` and ``url``.
     """
-    few = compile_rules(filters) is not None and filter_pubs(pubs, filters).limit(MAX_PLAN_PAIRS + 1).count() <= MAX_PLAN_PAIRS
-    if few:
-        routed = routes(match_stream(items, filters, within), filters, pubs)
-        writer = routed.writeStream
-        if isinstance(publish, str):
-            writer = writer.format("parquet").option("path", publish).partitionBy("pub")
-        else:
-            writer = writer.foreachBatch(publish)
-    else:
-        named = filters.select(F.explode(glob_keys(F.col("sources"))).alias("_glob")).distinct()
-        # an item may meet several globs here; dedup leaves one of its copies
-        active = items.withColumn("_glob", F.explode(affixes(F.col("src")))).join(named, "_glob", "left_semi").drop("_glob")
-        first = dedup_stream(with_key(prepared(active)), within).drop("line")
-
-        def match_batch(batch: DataFrame, batch_id: int) -> None:
-            found = routes(with_key(matched_items(batch.drop("key"), filters)), filters, pubs)
-            if isinstance(publish, str):
-                found.write.mode("overwrite").partitionBy("pub").parquet(f"{publish}/batch={batch_id}")
-            else:
-                publish(found, batch_id)
-
-        writer = first.writeStream.foreachBatch(match_batch)
-    return writer.option("checkpointLocation", checkpoint).outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
+    spark = items.sparkSession
+    dedup = dedup or ArrivalMemory(spark, f"{checkpoint.rstrip('/')}-keys", within)
+    publish = outbox_publisher(publish) if isinstance(publish, str) else publish
+
+    def route(batch: DataFrame, batch_id: int) -> None:
+        rows = durable(batch, "batch")
+        if sources is not None:
+            rows = category_prefilter(rows, sources)
+        fresh = dedup(matched_items(rows, filters, scoped), batch_id)
+        publish(rendered(routes(fresh, filters, pubs), pubs, layout), batch_id)
+
+    writer = items.writeStream.foreachBatch(route).option("checkpointLocation", checkpoint)
+    return writer.outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
 
 
 def drain(rows: DataFrame, name: str) -> DataFrame:

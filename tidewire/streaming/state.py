@@ -7,14 +7,18 @@ one key brings per batch is bounded by the trigger's file or byte limit.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import timedelta
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tidewire.functions.hours import is_muted
 from tidewire.operators.dedup import KeyMemory
+from tidewire.operators.throttle import NO_TIME, interval_micros
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -25,26 +29,29 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 class Cooldown(StatefulProcessor):
-    """Pass a row when the last passed row of its key is a cooldown ago."""
+    """Pass a row when the last passed row of its key is a cooldown ago, which is the last part of the key, in microseconds.
 
-    def __init__(self, cooldown_us: int, ts: str, tie: str):
-        self.cooldown_us, self.ts, self.tie = cooldown_us, ts, tie
+    A row without a time comes before all others, as in the batch operator.
+    """
+
+    def __init__(self, ts: str, tie: str, columns: list[str]):
+        self.ts, self.tie, self.columns = ts, tie, columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.due = handle.getValueState("due", T.StructType([T.StructField("at", T.LongType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values([self.ts, self.tie], ignore_index=True, na_position="first")
-        times = batch[self.ts].to_numpy("datetime64[us]").astype("int64")
+        times = np.where(batch[self.ts].isna(), NO_TIME, batch[self.ts].to_numpy("datetime64[us]").astype("int64"))
         at = int(np.searchsorted(times, self.due.get()[0])) if self.due.exists() else 0
         kept, due = [], None
         while at < len(times):
             kept.append(at)
-            due = int(times[at]) + self.cooldown_us
+            due = int(times[at]) + int(key[-1])
             at = int(np.searchsorted(times, due))
         if due is not None:
             self.due.update((due,))
-        yield batch.iloc[kept]
+        yield batch.iloc[kept][self.columns]
 
     def close(self) -> None:
         pass
@@ -75,9 +82,14 @@ def _stateful(rows: DataFrame, group: str, processor: StatefulProcessor) -> Data
     return rows.groupBy(group).transformWithStateInPandas(processor, rows.schema, "Append", "None")
 
 
-def throttle_stream(rows: DataFrame, key: str, cooldown, ts: str = "ts", tie: str = "id") -> DataFrame:
-    micros = int(cooldown.total_seconds() * 1_000_000)
-    return _stateful(rows, key, Cooldown(micros, ts, tie))
+def throttle_stream(rows: DataFrame, key: str, cooldown: timedelta | Column, ts: str = "ts", tie: str = "id",
+                    begin: int | Column | None = None, end: int | Column | None = None) -> DataFrame:
+    """One cooldown for all, or one per key as a column; then the mute hours, which may be columns too."""
+    cooldown = F.lit(cooldown) if isinstance(cooldown, timedelta) else cooldown
+    use_rocksdb(rows.sparkSession)
+    keyed = rows.withColumn("_cool", interval_micros(cooldown)).groupBy(key, "_cool")
+    kept = keyed.transformWithStateInPandas(Cooldown(ts, tie, rows.columns), rows.schema, "Append", "None")
+    return kept.filter(~is_muted(F.col(ts), begin, end))
 
 
 def dedup_fifo_stream(rows: DataFrame, group: str, capacity: int, key: str = "key", order=("published", "item_id")) -> DataFrame:
