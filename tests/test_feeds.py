@@ -9,6 +9,8 @@ RSS = """<?xml version="1.0"?><rss><channel><title>Feed</title>
   <pubDate>Mon, 02 Jan 2006 15:04:05 +0300</pubDate><description>long</description></item>
 <item><title> </title><link>http://e.org/2</link><pubDate>Mon, 02 Jan 2006 15:04:05 GMT</pubDate></item>
 <item><title>Three</title><link>http://e.org/3</link></item></channel></rss>"""
+TIMES = {"Mon, 02 Jan 06 15:04 GMT": 15, "02 Jan 06 15:04:05 EST": 20, "02 January 2006 15:04 GMT": 15, "2 Jan 2006 15:04:05 Z": 15, "2006-01-02T15:04Z": 15,
+         "Mon, 02 Jan 2006 15:04:05 +0300": 12, "2006-01-02T15:04:05+01:00": 14, "yesterday": None}
 ATOM = """<?xml version="1.0"?><feed><title>Feed</title>
 <entry><title>A</title><link rel="self" href="http://e.org/x"/><link rel="alternate" href="http://e.org/a"/><category term="t"/>
   <published>2006-01-02T15:04:05Z</published></entry>
@@ -26,6 +28,13 @@ def test_rss(spark, tmp_path):
     assert {r.link for r in valid.collect()} == {"http://e.org/1", "http://e.org/3"}
 
 
+def test_times(spark, tmp_path):
+    items = "".join(f"<item><title>{i}</title><link>l</link><{tag}>{t}</{tag}></item>" for i, t in enumerate(TIMES) for tag in ("pubDate", "dc:date"))
+    (tmp_path / "f.xml").write_text(f'<?xml version="1.0"?><rss xmlns:dc="http://purl.org/dc/elements/1.1/"><channel>{items}</channel></rss>')
+    got = [(r.title, r.published and r.published.hour) for r in feeds.read_feeds(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=lambda r: r[0]) == [(str(i), hour) for i, hour in enumerate(TIMES.values()) for _ in range(2)]
+
+
 def test_atom(spark, tmp_path):
     (tmp_path / "feed.xml").write_text(ATOM)
     rows = {r.title: (r.link, r.categories, r.published) for r in feeds.read_feeds(spark, str(tmp_path), feeds.ATOM).collect()}

@@ -10,7 +10,7 @@ from tidewire.plans.sizing import lookup_join
 from tidewire.sources.tables import once
 
 # Only what an item keeps is in the schemas; descriptions are never read.
-RSS = ("item", "title string, link string, category array<string>, pubDate string, _broken string")
+RSS = ("item", "title string, link string, category array<string>, pubDate string, `dc:date` string, _broken string")
 ATOM = ("entry", "title string, link array<struct<_href: string, _rel: string>>, category array<struct<_term: string>>, "
         "published string, updated string, _broken string")
 
@@ -31,7 +31,7 @@ def _items(raw: DataFrame, kind: tuple[str, str]) -> DataFrame:
     good = pinned.filter(F.col("_row._broken").isNull()).select("_row.*", "file")
     none = F.array().cast("array<string>")
     if kind is RSS:
-        link, categories, time = F.col("link"), F.col("category"), parse_feed_time(F.col("pubDate"))
+        link, categories, time = F.col("link"), F.col("category"), F.coalesce(parse_feed_time(F.col("pubDate")), parse_feed_time(F.col("`dc:date`")))
     else:
         page = F.filter("link", lambda l: F.coalesce(l["_rel"], F.lit("alternate")) == "alternate")
         link = F.try_element_at(page, F.lit(1))["_href"]
