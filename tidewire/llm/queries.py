@@ -98,3 +98,101 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = common.pages(spark, sf_dir)
     numbered = pages.select(common.shown_document("url").alias("doc_id"), "html")
     return html.extract_pages(pages, html.fit(numbered, common.documents(spark, sf_dir)))
+
+
+def hexadecimal(digits: str) -> str:
+    return f"CAST('0x' || {digits} AS BIGINT)"
+
+
+ORACLE["op4_mixture"] = f"""
+WITH RECURSIVE sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
+sizes AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n FROM sized GROUP BY source),
+weighted AS (
+  SELECT *, row_number() OVER (ORDER BY source IS NULL, encode(source)) AS place,
+         CASE (row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight,
+         2 * source_size AS stop, sum(source_size) OVER () AS whole FROM sizes),
+levels AS (
+  SELECT *, row_number() OVER stops AS turn,
+         (whole * 1.5::DOUBLE - coalesce(sum(stop) OVER (stops ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / (sum(weight) OVER () - coalesce(sum(weight) OVER (stops ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level
+  FROM weighted WINDOW stops AS (ORDER BY stop / weight, place)),
+final AS (SELECT min_by(level, turn) AS level FROM levels WHERE level * weight <= stop),
+targets AS (SELECT l.source, l.source_size, l.n, least(l.stop::DOUBLE, l.weight * f.level) AS target FROM levels l, final f),
+drawn AS (
+  SELECT s.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN round(t.target / t.source_size * {mixture.UNIT})::BIGINT ELSE 0 END AS rate,
+         {hexadecimal(f"substr(md5('{mixture.SEED}|' || coalesce(s.source, '')), 1, 6)")} % {mixture.UNIT} AS shift,
+         floor(2 * (ln(s.size + 1) / ln(2)))::INTEGER AS class, sqrt(t.n) AS width,
+         md5('{mixture.SEED}|' || coalesce(s.doc_id::VARCHAR, '') || '|' || s.size) AS draw
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+placed AS (
+  SELECT *, floor({hexadecimal("substr(draw, 1, 8)")} / 4294967296.0::DOUBLE * greatest(1.0, least(width, pow(width, 2) / 128)))::BIGINT AS slot FROM drawn),
+summed AS (
+  SELECT *, shift + sum(rate) OVER (PARTITION BY source ORDER BY class, slot, size, draw, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - rate AS start FROM placed)
+SELECT doc_id, size, source_size, target, (size * (((start + rate)::BIGINT >> 24) - (start::BIGINT >> 24)))::BIGINT AS taken FROM summed
+"""
+
+CRC_TABLE = ("list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), "
+             "lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END))")
+ORACLE["op9_shards"] = f"""
+WITH sized AS (SELECT doc_id, source, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS raw FROM documents),
+crc AS (SELECT {CRC_TABLE} AS steps),
+summed AS (
+  SELECT doc_id, source, (len(raw) // 2 + 1)::BIGINT AS size,
+         xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(len(raw) // 2), lambda i: CAST('0x' || substr(raw, 2 * i + 1, 2) AS BIGINT))),
+             lambda c, b: xor(steps[(xor(c, b) & 255) + 1], c >> 8))) AS text_crc32
+  FROM sized, crc),
+ranked AS (
+  SELECT *, md5(concat_ws('|', '{shards.SEED}', coalesce(doc_id::VARCHAR, ''), coalesce(source, ''), size, text_crc32)) AS draw,
+         count(*) OVER (PARTITION BY source) AS n FROM summed),
+fractions AS (SELECT *, (2 * (row_number() OVER (PARTITION BY source ORDER BY draw) - 1) + 1) / (2 * n)::DOUBLE AS fraction FROM ranked),
+placed AS (SELECT *, row_number() OVER (ORDER BY fraction, source NULLS FIRST, draw) - 1 AS place, count(*) OVER () AS total FROM fractions)
+SELECT doc_id, size, text_crc32, 'rows' AS law, (place * {shards.SHARDS} // total)::INTEGER AS shard,
+       place - ((place * {shards.SHARDS} // total) * total + {shards.SHARDS - 1}) // {shards.SHARDS} AS slot, NULL::INTEGER AS grown_shard
+FROM placed
+"""
+
+ORACLE["op5_ngram_join"] = """
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i + 1:i + 3], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 2, least(len(w), 1)))) AS i FROM worded)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b USING (s) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared.n >= 90 * (x.n + y.n - shared.n)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a AS node, b AS other FROM ways UNION SELECT r.node, l.b FROM reach r JOIN ways l ON l.a = r.other)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(m.low, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN (SELECT node AS doc_id, min(other) AS low FROM reach GROUP BY node) m USING (doc_id)
+"""
+
+
+def merkle_print(text: str) -> str:
+    def cut(n: int) -> str:
+        return f"regexp_extract_all(p, '(?s)[^.!?]{{0,{n - 1}}}(?:[.!?]+\\s*|[^.!?]|$)')"
+
+    leaves = (f"list_transform(list_filter(CASE WHEN length(p) < {merkle.SHORT} THEN {cut(merkle.FINE)} ELSE {cut(merkle.PIECE)} END, lambda x: x <> ''), "
+              f"lambda x: substr(md5(x), 1, {merkle.LEAF}))")
+    body = (f"array_to_string(list_transform(regexp_split_to_array({text}, '\\n[\\t\\f\\r\\v ]*\\n'), lambda s: "
+            f"array_to_string(list_transform(string_split(s, chr(10)), lambda p: coalesce(array_to_string({leaves}, '.'), '')), ',')), ';')")
+    return f"substr(md5(md5({text}) || {body}), 1, {merkle.NODE}) || '/' || {body}"
+
+
+def merkle_likeness(a: str, b: str) -> str:
+    x, y = (f"list_distinct(regexp_split_to_array(substr({c}, {merkle.NODE + 2}), '[;,.]'))" for c in (a, b))
+    return f"CASE WHEN split_part({a}, '/', 1) = split_part({b}, '/', 1) THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect({x}, {y})) / (len({x}) + len({y})) END"
+
+
+ORACLE["op10_merkle"] = f"""
+WITH ordered AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+         coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id), first_value(coalesce(text, '')) OVER (ORDER BY doc_id)) AS following FROM documents),
+edited AS (SELECT *, left(text, length(text) - length(text) // 4) || left(following, length(text) // 4) AS edited FROM ordered),
+printed AS (
+  SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(edited) AS edited_sha256, {merkle_print('text')} AS fingerprint,
+         {merkle_print('edited')} AS edited_fingerprint, {merkle_print('following')} AS next_fingerprint FROM edited)
+SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, {merkle_likeness('fingerprint', 'edited_fingerprint')} AS near_edited,
+       {merkle_likeness('fingerprint', 'next_fingerprint')} AS near_next
+FROM printed
+"""
