@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.llm import common
@@ -120,24 +120,34 @@ class Bands:
         return key.view(np.int64)
 
 
-def sets(docs: DataFrame, words: int, similar: int) -> DataFrame:
-    """doc_id, n (set size), k1 and k2 (the set's hash), keys."""
+def hashed(docs: DataFrame, words: int, schema: str, row) -> DataFrame:
+    """doc_id and what ``row`` makes of each text's shingles."""
     common.text_batches(docs.sparkSession)
+    names = [field.split()[0] for field in schema.split(", ")]
 
-    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bands = Bands(similar)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for text in batch["text"].fillna(""):
-                found = shingles(text, words)
-                whole = xxhash.xxh3_128_intdigest(found.tobytes())
-                rows.append((len(found), (whole >> 64) - (1 << 63), (whole & (1 << 64) - 1) - (1 << 63), bands.keys(found) if len(found) else np.zeros(0, np.int64)))
-            out = pd.DataFrame(rows, columns=["n", "k1", "k2", "keys"])
+            out = pd.DataFrame([row(shingles(text, words)) for text in batch["text"].fillna("")], columns=names)
             out.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield out
 
     narrow = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
-    return narrow.mapInPandas(hashed, "doc_id long, n long, k1 long, k2 long, keys array<long>")
+    return narrow.mapInPandas(run, f"doc_id long, {schema}")
+
+
+def sets(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, n (set size), k1 and k2 (the set's hash)."""
+    def row(found: np.ndarray) -> tuple:
+        whole = xxhash.xxh3_128_intdigest(found.tobytes())
+        return len(found), (whole >> 64) - (1 << 63), (whole & (1 << 64) - 1) - (1 << 63)
+
+    return hashed(docs, words, "n long, k1 long, k2 long", row)
+
+
+def keys(docs: DataFrame, words: int, similar: int) -> DataFrame:
+    """(doc_id, key), some tens or hundreds for each document."""
+    bands = Bands(similar)
+    return hashed(docs, words, "keys array<long>", lambda found: (bands.keys(found) if len(found) else [],)).select("doc_id", F.explode("keys").alias("key"))
 
 
 class Index:
@@ -237,21 +247,22 @@ def link(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR) -> DataFra
     gets a null component where that is the smallest. Rows that repeat a doc_id count as linked with each other where a link reaches one of them.
     """
     text = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    known = durable(sets(docs, words, similar), "sets")
-    full = known.where("n > 0")
-    nodes = durable(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("node")), "nodes")
-    keyed = full.select("doc_id", F.explode("keys").alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("_last")).where("hub <> _last").select("key", "hub")
-    # nodes beside each hub
-    beside = keyed.join(hubs, "key").where("doc_id <> hub").select("hub", "doc_id").distinct()
-    beside = durable(beside.join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), "beside")
+    known = durable(sets(docs, words), "sets")
+    nodes = durable(known.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("node")), "nodes")
+    # a key has one row of two numbers for a document, out of very many that a document has: the most frequent one is a small share of all
+    hub = F.min("doc_id").over(Window.partitionBy("key"))
+    beside = keys(docs, words, similar).select("doc_id", hub.alias("hub")).where("doc_id <> hub").select("hub", "doc_id").distinct()
+    beside = durable(beside.join(nodes.select(F.col("node").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"), "beside")
+    # only documents of some neighbourhood are looked at again; the hints keep what grows with the data from being broadcast
+    wanted = beside.select("doc_id").union(beside.select("hub")).distinct()
+    needed_text = durable(text.join(wanted.hint("merge"), "doc_id", "left_semi"), "candidates")
     sizes = beside.groupBy("hub").agg(F.count("*").alias("_n"))
     dealt = beside.join(sizes, "hub").withColumn("_cell", F.pmod(F.xxhash64("doc_id"), pieces("_n"))).drop("_n")
     members = dealt.select("hub", "_cell", F.lit(0).alias("side"), "doc_id")
     queries = sizes.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), pieces("_n") - 1)).alias("_cell")).select(
         "hub", "_cell", F.lit(1).alias("side"), F.col("hub").alias("doc_id"))
     first = members.union(queries).select(F.xxhash64("hub", "_cell").alias("cell"), "side", "doc_id", F.col("doc_id").alias("label"))
-    edges = durable(search_cells(first.join(text, "doc_id"), words, similar), "links")
+    edges = durable(search_cells(first.join(needed_text.hint("merge"), "doc_id"), words, similar), "links")
     labels = durable(components(edges), "labels")
 
     known_label = beside.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
@@ -264,7 +275,7 @@ def link(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR) -> DataFra
     asked = open_.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), pieces("_others") - 1)).alias("_i"), "_j", F.lit(1).alias("side"), "doc_id", "label")
     indexed = open_.where("label <> _label").select("hub", "_i", F.explode(F.sequence(F.lit(0).cast("long"), pieces("_all") - 1)).alias("_j"), F.lit(0).alias("side"), "doc_id", "label")
     second = indexed.union(asked).select(F.xxhash64("hub", "_i", "_j").alias("cell"), "side", "doc_id", "label")
-    more = durable(search_cells(second.join(text, "doc_id"), words, similar), "links")
+    more = durable(search_cells(second.join(needed_text.hint("merge"), "doc_id"), words, similar), "links")
     final = labels if more.isEmpty() else components(edges.union(more))
 
     placed = nodes.join(final.select("node", F.col("component").alias("_to")), "node", "left").select(
