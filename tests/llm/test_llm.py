@@ -12,13 +12,14 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
+from compare import duck, spark_rows, sql_rows
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tidewire.llm import html, language, lines, merkle, mixture, packing, quality, shards, shingle_join, urls
 from tidewire.llm.components import components
-from tidewire.llm.queries import QUERIES
+from tidewire.llm.queries import ORACLE, QUERIES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -524,3 +525,8 @@ def test_pipeline_equals_its_operators(spark, folder, some):
 def test_native_queries_run_no_python(spark, folder, name):
     plan = QUERIES[name](spark, folder)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|CartesianProduct|BroadcastNestedLoopJoin", plan)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_query_equals_its_sql(spark, folder, name):
+    assert spark_rows(QUERIES[name](spark, folder)) == sql_rows(duck(folder), ORACLE[name])
