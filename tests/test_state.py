@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewire.operators import dedup, throttle
 from tidewire.operators.dedup import KeyMemory
+from tidewire.session import durable
 
 ITEMS = "item_id long, src string, key string, published timestamp_ntz"
 START = datetime(2024, 1, 1)
@@ -165,3 +166,14 @@ def test_hot_throttle_has_no_window_over_all_cells(spark):
     cells = spark.range(10_000).select(F.lit(1).alias("k"), F.col("id").alias("_cell"), F.when(F.col("id") % 7 == 0, F.col("id")).alias("_low"))
     later = {r._cell: r._later for r in throttle._later_lows(cells, "k").collect()}
     assert all(later[c] == (c // 7 * 7 + 7 if c // 7 * 7 + 7 < 10_000 else None) for c in range(10_000))
+
+
+def test_a_repetitive_group_settles_in_few_rounds(spark, monkeypatch):
+    """Twenty keys, then four of them again and again over fifty chunks."""
+    keys = [str(i) for i in range(20)] + [str(i % 4) for i in range(980)]
+    df = spark.createDataFrame(stream_of(keys, "hot"), ITEMS)
+    written = []
+    monkeypatch.setattr(dedup, "durable", lambda frame, *name: written.append("stale" in frame.columns) or durable(frame, *name))
+    got = {r.item_id for r in dedup.dedup_fifo(df, "src", 8, chunk_rows=20).collect()}
+    assert got == brute_fifo(stream_of(keys, "hot"), 8)
+    assert sum(written) <= 3

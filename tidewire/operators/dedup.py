@@ -111,11 +111,12 @@ def _fifo_stream(group: str, key: str, capacity: int):
 def _dedup_chunks(items: DataFrame, group: str, key: str, order: list[str], capacity: int, chunk_rows: int) -> DataFrame:
     """Large groups in ordered chunks, repeated until the memories agree.
 
-    Every chunk first runs from an empty memory. Then each chunk whose predecessor ended with
-    another memory than it started from runs again, until none is left: the first chunk is
-    right from the start and every round settles at least one more, so the end is exact. In
-    practice a chunk much longer than the memory forgets what it started from and a few rounds
-    do. A chunk holds about ``chunk_rows`` rows, a memory at most ``capacity`` keys.
+    Every chunk first runs from an empty memory. Then the chunks of a group are walked in order, as
+    rows of their start and end memories: a chunk that started from what the one before it ended with is
+    settled, and so is one whose keys all lie in that memory, which it leaves as it is. All others run again
+    from there, until none is left: every round settles at least one more, so the end is exact. A feed that
+    repeats few keys settles in two or three rounds, and so does one whose chunks are much longer than the
+    memory. A chunk holds about ``chunk_rows`` rows, a memory at most ``capacity`` keys.
     """
     total = items.count()
     chunks = max(1, -(-total // chunk_rows))
@@ -123,16 +124,36 @@ def _dedup_chunks(items: DataFrame, group: str, key: str, order: list[str], capa
     pinned = durable(items.repartitionByRange(chunks, group, *order).withColumn("_chunk", F.spark_partition_id()))
     at = [group, "_chunk"]
     group_type = items.schema[group].dataType.simpleString()
-    state_schema = f"{group} {group_type}, _chunk int, started array<string>, ended array<string>"
+    state_schema = f"{group} {group_type}, _chunk int, started array<string>, ended array<string>, keys array<string>"
 
     def in_order(rows: pa.Table) -> pa.Table:
         return rows.take(pc.sort_indices(rows, [(c, "ascending") for c in order], null_placement="at_start"))
 
     def end_state(rows: pa.Table, start: pa.Table) -> pa.Table:
-        memory = KeyMemory(capacity, start["started"][0].as_py())
-        for k in in_order(rows)[key].to_pylist():
+        memory, ordered = KeyMemory(capacity, start["started"][0].as_py()), in_order(rows)[key]
+        for k in ordered.to_pylist():
             memory.keep(k)
-        return start.append_column("ended", pa.array([list(memory.queue)], pa.list_(pa.string())))
+        keys = pc.unique(ordered).to_pylist()
+        lists = pa.list_(pa.string())
+        return start.append_column("ended", pa.array([list(memory.queue)], lists)).append_column(
+            "keys", pa.array([keys if len(keys) <= capacity else None], lists))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, memory = object(), []
+        for batch in batches:
+            states = batch.to_pylist()
+            for state in states:
+                if state[group] != current:
+                    current, memory = state[group], []
+                state["stale"] = False
+                if state["started"] != memory:
+                    if state["keys"] is not None and set(state["keys"]) <= set(memory):
+                        state["ended"] = memory
+                    else:
+                        state["stale"] = True
+                    state["started"] = memory
+                memory = state["ended"]
+            yield pa.RecordBatch.from_pylist(states, batch.schema.append(pa.field("stale", pa.bool_())))
 
     def survivors(rows: pa.Table, start: pa.Table) -> pa.Table:
         memory, rows = KeyMemory(capacity, start["started"][0].as_py()), in_order(rows)
@@ -145,13 +166,11 @@ def _dedup_chunks(items: DataFrame, group: str, key: str, order: list[str], capa
         return rows.groupBy(*at).cogroup(starts.groupBy(*at)).applyInArrow(function, schema)
 
     empty = F.array().cast("array<string>")
-    states = durable(run(pinned.select(*at).distinct().withColumn("started", empty), end_state, state_schema))
+    states = run(pinned.select(*at).distinct().withColumn("started", empty), end_state, state_schema)
     while True:
-        before = F.lag("ended").over(Window.partitionBy(group).orderBy("_chunk"))
-        linked = states.withColumn("_due", F.coalesce(before, empty))
-        stale = durable(linked.filter("started <> _due").select(*at, F.col("_due").alias("started")))
+        states = durable(states.repartition(group).sortWithinPartitions(*at).mapInArrow(walk, f"{state_schema}, stale boolean"))
+        stale = states.filter("stale").select(*at, "started")
         if stale.isEmpty():
             break
-        rerun = run(stale, end_state, state_schema)
-        states = durable(states.join(stale.select(*at), at, "left_anti").unionByName(rerun))
+        states = states.filter("not stale").drop("stale").unionByName(run(stale, end_state, state_schema))
     return run(states.select(*at, "started"), survivors, pinned.schema).drop("_chunk")
