@@ -20,6 +20,8 @@ from tidewire.session import durable
 TOKENIZER = "byte_bpe_50k.json"
 # Near duplicates: shingles of five words, similar by four fifths or more.
 NEAR_WORDS, NEAR_SIMILAR = 5, 80
+# Line dedup counts the sites of every line that has a word.
+LINE_WORDS = 1
 
 
 def documents_of(docs: DataFrame) -> DataFrame:
@@ -34,7 +36,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that many sources share; n_chars is that of the new text."""
-    return documents_of(lines.dedup(documents_of(docs)).withColumn(
+    return documents_of(lines.dedup(documents_of(docs), least_words=LINE_WORDS).withColumn(
         "n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))))
 
 

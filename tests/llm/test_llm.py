@@ -292,6 +292,13 @@ def test_lines(spark, odd, none):
     assert lines.dedup(none).count() == 0
 
 
+def test_pipeline_counts_short_lines(spark, folder):
+    rows = [(i, f"Own line number {i} here.\nLes.\n \nAnd ornd.\n\nhi {i}", "en", f"s{i % 3}", 0) for i in range(6)] + [(9, "Du.\nDu.", "en", "s0", 7), (10, "Du.", "en", "s1", 3)]
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, DOCS).repartition(3), folder).collect()}
+    assert got[0] == rows[0][1] and all(got[i] == f"Own line number {i} here.\n \n\nhi {i}" for i in range(1, 6))
+    assert got[9] == "Du.\nDu." and got[10] == "Du."
+
+
 def test_exact_counts_decide_near_the_threshold(spark):
     draw = random.Random(3)
     rows = [(d, f"line {k} of them", f"s{s}") for d, (k, s) in enumerate((k, s) for k in range(40) for s in draw.sample(range(400), 80 + k))]
