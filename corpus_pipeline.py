@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tidewire.llm import common, lines, mixture, packing, quality, shingle_join
 from tidewire.session import durable
+from tidewire.sources.tables import once
 
 TOKENIZER = "byte_bpe_50k.json"
 # Near duplicates: shingles of five words, similar by four fifths or more.
@@ -35,8 +36,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that many sources share; n_chars is that of the new text."""
-    return documents_of(lines.dedup(documents_of(docs), least_words=LINE_WORDS).withColumn(
+    """Documents without lines that many sources share; n_chars is that of the new text.
+
+    A document that loses all its words goes: each of its lines stays in the document that owns it. Of whole copies on
+    many sources one stays so. Documents that had no words before stay as they are.
+    """
+    cut = lines.dedup(documents_of(docs), least_words=LINE_WORDS)
+    # a filter on the cut text itself would be pushed down with the whole cut in it
+    new = cut.select("doc_id", "lang", "source", "n_chars", once(F.struct("text", "n_removed")).alias("_new")).select("*", "_new.*")
+    emptied = (F.col("n_removed") > 0) & (common.word_count("text") == 0)
+    return documents_of(new.where(~emptied).withColumn(
         "n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))))
 
 

@@ -506,6 +506,23 @@ def test_pipeline_stages(spark, folder, odd, none):
         docs.count()
 
 
+def test_pipeline_keeps_one_of_many_copies(spark, folder, some):
+    good = pd.read_parquet(f"{folder}/labels.parquet").query("quality == 1").doc_id
+    copied, *others = some[some.doc_id.isin(good) & ~some.text.map(lambda t: bool(counts_of(t)[-1]))].sort_values("doc_id").itertuples(index=False)
+    text = copied.text + "\n\nLes.\n" + "\n".join(f"The copied text has a line {k} of its own." for k in range(3))
+    rows = [(int(d.doc_id), d.text, d.lang, d.source, int(d.n_chars)) for d in others]
+    rows += [(10_000 + i, text, copied.lang, f"site{i % 5}", len(text)) for i in range(40)]
+    docs, out = spark.createDataFrame(rows, DOCS).repartition(4), {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = spark.createDataFrame(stage(spark, docs, folder).toPandas())
+        out[name] = [r.doc_id for r in docs.select("doc_id").collect()]
+    assert sum(i >= 10_000 for i in out["quality rules"]) == 40
+    assert [i for i in out["line dedup"] if i >= 10_000] == [i for i in out["n-gram Jaccard join"] if i >= 10_000] == [10_000]
+    assert {i for i in out["best-fit packing"] if i >= 10_000} <= {10_000}
+    docs = spark.createDataFrame([(1, None, "en", "a", None), (2, "", "en", "a", 0), (3, " \n\t", "en", "b", 3)], DOCS)
+    assert corpus_pipeline.line_dedup(spark, docs, folder).count() == 3
+
+
 def test_pipeline_equals_its_operators(spark, folder, some):
     base = {i: counts_of(t)[-1] for i, t in zip(some.doc_id, some.text, strict=True)}
     docs = spark.read.parquet(f"{folder}/documents.parquet")
