@@ -464,6 +464,19 @@ def test_main_text_of_an_unseen_layout(field):
         "Second paragraph é follows here, also long enough to be text.", "Third paragraph ends the article, as it should, with a full stop."]
 
 
+def test_missing_ends_keep_the_text():
+    texts = lambda page: [b.text for b in html.blocks(page)]
+    assert texts("<html><head><title>T</title><style>p {}</style><body><article><p>One.<p>Two.</article>") == ["One.", "Two."]
+    assert texts("<head><title>T</title><meta name=x><p>One.") == ["One."]
+    for name in "button option object canvas noscript select svg".split():
+        assert texts(f"<div>Before <{name} class=x>inside<p>One.</p></div><p>Two.</p>") == ["Before", "One.", "Two."]
+        assert texts(f"<div><{name}>inside</div>One.<{name}>more</{name}> Two.<p>Three.") == ["One. Two.", "Three."]
+        assert texts(f"<p>One <{name}><p>in</p></{name}> two.</p>") == ["One two."]
+    assert texts("<p>One <select><option>a<option>b</select> two <object>a<object>b</object>c</object>three.") == ["One two three."]
+    assert texts("<p>One <button>a<button>b</button> two.") == ["One two."]
+    assert texts("<button>" * 20_000 + "<svg>" * 20_000 + "<p>One.") == ["One."]
+
+
 def test_main_text_of_the_pages(spark, folder, field):
     raw = pd.read_parquet(f"{folder}/pages.parquet").set_index("page_id").html
     got = html.extract_pages(spark.read.parquet(f"{folder}/pages.parquet"), field).collect()

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +25,12 @@ from tidewire.llm import common
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span "
              "strike strong sub sup time tt u var wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = "script|style|noscript|template|textarea|select|option|button|iframe|svg|math|canvas|object|head|title|datalist"
+# Raw elements have no tags inside and may run to the end of the page. Other silent ones hold tags, and their end may be missing.
+RAW = "script|style|title|textarea"
+SILENT = "noscript|template|select|option|button|iframe|svg|math|canvas|object|datalist"
+NESTED = {"template", "svg", "object"}  # silent elements that may hold others of their name
+# Tags that end a silent element without an end.
+BREAKS = set("html body hr hgroup h5 h6 tr td th tbody thead tfoot caption dl dt dd main fieldset legend center menu search summary".split())
 # An opening tag that ends an open one of the same group.
 ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 STRUCTURE = "article main nav header footer aside form section ul ol li table figure figcaption blockquote pre h1 h2 h3 h4 p div dialog address details".split()
@@ -41,10 +47,11 @@ HINTS = {
 STEMS = {w: k for k, words in HINTS.items() for w in words.split()}
 HIDDEN = re.compile(r"\bhidden\b|display:\s*none|aria-hidden=[\"']?true")
 MARKUP = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<({SILENT})(?=[\s/>])(?:[^>]*?/>|.*?(?:</\1\s*>|\Z))|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    rf"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<({RAW})(?=[\s/>])(?:[^>]*?/>|.*?(?:</\1\s*>|\Z))|<(/?)({SILENT})(?=[\s/>])([^>]*)(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
     re.S | re.I)
 NAMES_IN = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 TOKEN = re.compile(r"[a-z]+")
+BREAKS |= set(STRUCTURE)
 FIRST = 10_000  # tags open at once, at most: deeper ones count as text of the last
 # Labelled pages, at most, and code points of html and text of each.
 PAGES, LONGEST = 300, 30_000
@@ -58,8 +65,41 @@ class Block:
     linked: int  # characters inside links
 
 
+def closings(tags: list[re.Match]) -> dict[int, int]:
+    """Where each silent element ends that has its own closing tag, before the elements around it close."""
+    ends: dict[int, int] = {}
+    stack: list[list] = []
+    latest: dict[str, list] = {}
+    opened: Counter = Counter()
+    for i, m in enumerate(tags):
+        name = (m[3] or m[6] or "").lower()
+        if not name or name in INLINE or name in VOID:
+            continue
+        if not (m[2] or m[5]):
+            if not (m[4] or m[7] or "").endswith("/"):
+                if m[3] and name not in NESTED and opened[name]:
+                    latest[name][0] = ""  # the earlier one has no end
+                    opened[name] -= 1
+                latest[name] = [name, i]
+                stack.append(latest[name])
+                opened[name] += 1
+        elif opened[name]:
+            while True:
+                top, start = stack.pop()
+                opened[top] -= 1
+                if top == name:
+                    break
+            if m[3]:
+                ends[start] = i
+    return ends
+
+
 def blocks(page: str) -> list[Block]:
-    """Leaf blocks in page order, with references decoded and white space collapsed; scripts, styles, menus of forms are no text."""
+    """Leaf blocks in page order, with references decoded and white space collapsed; scripts, styles, menus of forms are no text.
+
+    A silent element without a closing tag ends at the next block-level tag or the next element of its name. A head is no
+    element of its own here: what is silent in it is so by itself, and its closing tag may be left out.
+    """
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     above: tuple[str, ...] = ()
@@ -81,13 +121,31 @@ def blocks(page: str) -> list[Block]:
             if links:
                 linked += len(text.strip())
 
-    at = 0
-    for m in MARKUP.finditer(page):
-        say(page[at:m.start()])
+    at, until, loose = 0, -1, ""  # silent up to a tag, and in an element without an end
+    tags = list(MARKUP.finditer(page))
+    ends = closings(tags)
+    for i, m in enumerate(tags):
+        if i > until and not loose:
+            say(page[at:m.start()])
         at = m.end()
-        if m[3] is None:
+        closing, name = m[5], (m[3] or m[6] or "").lower()
+        if i < until or not name:
+            continue
+        if m[3]:
+            if not m[2] and not m[4].endswith("/"):
+                if loose == name:
+                    loose = ""
+                if i in ends:
+                    until = ends[i]
+                else:
+                    loose = loose or name
+            continue
+        if loose and name in BREAKS:
+            loose = ""
+        if loose or name == "head":
+            if not loose:
+                flush()
             continue
-        closing, name = m[2], m[3].lower()
         if name in INLINE:
             if name == "a":
                 links = max(0, links + (-1 if closing else 1))
@@ -101,13 +159,14 @@ def blocks(page: str) -> list[Block]:
                 if stack[i][0] == name:
                     del stack[i:]
                     break
-        elif name not in VOID and not m[4].endswith("/"):
+        elif name not in VOID and not m[7].endswith("/"):
             if name in ENDS and stack and stack[-1][0] in ENDS[name]:
                 stack.pop()
             if len(stack) < FIRST:
-                stack.append((name, marks(name, m[4])))
+                stack.append((name, marks(name, m[7])))
         above = tuple(t for _, found in stack for t in found)
-    say(page[at:])
+    if not loose:
+        say(page[at:])
     flush()
     return out
 
