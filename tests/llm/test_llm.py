@@ -202,16 +202,69 @@ def test_divide_skip_equals_counting():
 
 def test_linked_sets_share_a_key():
     draw = random.Random(6)
+    counts = np.array([draw.randint(0, 3) for _ in range(shingle_join.COUNTERS)])
     for similar in (80, 90):
-        bands = shingle_join.Bands(similar)
-        for _ in range(400):
-            n = draw.randint(1, 300)
-            a = set(draw.sample(range(10 ** 9), n))
-            gone = draw.randint(0, max(0, n // 9))
-            b = set(list(a)[gone:]) | set(draw.sample(range(10 ** 9), draw.randint(0, n // 9)))
-            if a != b and b and 100 * len(a & b) >= similar * len(a | b):
-                keys = [set(bands.keys(np.sort(np.array([x * 0x9E3779B97F4A7C15 % 2 ** 64 for x in s], np.uint64))).tolist()) for s in (a, b)]
-                assert keys[0] & keys[1]
+        sets = []
+        for _ in range(40):
+            start = draw.sample(range(10 ** 9), draw.randint(1, 200))
+            for _ in range(4):
+                gone = draw.randint(0, max(0, len(start) // 9))
+                sets.append(frozenset(start[gone:] + draw.sample(range(10 ** 9), draw.randint(0, len(start) // 9))))
+        sets = [np.sort(np.array([x * 0x9E3779B97F4A7C15 % 2 ** 64 for x in s], np.uint64)) for s in set(sets) if s]
+        short = [shingle_join.short_lists(s, counts, similar).tolist() for s in sets]
+        often = Counter(k for keys in short for k in keys)
+        left = []
+        for s, keys in zip(sets, short, strict=True):
+            met = sorted((often[k], k) for k in keys if often[k] > 1)
+            left.append({k for _, k in met[:max(0, len(met) - shingle_join.dropped(len(s), similar))]})
+        linked = 0
+        for i, a in enumerate(sets):
+            for j in range(i):
+                both = len(np.intersect1d(a, sets[j]))
+                if 100 * both >= similar * (len(a) + len(sets[j]) - both):
+                    assert left[i] & left[j]
+                    linked += 1
+        assert linked > 40
+
+
+def test_maps_never_rule_out_a_link():
+    draw = random.Random(8)
+    sets = []
+    for _ in range(30):
+        start = draw.sample(range(2 ** 60), draw.randint(1, 300))
+        sets += [np.sort(np.array(start[draw.randint(0, len(start) // 6):] + draw.sample(range(2 ** 60), draw.randint(0, len(start) // 6)), np.uint64)) for _ in range(3)]
+    sets = [s for s in sets if len(s)]
+    n, maps = np.array([len(s) for s in sets]), [shingle_join.parity(s) for s in sets]
+    for similar in (80, 90):
+        met = shingle_join.possible(n, maps, np.arange(len(sets)), n, maps, np.arange(len(sets)), similar)
+        wrong = 0
+        for i, a in enumerate(sets):
+            for j in range(i):
+                both = len(np.intersect1d(a, sets[j]))
+                linked = 100 * both >= similar * (len(a) + len(sets[j]) - both)
+                assert met[i, j] == met[j, i] and (met[i, j] or not linked)
+                wrong += met[i, j] and not linked
+        assert wrong < 0.02 * len(sets) ** 2
+
+
+def test_unlinked_documents_of_one_template_stay_apart(spark):
+    draw = random.Random(3)
+    template = [f"w{draw.randint(0, 5000)}" for _ in range(300)]
+    rows = []
+    for i in range(300):
+        words = list(template)
+        for at in draw.sample(range(300), 18):
+            words[at] = f"x{draw.randint(0, 10 ** 9)}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    written = shingle_join.sets(docs, 5).persist()
+    nodes = written.where("n > 0").select(F.col("doc_id").alias("node"))
+    counts = shingle_join.summed(written.where("counts is not null").select("counts"))
+    assert counts.sum() == written.agg(F.sum("n")).first()[0]
+    # the template's shingles are long lists, which nobody meets by
+    assert shingle_join.neighbours(docs, nodes, counts, 5, 80).count() < 30
+    written.unpersist()
+    assert {r.component_id for r in shingle_join.link(docs, 5, 80).collect()} == set(range(300))
 
 
 def test_components(spark):
