@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import functools
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,15 +56,46 @@ def run_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def temporary_dir(spark: SparkSession, name: str) -> str:
+    """A fresh path under the shared folder that goes when the application ends, or the enclosing :func:`tables_freed`."""
+    path = run_dir(spark, name)
+    if scopes.open:
+        scopes.open[-1].append(path)
+    else:
+        hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    return path
+
+
+class Scopes(threading.local):
+    """The paths to free, by open scopes of this thread."""
+
+    def __init__(self):
+        self.open: list[list[str]] = []
+
+
+scopes = Scopes()
+
+
+@contextmanager
+def tables_freed(spark: SparkSession) -> Iterator[None]:
+    """Tables that :func:`durable` writes inside go when the block ends: for jobs that run on, such as streams."""
+    scopes.open.append([])
+    try:
+        yield
+    finally:
+        for path in scopes.open.pop():
+            hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
 def durable(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` as Parquet under the shared folder once and go on from there.
 
     Later reads take the columns they need and survive lost executors. The folder is removed when
-    the application ends.
+    the application ends, or the enclosing :func:`tables_freed`.
     """
     spark = df.sparkSession
-    path = run_dir(spark, name)
+    path = temporary_dir(spark, name)
     df.write.parquet(path)
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
     return spark.read.schema(df.schema).parquet(path)
