@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
+import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,17 +15,19 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
+import sentencepiece
 from compare import duck, spark_rows, sql_rows
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tidewire.llm import html, language, lines, merkle, mixture, packing, quality, shards, shingle_join, urls
+from tidewire.llm import alignment, html, importance, language, lines, merkle, mixture, packing, quality, secrets, shards, shingle_join, urls
 from tidewire.llm.components import components
 from tidewire.llm.queries import ORACLE, QUERIES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+TOKEN_PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LONG = " ".join(f"w{i % 701}x{i % 13}" for i in range(30_000))
 # null, empty and blank texts, ties, repeated rows, null ids and sources, a very long text
@@ -74,6 +79,15 @@ def test_packing(spark, odd, none, some):
     assert packing.pack_documents(none, TOKENIZER).count() == 0
 
 
+def test_large_ids_stay_beside_null_ones(spark, field):
+    big = 2 ** 53 + 1
+    docs = spark.createDataFrame([(big, "Some words here.", "en"), (None, "Other words here.", "en"), (-big, None, None)], "doc_id long, text string, lang string").coalesce(1)
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.lit("<p>text").alias("html"))
+    for got in (packing.pack_documents(docs, TOKENIZER), language.identify(docs), html.extract_pages(pages, field).withColumnRenamed("page_id", "doc_id"),
+                shingle_join.link(docs), merkle.fingerprints(docs), alignment.align_documents(docs, TOKENIZER, TOKEN_PIECES), importance.resample(docs, docs)):
+        assert {r.doc_id for r in got.collect()} == {big, None, -big}
+
+
 def test_a_plan_places_each_piece_once():
     draw = random.Random(1)
     for _ in range(30):
@@ -338,9 +352,14 @@ def test_lines(spark, odd, none):
     rows = [(i, f"Own line number {i} here.\n{shared}\n  {shared}\t\nhi\nhi", f"s{i % 4}") for i in range(8)]
     rows += [(20, "Two sites only share this.\nx", "s1"), (21, "Two sites only share this.", None), (22, shared, "s9"), (23, None, "s9")]
     got = {r.doc_id: (r.text, r.n_removed) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)).collect()}
-    assert got[0] == (f"Own line number 0 here.\n{shared}\nhi\nhi", 1)
-    assert all(got[i] == (f"Own line number {i} here.\nhi\nhi", 2) for i in range(1, 8))
+    # lines of one word count like any other
+    assert got[0] == (f"Own line number 0 here.\n{shared}\nhi", 2)
+    assert all(got[i] == (f"Own line number {i} here.", 4) for i in range(1, 8))
     assert got[20][1] == got[21][1] == 0 and got[22] == ("", 1) and got[23] == (None, 0)
+    nulls = [(None, "Line of three sites.\nown a", f"s{i}") for i in range(2)] + [(2, "Line of three sites.\nx", "s2"), (3, "Line of three sites.", "s3"), (None, "only null\nown", "s1"),
+             (None, "only null\nelse", "s2"), (None, "only null", "s3")]
+    got = Counter(map(tuple, lines.dedup_lines(spark.createDataFrame(nulls, "doc_id long, text string, source string").repartition(3)).collect()))
+    assert got == Counter({(None, "own a", 1): 2, (2, "Line of three sites.\nx", 0): 1, (3, "", 1): 1, (None, "only null\nown", 0): 1, (None, "only null\nelse", 0): 1, (None, "only null", 0): 1})
     assert lines.dedup(odd).count() == len(ODD) and set(odd.columns) < set(lines.dedup(odd).columns)
     assert lines.dedup(none).count() == 0
 
@@ -392,16 +411,49 @@ def test_mined_rules_equal_counting(spark):
     rules = urls.mine(spark.createDataFrame(rows, "url string, bad boolean")).collect()
     assert rules
     words = [(set(re.findall(r"[a-z]+", u)), b) for u, b in rows]
+
+    def fits(rule, w):
+        return all({t[2:] for t in item.split(" ")} & w for item in rule.antecedent)
+
     for r in rules:
-        need = {t[2:] for t in r.antecedent}
-        hits = [b for w, b in words if need <= w]
+        hits = [b for w, b in words if fits(r, w)]
         assert len(hits) >= 25 and abs(sum(hits) / len(hits) - r.confidence) < 1e-9 and r.confidence >= urls.CONFIDENCE
-        assert r.filed in r.antecedent
+        assert abs(r.support - sum(hits) / len(rows)) < 1e-9 and r.filed in r.antecedent
+    # every combination of up to three tokens that is frequent and reliable enough is fitted by some rule
+    for k in (1, 2, 3):
+        for need in map(set, itertools.combinations(sorted(set().union(*(w for w, _ in words))), k)):
+            hits = [b for w, b in words if need <= w]
+            if sum(hits) >= 25 and sum(hits) >= urls.CONFIDENCE * len(hits):
+                assert any(fits(r, need) for r in rules)
     got = urls.judge(spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id long, url string"), urls.mine(spark.createDataFrame(rows, "url string, bad boolean")))
-    fitted = {i for i, (u, _) in enumerate(rows) if any({t[2:] for t in r.antecedent} <= set(re.findall(r"[a-z]+", u)) for r in rules)}
+    fitted = {i for i, (w, _) in enumerate(words) if any(fits(r, w) for r in rules)}
     assert {r.page_id for r in got.where("verdict = 'block'").collect()} == fitted
 
 
+def test_long_urls_of_one_site_are_one_item(spark):
+    path = "/".join(f"word{i}" for i in range(40))
+    rows = [(f"http://bad.org/{path}/{i}", True) for i in range(30)] + [(f"http://good.org/x{i}", False) for i in range(60)]
+    rules = urls.mine(spark.createDataFrame(rows, "url string, bad boolean")).collect()
+    assert 1 <= len(rules) <= 3 and any(len(item.split(" ")) > 40 for r in rules for item in r.antecedent)
+    # support is a count: the same site is a rule among many more urls
+    more = rows + [(f"http://other{i % 300}.org/y", False) for i in range(60_000)]
+    assert {tuple(r.antecedent) for r in urls.mine(spark.createDataFrame(more, "url string, bad boolean")).collect()} >= {tuple(r.antecedent) for r in rules if "s:http" not in r.antecedent}
+
+
+def test_tokens_of_numbers_and_other_scripts(spark):
+    row = spark.range(1).select(urls.tokens(F.lit("http://163.com/новости/12?q=日本")).alias("a"), urls.tokens(F.lit("no scheme")).alias("b")).first()
+    assert row.a == ["h:163", "h:com", "p:новости", "q:q", "q:日本", "s:http"] and row.b == []
+
+
+def test_odd_urls(spark, none):
+    odd_urls = [(1, "http://a.net/es/1", "x", "y"), (1, "http://a.net/es/1", "x", "y"), (None, None, None, None), (2, "", "", "")]
+    table = spark.createDataFrame(odd_urls, "page_id long, url string, host string, verdict string")
+    rules = urls.mine(spark.createDataFrame([], "url string, bad boolean"))
+    got = urls.judge(table, rules).select("page_id", "host", "path", "rule", "verdict").collect()
+    assert Counter(map(tuple, got)) == Counter({(1, "a.net", "/es/1", "net/es/", "block"): 2, (None, "", "", None, "allow"): 1, (2, "", "", None, "allow"): 1})
+    assert urls.judge(table.limit(0), rules).count() == 0
+
+
 def test_shards(spark, odd, none, some):
     rows = spark.createDataFrame(some).union(spark.createDataFrame(some.head(60))).repartition(7)
     got = shards.shard_documents(rows).toPandas()
@@ -434,12 +486,110 @@ def test_merkle(spark, odd, none, some):
     assert len(merkle.fingerprints(odd).collect()) == len(ODD) and merkle.fingerprints(none).count() == 0
 
 
+def tree_by_hand(text):
+    """A Merkle tree as nested tuples (hash, children), made of whole hashes; leaves have no children."""
+    def md5(x):
+        return hashlib.md5(x.encode()).hexdigest()
+
+    def cut(paragraph):
+        size = 7 if len(paragraph) < 64 else 47
+        return [x for x in re.findall(rf"(?s)[^.!?]{{0,{size}}}(?:[.!?]+[ \t\n\x0b\f\r]*|[^.!?]|$)", paragraph) if x]
+
+    def node(children):
+        return md5("".join(h for h, _ in children)), children
+
+    blank = r"\n[ \t\x0b\f\r]*\n"
+    sections = [node([node([(md5(x), None) for x in cut(p)]) for p in s.split("\n")]) for s in re.split(blank, text)]
+    return md5("".join(h for h, _ in sections) + "|" + "".join(map(md5, re.findall(blank, text)))), sections
+
+
+def spelled_tree(tree):
+    return tree[0] + "/" + ";".join(s[:16] + ":" + ",".join(p[:16] + "=" + ".".join(x[:8] for x, _ in ls) for p, ls in ps) for s, ps in tree[1])
+
+
+def leaves_of(node):
+    return 1 if node[1] is None else sum(map(leaves_of, node[1]))
+
+
+def walk_by_hand(x, y, at_a=(), at_b=()):
+    """(shared leaves, twice; edits) of two lists of children."""
+    head = 0
+    while head < min(len(x), len(y)) and x[head] == y[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(x), len(y)) - head and x[-1 - tail] == y[-1 - tail]:
+        tail += 1
+    mx, my = x[head:len(x) - tail], y[head:len(y) - tail]
+    once = lambda of: list({n[0]: n for n in of}.values())
+    moved, gone, new = [n for n in once(mx) if n in my], [n for n in once(mx) if n not in my], [n for n in once(my) if n not in mx]
+    total = 2 * sum(map(leaves_of, x[:head] + x[len(x) - tail:])) + sum(map(leaves_of, moved))
+    edits = [("moved", (*at_a, x.index(n)), (*at_b, y.index(n))) for n in moved]
+    for o, n in zip(gone, new, strict=False):
+        here = (*at_a, x.index(o)), (*at_b, y.index(n))
+        if o[1] is None:
+            edits.append(("replaced", *here))
+        else:
+            inner, more = walk_by_hand(o[1], n[1], *here)
+            total += inner
+            edits += more
+    edits += [("deleted", (*at_a, x.index(n)), None) for n in gone[len(new):]] + [("inserted", None, (*at_b, y.index(n))) for n in new[len(gone):]]
+    return total, edits
+
+
+def likeness_by_hand(a, b):
+    if a[0] == b[0]:
+        return 1.0
+    total = leaves_of(a) + leaves_of(b)
+    return min(walk_by_hand(a[1], b[1])[0] / total, 1 - 1 / (total + 1)) if total else 0.0
+
+
+def test_trees_equal_brute_force(spark, some):
+    draw = random.Random(12)
+    sentences = ["One. ", "Two words! ", "A somewhat longer sentence that runs on for more than a piece. ", "x", "é😀. ", "Three? ", ""]
+    texts = ["", "\n", "\n\n", " \n \n", "a", *some.text.tolist()[:20]]
+    for _ in range(150):
+        parts = [[["".join(draw.choice(sentences) for _ in range(draw.randint(0, 4)))] for _ in range(draw.randint(1, 4))] for _ in range(draw.randint(1, 4))]
+        texts.append(draw.choice(["\n\n", "\n \n"]).join("\n".join(p[0] for p in s) for s in parts))
+        other = [list(map(list, s)) for s in parts]
+        for _ in range(draw.randint(0, 3)):
+            s = draw.choice(other)
+            change = draw.randint(0, 3)
+            if change == 0:
+                s.pop(draw.randrange(len(s))) if len(s) > 1 else None
+            elif change == 1:
+                s.insert(draw.randint(0, len(s)), ["New here. "])
+            elif change == 2:
+                draw.shuffle(s)
+            else:
+                draw.shuffle(other)
+        texts.append("\n\n".join("\n".join(p[0] for p in s) for s in other))
+    pairs = [(t, texts[i ^ 1]) for i, t in enumerate(texts[:len(texts) // 2 * 2])]
+    printed = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string").select(
+        "i", merkle.fingerprint("a").alias("a"), merkle.fingerprint("b").alias("b"))
+    kinds = Counter()
+    for r in printed.select("*", merkle.likeness(F.col("a"), F.col("b")).alias("near"), merkle.edits(F.col("a"), F.col("b")).alias("edits")).collect():
+        a, b = map(tree_by_hand, pairs[r.i])
+        assert (r.a, r.b) == (spelled_tree(a), spelled_tree(b))
+        assert r.near == pytest.approx(likeness_by_hand(a, b), abs=1e-12)
+        want = [] if a[0] == b[0] else walk_by_hand(a[1], b[1])[1]
+        assert sorted((e.kind, e.a and tuple(e.a), e.b and tuple(e.b)) for e in r.edits) == sorted(want), pairs[r.i]
+        kinds.update(e.kind for e in r.edits)
+    assert set(kinds) == {"replaced", "moved", "deleted", "inserted"}
+
+
 def test_a_tree_locates_edits(spark):
     a = "First part. Two sentences.\nSecond paragraph here.\n\nAnother section.\nIts last line."
-    b = "First part. Two sentences.\nSecond paragraph, changed.\n\nAnother section.\nIts last line."
-    row = spark.createDataFrame([(a, b)], "a string, b string").select(merkle.fingerprint("a").alias("a"), merkle.fingerprint("b").alias("b"))
-    got = row.select(merkle.edits(F.col("a"), F.col("b")).alias("e"), merkle.edits(F.col("a"), F.col("a")).alias("none"), merkle.likeness(F.col("a"), F.col("b")).alias("near")).first()
-    assert [tuple(e) for e in got.e] == [(0, 1)] and got.none == [] and 0 < got.near < 1
+    cases = {
+        "Another section.\nIts last line.\n\nFirst part. Two sentences.\nSecond paragraph here.": [("moved", [0], [1]), ("moved", [1], [0])],
+        "First part. Two sentences.\n\nAnother section.\nIts last line.": [("deleted", [0, 1], None)],
+        a + "\nMore.": [("inserted", None, [1, 2])],
+        a.replace("\n\n", "\n \n"): [],
+        a: [],
+    }
+    rows = spark.createDataFrame([(a, b) for b in cases], "a string, b string").select("b", merkle.fingerprint("a").alias("x"), merkle.fingerprint("b").alias("y"))
+    for r in rows.select("b", merkle.edits(F.col("x"), F.col("y")).alias("e"), merkle.likeness(F.col("x"), F.col("y")).alias("near")).collect():
+        assert sorted((e.kind, e.a, e.b) for e in r.e) == cases[r.b]
+        assert (r.near == 1.0) == (r.b == a) and 0 < r.near <= 1
 
 
 def test_following_wraps_and_passes_empty_ranges(spark):
@@ -460,6 +610,12 @@ def test_language(spark, odd, none, some):
     assert all(r.lang_pred == "und" for r in language.predict(odd, None).collect())
 
 
+def test_words_do_not_depend_on_neighbouring_texts():
+    greek = "ΟΔΟΣ ΣΑΣ όλος"
+    alone, beside = language.words_of([greek]), language.words_of([greek, "İstanbul"])
+    assert beside.grams[:len(alone.grams)].tolist() == alone.grams.tolist()
+
+
 def test_spans_of_a_mixed_text(spark, some):
     model = language.train(spark.createDataFrame(some))
     by = {k: max(g.text, key=len)[:400] for k, g in some.groupby("lang")}
@@ -546,6 +702,24 @@ def test_odd_pages(spark, field):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "<p"), (None, "u", "plain"), (5, "u", "<div>" * 3000 + "deep" + "</p>" * 10), (6, "u", "<!-- open"), (7, "u", "<script>open"), (1, "u", None)]
     got = html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), field).collect()
     assert len(got) == len(rows) and all(r.text == "" for r in got if r.page_id in (1, 2, 6, 7))
+    clashing = spark.createDataFrame(rows, "page_id long, url string, html string").select("*", *[F.lit("x").alias(c) for c in ("text", "n_chars", "doc_id")])
+    assert html.extract_pages(clashing, field).columns == ["page_id", "url", "text", "n_chars"]
+    assert html.extract_pages(clashing.limit(0), field).count() == 0
+
+
+def test_quotes_open_values_after_equal_signs_only():
+    assert [b.text for b in html.blocks("<p title=don't>one</p><p title='a>b' x=\"c>d\">two</p><p it's>three's</p><p title=\"open>four</p>")] == ["one", "two", "three's", "four"]
+
+
+def test_deep_nesting_takes_linear_time():
+    took = []
+    for n in (4_000, 40_000):
+        start = time.perf_counter()
+        found = html.blocks("<article>" + "<div class='content'>" * n + "deep" + "</div>" * n + "after</article>" + "</nav>" * n + "end")
+        took.append(time.perf_counter() - start)
+        assert [b.text for b in found] == ["deep", "after", "end"]
+        assert [(b.last, set(b.above)) for b in found] == [("div", {"article", "div", ".main"}), ("article", {"article"}), ("body", set())]
+    assert took[1] < 40 * took[0]
 
 
 def test_decoding_equals_all_labellings():
@@ -558,6 +732,201 @@ def test_decoding_equals_all_labellings():
         assert np.isclose(value(trial.decode(found)), max(map(value, every)))
 
 
+def features_of(text, longest=1):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+    return words, [" ".join(words[i:i + k]) for k in range(1, longest + 1) for i in range(len(words) - k + 1)]
+
+
+def drawn_by_hand(rows, target, longest=1, buckets=10_000, percent=10):
+    """{row: (n_features, weight, score, rank)} for rows (doc_id, text)."""
+    def counts(texts):
+        return Counter(zlib.crc32(f.encode()) % buckets for t in texts for f in features_of(t, longest)[1])
+
+    s, t = counts(r[1] for r in rows), counts(target)
+    ns, nt = sum(s.values()), sum(t.values())
+    gain = [math.floor(1000 * math.log((t[b] + 1) * (ns + buckets) / ((s[b] + 1) * (nt + buckets)))) for b in range(buckets)]
+    out = {}
+    for i, (key, text) in enumerate(rows):
+        found = [gain[zlib.crc32(f.encode()) % buckets] for f in features_of(text, longest)[1]]
+        weight = sum(found) // len(found) if found else 0
+        h = int(hashlib.sha256(f"2024:{'' if key is None else key}".encode()).hexdigest()[:8], 16)
+        out[i] = [len(found), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))]
+    enough = sorted((i for i, r in enumerate(rows) if len(features_of(r[1])[0]) >= 20), key=lambda i: (-out[i][2], -1 << 63 if rows[i][0] is None else rows[i][0]))
+    ranks = {i: k for k, i in enumerate(enough[:percent * len(enough) // 100], 1)}
+    return Counter((rows[i][0], *v, ranks.get(i)) for i, v in out.items())
+
+
+@pytest.mark.parametrize("longest", [1, 3])
+def test_importance(spark, folder, odd, none, some, longest):
+    target = spark.read.parquet(f"{folder}/benchmark.parquet")
+    wanted = [r.text for r in target.collect()]
+    for docs, rows in ((spark.createDataFrame(some).repartition(5), list(zip(some.doc_id.tolist(), some.text, strict=True))), (odd, [(r[0], r[1]) for r in ODD])):
+        got = importance.resample(docs, target, longest, percent=40).collect()
+        assert Counter(map(tuple, got)) == drawn_by_hand(rows, wanted, longest, percent=40)
+    assert importance.resample(none, target).count() == 0
+    assert importance.resample(odd, target.limit(0)).count() == len(ODD)
+
+
+def test_the_cutoff_is_selected_exactly(spark):
+    draw = random.Random(2)
+    for few, size in ((1, 500), (1, 40), (7, 300)):
+        rows = [(draw.randint(-3, 3) if size == 500 else draw.randint(-10 ** 9, 10 ** 9), draw.choice([-1 << 63, 5, 2 ** 62]), i) for i in range(size)]
+        keys = spark.createDataFrame(rows, "loss long, doc_id long, row long").repartition(7)
+        for place in (1, size // 3, size):
+            assert importance.select(keys, importance.KEY, place, few) == sorted(rows)[place - 1]
+
+
+def test_a_pivot_has_a_fourth_on_either_side():
+    draw = random.Random(9)
+    for _ in range(200):
+        parts = [np.array([[draw.randint(0, 50), draw.randint(0, 3)] for _ in range(draw.randint(1, 30))]) for _ in range(draw.randint(1, 9))]
+        everything = sorted(tuple(map(int, k)) for p in parts for k in p)
+        for p in parts:
+            assert importance.median(p) == sorted(map(tuple, p.tolist()))[(len(p) - 1) // 2]
+        pivot = importance.Side(len(everything), [(importance.median(p), len(p)) for p in parts]).pivot()
+        assert 4 * sum(k <= pivot for k in everything) >= len(everything) <= 4 * sum(k >= pivot for k in everything) + 4
+
+
+def spans_by_hand(text, rules=secrets.RULES):
+    out = []
+    for i, rule in enumerate(rules):
+        pattern = re.compile(rule.pattern, re.A)
+        out += [(m.start(), i, rule.kind, m.end()) for m in pattern.finditer(text or "") if len(m[rule.group]) >= rule.least]
+    return sorted(out)
+
+
+def spelled_spans(spans):
+    return ",".join(f"{k}:{a}:{b}" for a, _, k, b in spans)
+
+
+def random_secrets(n, seed=1):
+    draw = random.Random(seed)
+    parts = ["password", "API_KEY", "apikey", "Secret", "tokens", "token", "=", " : ", "\"", "'", ":", "= ", "abcdefgh", "short", "AKIA", "AKIAABCDEFGHIJKL", "AKIAABC", "a1" * 16,
+             "a1" * 15, "deadbeef" * 9, "\n", "\U0001F600", "é", " ", "ſecret", "-----BEGIN RSA PRIVATE KEY-----", "eyJhbGciOiJI.eyJzdWIiOiIx.abcdefghij", ".", "x/+y==zz9"]
+    return ["".join(draw.choice(parts) for _ in range(draw.randint(0, 30))) for _ in range(n)]
+
+
+def test_base_rules_are_the_given_ones():
+    given = [(re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""".replace("(password|passwd|secret|token|api_?key)", "((?i:password|passwd|secret|token|api_?key))"), re.A), 2, 8),
+             (re.compile("AKIA[A-Z0-9]+"), 0, 16), (re.compile("[0-9a-f]+"), 0, 32)]
+    for text in random_secrets(3000):
+        want = sorted((m.start(), i, secrets.BASE[i].kind, m.end()) for i, (p, group, least) in enumerate(given) for m in p.finditer(text) if len(m[group]) >= least)
+        assert spans_by_hand(text, secrets.BASE) == want
+
+
+def test_secrets(spark, tmp_path, odd, none, some):
+    texts = random_secrets(400)
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:50])] + [(None, texts[0]), (3, texts[3])], "doc_id long, text string").repartition(5)
+    for k, (docs, rows) in enumerate(((table, [(r.doc_id, r.text) for r in table.collect()]), (odd, [(r[0], r[1]) for r in ODD]),
+                                      (spark.createDataFrame(some), list(zip(some.doc_id.tolist(), some.text, strict=True))))):
+        want = Counter()
+        for key, text in rows:
+            spans = spans_by_hand(text)
+            base = [s for s in spans if s[1] < 3]
+            kinds = Counter(s[2] for s in spans)
+            want[key, kinds["assign"], kinds["access"], kinds["hex"], hashlib.sha256(spelled_spans(base).encode()).hexdigest(), spelled_spans(spans)] += 1
+        assert Counter(map(tuple, secrets.scan_documents(docs, str(tmp_path / f"ledger{k}")).collect())) == want
+    assert secrets.scan_documents(none, str(tmp_path / "none")).count() == 0
+
+
+def test_a_ledger_scans_each_pair_once(spark, tmp_path):
+    ledger = secrets.Ledger(spark, str(tmp_path / "ledger"))
+    first = spark.createDataFrame([(1, "password=abcdefgh1"), (2, "nothing"), (3, "password=abcdefgh1")], "path long, text string")
+    second = spark.createDataFrame([(1, "AKIAABCDEFGHIJKL here"), (2, "nothing"), (4, "password=abcdefgh1")], "path long, text string")
+    old, new = secrets.BASE[:1], (secrets.BASE[0], secrets.BASE[1])
+
+    def scans():
+        return sorted((r.scan, sorted(r.scanned)) for r in ledger.table().collect())
+
+    ledger.scan(first, old)
+    assert scans() == [("1", ["assign@1"])] * 2
+    history = ledger.scan(second, new).union(ledger.scan(first, new))
+    # the new rule meets known blobs, the new blob meets both, and what is known by both isn't looked at again
+    assert scans() == [("1", ["assign@1"])] * 2 + [("2", ["access@1"])] * 2 + [("2", ["access@1", "assign@1"])]
+    got = Counter((r.path, tuple((s.kind, s.start, s.end) for s in r.spans)) for r in ledger.report(history, new).collect())
+    word, key = (("assign", 0, 18),), (("access", 0, 16),)
+    assert got == Counter([(1, word), (2, ()), (3, word), (1, key), (2, ()), (4, word)])
+    # a changed rule is another pair, and findings of its earlier version are no longer reported
+    changed = (secrets.Rule("assign", r"password=([a-z]+)", version=2, group=1, least=20),)
+    assert all(not r.spans for r in ledger.report(ledger.scan(first, changed), changed).collect())
+    assert sorted(r.path for r in ledger.report(ledger.scan(first, old), old).collect() if r.spans) == [1, 3]
+
+
+def aligned_by_hand(rows):
+    """Counter of the columns of the query, by sets of bytes and pairs in plain loops."""
+    whole = Tokenizer.from_file(TOKENIZER)
+    whole.encode_special_tokens = True
+    model = sentencepiece.SentencePieceProcessor(model_file=TOKEN_PIECES)
+    letters = {chr(b): b for b in [*range(33, 127), *range(161, 173), *range(174, 256)]}
+    letters |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in letters.values())}
+    found = []
+    for _, text in rows:
+        a = [(i, bytes(letters[c] for c in whole.id_to_token(i))) for i in whole.encode(" " + (text or ""), add_special_tokens=False).ids]
+        b = [(i, bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode()) for i in model.encode(text or "") for p in [model.id_to_piece(i)]]
+        raw = (" " + (text or "")).encode()
+        if not text or b"".join(x for _, x in a) != raw or b"".join(x for _, x in b) != raw:
+            a, b = [], []
+        sides = []
+        for tokens in (a, b):
+            at, out = 0, []
+            for i, x in tokens:
+                out.append((i, at, at + len(x)))
+                at += len(x)
+            sides.append(out)
+        found.append(sides)
+    links = [[(i, j) for i, s, e in a for j, u, v in b if s < v and u < e] for a, b in found]
+    docs = Counter(p for one in links for p in set(one))
+    most = defaultdict(int)
+    for (i, _), n in docs.items():
+        most[i] = max(most[i], n)
+    out = Counter()
+    for (key, _), (a, b), pairs in zip(rows, found, links, strict=True):
+        ends = sorted({e for _, _, e in a} & {e for _, _, e in b})
+        spelled, shared, start = [], 0, 0
+        for end in ends:
+            x, y = ([str(i) for i, s, e in side if s >= start and e <= end] for side in (a, b))
+            spelled.append(",".join(x) + "|" + ",".join(y))
+            shared += len(x) * len(y)
+            start = end
+        out[key, len(a), len(b), len(ends), len(pairs), sum(docs[p] == most[p[0]] for p in pairs), sum(docs[p] for p in pairs),
+            hashlib.sha256(";".join(spelled).encode()).hexdigest() if a else "", shared] += 1
+    return out
+
+
+def test_alignment(spark, odd, none, some):
+    draw = random.Random(7)
+    parts = [" ", "a", "the", "\n", "\t", "é", "'s", "don't", "1234", "!", " ", "日本", "_", "<|endoftext|>", "<s>", "\U0001F600", "▁", "ﬁ", "naïve", "  "]
+    mixed = [(i, "".join(draw.choice(parts) for _ in range(draw.randint(0, 14)))) for i in range(150)]
+    short = [(r[0], r[1] if r[1] is None or len(r[1]) < 10_000 else r[1][:900]) for r in ODD]
+    real = [(k, t[:1500]) for k, t in zip(some.doc_id.tolist()[:40], some.text, strict=False)]
+    for rows in (mixed, short, real):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        want = aligned_by_hand(rows)
+        for frequent in (10, 100_000):
+            got = alignment.align_documents(docs, TOKENIZER, TOKEN_PIECES, frequent)
+            assert got.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_shared"]
+            assert Counter(map(tuple, got.collect())) == want
+        groups = alignment.alignments(docs, TOKENIZER, TOKEN_PIECES).collect()
+        assert len(groups) == sum(r[3] * n for r, n in want.items())
+        assert all(g.end > g.start and g.a_ids and g.b_ids for g in groups)
+    assert alignment.align_documents(odd, TOKENIZER, TOKEN_PIECES).count() == len(ODD)
+    assert alignment.align_documents(none, TOKENIZER, TOKEN_PIECES).count() == 0
+
+
+def test_products_equal_dense_ones():
+    draw = np.random.default_rng(4)
+    for block in (1, 5, 1000):
+        a, b = (draw.random((9, 7)) < 0.4, draw.random((7, 8)) < 0.4)
+        rows = [alignment.Rows(np.concatenate([[0], np.cumsum(m.sum(axis=1))]), np.nonzero(m)[1]) for m in (a, b)]
+        dense = np.zeros((9, 8), int)
+        for i, j, value in alignment.product(*rows, block):
+            dense[i, j] += value
+        assert (dense == a.astype(int) @ b.astype(int)).all()
+        assert (alignment.product_sizes(*rows) == (a.astype(int) @ b.astype(int)).sum(axis=1)).all()
+        turned = rows[0].transposed(7)
+        assert (turned.starts == np.concatenate([[0], np.cumsum(a.sum(axis=0))])).all() and (turned.columns == np.nonzero(a.T)[1]).all()
+
+
 def test_pipeline_stages(spark, folder, odd, none):
     kept = {"quality rules", "n-gram Jaccard join"}
     for start in (odd, none):
@@ -589,6 +958,18 @@ def test_pipeline_keeps_one_of_many_copies(spark, folder, some):
     assert corpus_pipeline.line_dedup(spark, docs, folder).count() == 3
 
 
+def test_near_duplicates_keep_one_row_of_a_group(spark, folder):
+    near = " ".join(f"word{i}" for i in range(100))
+    rows = [(1, near, "en", "a", 0), (1, near, "en", "a", 0), (1, near + " more", "en", "b", 0), (None, near, "en", "a", 0), (None, near + " again", "en", "a", 0),
+            (0, "Alone.", "en", "a", 0), (None, None, None, None, None), (None, None, None, None, None), (5, "Twice.", "en", "a", 0), (5, "Other.", "en", "a", 0)]
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, DOCS).repartition(3), folder).collect()
+    groups = Counter((r.doc_id, "near" if r.text and r.text.startswith("word0") else r.text) for r in got)
+    assert groups == Counter({(1, "near"): 1, (0, "Alone."): 1, (None, None): 2, (5, "Twice."): 1, (5, "Other."): 1})
+    unique = [(i, r[1], *r[2:]) for i, r in enumerate(rows, 3)]
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(unique, DOCS).repartition(3), folder).collect()
+    assert sorted(r.doc_id for r in got) == [3, 8, 9, 10, 11, 12]
+
+
 def test_pipeline_equals_its_operators(spark, folder, some):
     base = {i: counts_of(t)[-1] for i, t in zip(some.doc_id, some.text, strict=True)}
     docs = spark.read.parquet(f"{folder}/documents.parquet")
@@ -611,7 +992,7 @@ def test_pipeline_equals_its_operators(spark, folder, some):
     assert packed.groupby("doc_id").start.apply(lambda s: (s == 0).sum()).to_dict() == mixed.to_dict()
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n.startswith(("op4", "op8", "op9", "op10"))])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n.startswith(("op4", "op8", "op9", "op10", "op12"))])
 def test_native_queries_run_no_python(spark, folder, name):
     plan = QUERIES[name](spark, folder)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|CartesianProduct|BroadcastNestedLoopJoin", plan)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 # Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+# Stands for a null id where a column must not have nulls: pandas would turn its numbers into doubles.
+NO_ID = -(1 << 63)
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -20,6 +22,15 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
 
+def without_null(name: str) -> Column:
+    """An id column with ``NO_ID`` for null, under its name; :func:`with_null` turns it back."""
+    return F.coalesce(F.col(name).cast("long"), F.lit(NO_ID)).alias(name)
+
+
+def with_null(name: str) -> Column:
+    return F.nullif(F.col(name), F.lit(NO_ID)).alias(name)
+
+
 def shown_document(url: Column | str) -> Column:
     """The number that ends a url's path, which is the document that the page shows; null if there is none."""
     found = F.regexp_extract(url, r"://[^/?#]*[^?#]*?/([0-9]{1,18})(?:[.][a-z]+)?/?(?:[?#].*)?$", 1)

@@ -47,12 +47,13 @@ HINTS = {
 STEMS = {w: k for k, words in HINTS.items() for w in words.split()}
 HIDDEN = re.compile(r"\bhidden\b|display:\s*none|aria-hidden=[\"']?true")
 MARKUP = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<({RAW})(?=[\s/>])(?:[^>]*?/>|.*?(?:</\1\s*>|\Z))|<(/?)({SILENT})(?=[\s/>])([^>]*)(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    rf"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<({RAW})(?=[\s/>])(?:[^>]*?/>|.*?(?:</\1\s*>|\Z))|<(/?)({SILENT})(?=[\s/>])([^>]*)(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*+(?:\"[^\"]*\"|'[^']*')|[^<>])*+)(?:>|\Z)",
     re.S | re.I)
 NAMES_IN = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 TOKEN = re.compile(r"[a-z]+")
 BREAKS |= set(STRUCTURE)
-FIRST = 10_000  # tags open at once, at most: deeper ones count as text of the last
+# What features say about the tags above a block.
+ABOVE = [*STRUCTURE, *["." + k for k in HINTS], ".hidden"]
 # Labelled pages, at most, and code points of html and text of each.
 PAGES, LONGEST = 300, 30_000
 STEPS, LEARNING, RIDGE = 150, 0.15, 1e-3
@@ -61,7 +62,8 @@ STEPS, LEARNING, RIDGE = 150, 0.15, 1e-3
 @dataclass
 class Block:
     text: str
-    tags: tuple[str, ...]
+    above: tuple[str, ...]  # marks of the tags that it is in
+    last: str  # the innermost of these tags
     linked: int  # characters inside links
 
 
@@ -102,7 +104,8 @@ def blocks(page: str) -> list[Block]:
     """
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
-    above: tuple[str, ...] = ()
+    opened: Counter = Counter()  # open tags by name
+    above = dict.fromkeys(ABOVE, 0)  # marks of open tags
     parts: list[str] = []
     linked, links = 0, 0
 
@@ -110,10 +113,17 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            out.append(Block(text, above, linked))
+            out.append(Block(text, tuple(m for m, n in above.items() if n), stack[-1][0] if stack else "body", linked))
         parts.clear()
         linked = 0
 
+    def pop() -> str:
+        name_, marks_ = stack.pop()
+        opened[name_] -= 1
+        for mark in marks_:
+            above[mark] -= 1
+        return name_
+
     def say(text: str) -> None:
         nonlocal linked
         if text:
@@ -155,16 +165,16 @@ def blocks(page: str) -> list[Block]:
         flush()
         links = 0
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
+            while opened[name] and pop() != name:
+                pass
         elif name not in VOID and not m[7].endswith("/"):
             if name in ENDS and stack and stack[-1][0] in ENDS[name]:
-                stack.pop()
-            if len(stack) < FIRST:
-                stack.append((name, marks(name, m[7])))
-        above = tuple(t for _, found in stack for t in found)
+                pop()
+            found = marks(name, m[7])
+            stack.append((name, found))
+            opened[name] += 1
+            for mark in found:
+                above[mark] += 1
     if not loose:
         say(page[at:])
     flush()
@@ -172,7 +182,7 @@ def blocks(page: str) -> list[Block]:
 
 
 def marks(name: str, attributes: str) -> tuple[str, ...]:
-    found = [name]
+    found = [name] if name in STRUCTURE else []
     if attributes:
         for groups in NAMES_IN.findall(attributes):
             for token in TOKEN.findall("".join(groups).lower()):
@@ -184,7 +194,6 @@ def marks(name: str, attributes: str) -> tuple[str, ...]:
     return tuple(found)
 
 
-ABOVE = [*STRUCTURE, *["." + k for k in HINTS], ".hidden"]
 TEXTUAL = ["bias", "short", "middling", "long", "mostly_link", "partly_link", "no_link", "sentence", "no_stop", "comma", "copyright", "digits",
            "capital", "first", "last", "heading"]
 FEATURES = {name: i for i, name in enumerate(
@@ -198,8 +207,8 @@ def features(all_blocks: list[Block]) -> list[list[int]]:
         n = len(b.text)
         size = "short" if n < 40 else "middling" if n < 160 else "long"
         share = b.linked / n
-        last = next((t for t in reversed(b.tags) if t[0] != "."), "body")
-        found = {"in:" + t for t in b.tags} | {"at:" + last, "bias", size}
+        last = b.last
+        found = {"in:" + t for t in b.above} | {"at:" + last, "bias", size}
         found.add("mostly_link" if share > 0.6 else "partly_link" if share > 0.15 else "no_link")
         found.add("sentence" if b.text[-1] in ".!?…\"”»:" else "no_stop")
         if "," in b.text:
@@ -367,7 +376,7 @@ def extract(page: str, field: Field) -> str:
 
 
 def extract_pages(pages: DataFrame, field: Field) -> DataFrame:
-    """page_id, url, text (main blocks, two line ends between), n_chars. A null or empty html has an empty text."""
+    """page_id, url, text (main blocks, two line ends between), n_chars. A null or empty html has an empty text, a null page_id stays null."""
     common.text_batches(pages.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -375,4 +384,5 @@ def extract_pages(pages: DataFrame, field: Field) -> DataFrame:
             text = [extract(page, field) for page in batch["html"].fillna("")]
             yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": text, "n_chars": list(map(len, text))})
 
-    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    found = pages.select(common.without_null("page_id"), "url", "html").mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    return found.withColumn("page_id", common.with_null("page_id"))

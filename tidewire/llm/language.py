@@ -45,6 +45,12 @@ def letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
+@functools.cache
+def lowered() -> np.ndarray:
+    """The lower case of every code point by itself, whatever its neighbours are; of several code points the first."""
+    return np.fromiter((ord(chr(c).lower()[0]) for c in range(0x110000)), np.uint32, 0x110000)
+
+
 @dataclass
 class Words:
     """The words of several texts: runs of letters, with their trigrams."""
@@ -60,11 +66,8 @@ class Words:
 def words_of(texts: list[str]) -> Words:
     joined = " " + " ".join(texts) + " "
     shape = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    low = joined.lower()
-    code = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32) if len(low) == len(joined) else np.array(
-        [ord(c.lower()[0]) for c in joined], np.uint32)
     is_letter = letters()[shape]
-    code = np.where(is_letter, code, 0).astype(np.int64)
+    code = np.where(is_letter, lowered()[shape], 0).astype(np.int64)
     at = np.flatnonzero(is_letter)
     grams = (code[at - 1] * 961_748_941 + code[at] * 15_485_863 + code[at + 1] * 32_452_843)
     grams = (grams ^ (grams >> 15)) * 2_654_435_761
@@ -196,7 +199,7 @@ def label(model: Model, texts: list[str], switch: float = SWITCH) -> tuple[list[
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, held_out, lang_pred, score, spans (start and end in code points, lang).
 
-    A text that is null or has no letter is ``und`` with score 0, and so is every text if nothing was learned.
+    A text that is null or has no letter is ``und`` with score 0, and so is every text if nothing was learned. A null doc_id stays null.
     """
     common.text_batches(docs.sparkSession)
     schema = "doc_id long, held_out boolean, lang_pred string, score double, spans array<struct<start: int, end: int, lang: string>>"
@@ -211,7 +214,8 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                     all_ += some
             yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "lang_pred": names, "score": share, "spans": spans})
 
-    return docs.select(F.col("doc_id").cast("long"), held_out("doc_id").alias("held_out"), "text").mapInPandas(run, schema)
+    found = docs.select(common.without_null("doc_id"), held_out("doc_id").alias("held_out"), "text").mapInPandas(run, schema)
+    return found.withColumn("doc_id", common.with_null("doc_id"))
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -1,90 +1,172 @@
 """Document fingerprints: a Merkle tree over sections, paragraphs and their pieces, with built-in functions only.
 
 A text is cut at blank lines into sections, at line ends into paragraphs, and a paragraph into pieces
-of at most ``PIECE`` characters (``FINE`` in a paragraph below ``SHORT``) that don't run over the end of a sentence. A piece's hash is a leaf;
-a paragraph's hash is the hash of its leaves, a section's that of its paragraphs, the root that of
-its sections. The fingerprint spells out the tree: root, then sections with their paragraphs and
-leaves. Equal roots mean equal texts. Where roots differ, only sections that the other tree lacks are opened, of those
-only paragraphs that it lacks, and of those the leaves that differ are the edits.
+of at most ``PIECE`` characters (``FINE`` in a paragraph below ``SHORT``) that don't run over the end of a sentence. A piece's hash is a leaf.
+A paragraph's hash is the hash of its leaves' hashes, a section's that of its paragraphs' hashes, and the root that of the sections' hashes and of
+what stands between sections. The fingerprint spells out the tree with shortened hashes: ``root/section:paragraph=leaf.leaf,paragraph=leaf;section:...``.
+
+Equal roots mean equal texts. Where roots differ, both trees are walked from the top by their children. The children that both have at the beginning and at
+the end are kept. Of those in between, the ones that both have were moved; of the others the first was replaced by the first, the second by the second
+and so on, and what is over was deleted or inserted. Replaced branches are opened in turn, equal ones never are.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.session import durable
+from tidewire.sources.tables import once
 
 PIECE = 48
 SHORT, FINE = 64, 8
 SECTIONS = r"\n[^\S\n]*\n"
+# Hexadecimal digits of a leaf and of an inner node in a fingerprint; hashes of nodes are made of whole ones.
 LEAF = 8
 NODE = 16
+# What follows the hash of a section or paragraph, and what parts its children.
+OPENS, PARTS = (":", "="), (";", ",", ".")
 # A null doc_id's place in the order.
 NO_ID = -(1 << 63)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def pieces(paragraph: Column) -> Column:
     """Cut a paragraph, a short one finer: nothing is lost, so equal pieces in order mean equal paragraphs."""
     def cut(n: int) -> Column:
         return F.regexp_extract_all(paragraph, F.lit(rf"(?s)[^.!?]{{0,{n - 1}}}(?:[.!?]+\s*|[^.!?]|$)"), F.lit(0))
 
-    return F.when(F.length(paragraph) < SHORT, cut(FINE)).otherwise(cut(PIECE))
+    return F.filter(F.when(F.length(paragraph) < SHORT, cut(FINE)).otherwise(cut(PIECE)), lambda p: p != "")
 
 
-def leaves(paragraph: Column) -> Column:
-    cut = F.filter(pieces(paragraph), lambda p: p != "")
-    return F.transform(cut, lambda p: F.substring(F.md5(p), 1, LEAF))
+def node(hashes: Column, spelled: Column, level: int) -> Column:
+    """A node over its children: its hash, and how it is spelled."""
+    return let(F.md5(F.array_join(hashes, "")), lambda h: F.struct(
+        h.alias("hash"), F.concat(F.substring(h, 1, NODE), F.lit(OPENS[level]), F.array_join(spelled, PARTS[level + 1])).alias("spelled")))
 
 
-def tree(text: Column) -> Column:
-    """Sections as arrays of paragraphs, paragraphs as arrays of leaf hashes."""
-    return F.transform(F.split(text, SECTIONS), lambda s: F.transform(F.split(s, "\n"), leaves))
+def paragraph_node(paragraph: Column) -> Column:
+    return let(F.transform(pieces(paragraph), F.md5), lambda leaves: node(leaves, F.transform(leaves, lambda x: F.substring(x, 1, LEAF)), 1))
 
 
-def spelled(text: Column, built: Column) -> Column:
-    """A tree as a string: ``root/leaf.leaf,leaf;leaf``, with `;` between sections, `,` between paragraphs.
-
-    The root also covers the text itself, so that white space at cuts counts.
-    """
-    body = F.array_join(F.transform(built, lambda s: F.array_join(F.transform(s, lambda p: F.array_join(p, ".")), ",")), ";")
-    return F.concat(F.substring(F.md5(F.concat(F.md5(text), body)), 1, NODE), F.lit("/"), body)
+def section_node(section: Column) -> Column:
+    return let(F.transform(F.split(section, "\n"), paragraph_node), lambda inner: node(inner["hash"], inner["spelled"], 0))
 
 
 def fingerprint(text: Column | str) -> Column:
     """The fingerprint of a text; null counts as empty."""
     whole = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-    return spelled(whole, tree(whole))
+    gaps = F.transform(F.regexp_extract_all(whole, F.lit(SECTIONS), F.lit(0)), F.md5)
+    return let(F.transform(F.split(whole, SECTIONS), section_node), lambda inner: F.concat(
+        F.md5(F.concat_ws("|", F.array_join(inner["hash"], ""), F.array_join(gaps, ""))), F.lit("/"), F.array_join(inner["spelled"], PARTS[0])))
 
 
 def root(print_: Column) -> Column:
     return F.substring_index(print_, "/", 1)
 
 
-def branches(print_: Column, at: str) -> Column:
-    """Section (``;``), paragraph (``[;,]``) or leaf (``[;,.]``) entries of a fingerprint, in order."""
-    return F.split(F.substring(print_, NODE + 2, 1 << 30), at)
+def children(branch: Column, level: int) -> Column:
+    """The children, as they are spelled, of a fingerprint (level 0), a section (1) or a paragraph (2)."""
+    skip = len("/") + (32 if level == 0 else NODE)
+    parts = F.split(F.substring(branch, skip + 1, 1 << 30), "[" + PARTS[level] + "]")
+    return F.filter(parts, lambda p: p != "") if level == 2 else parts
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """0 to 1: twice the leaves two trees share, over all leaves; 1 if the roots are equal.
+def alike(x: Column, y: Column) -> Column:
+    """How many entries two arrays have in common at their beginning."""
+    differ = F.array_position(F.zip_with(x, y, lambda a, b: F.coalesce(a == b, F.lit(False))), False)
+    return F.when(differ > 0, differ - 1).otherwise(F.greatest(F.size(x), F.size(y))).cast("int")
+
 
-    Leaves count once each: the trees' distinct pieces are compared.
+def walk(x: Column, y: Column, body: Callable[..., Column]) -> Column:
+    """``body`` of what became of the children ``x`` in ``y``: kept at the beginning, kept at the end, moved, gone and new ones.
+
+    Moved, gone and new ones are distinct, in order; the first gone ones were replaced by the first new ones.
     """
-    x, y = F.array_distinct(branches(a, "[;,.]")), F.array_distinct(branches(b, "[;,.]"))
-    shared = 2.0 * F.size(F.array_intersect(x, y)) / (F.size(x) + F.size(y))
-    return F.when(root(a) == root(b), 1.0).otherwise(F.least(shared, F.lit(1.0)))
+    def middle(of: Column, head: Column, tail: Column) -> Column:
+        return F.slice(of, head + 1, F.size(of) - head - tail)
+
+    def rest(of: Column, head: Column) -> Column:
+        return F.reverse(F.slice(of, head + 1, F.size(of) - head))
+
+    def split(head: Column, tail: Column, mx: Column, my: Column) -> Column:
+        return body(F.slice(x, 1, head), F.slice(x, F.size(x) - tail + 1, tail), F.array_intersect(mx, my), F.array_except(mx, my), F.array_except(my, mx))
+
+    return let(alike(x, y), lambda head: let(alike(rest(x, head), rest(y, head)), lambda tail: let(
+        middle(x, head, tail), lambda mx: let(middle(y, head, tail), lambda my: split(head, tail, mx, my)))))
+
+
+def paired(gone: Column, new: Column) -> Column:
+    """The replaced branches with what replaced them."""
+    n = F.least(F.size(gone), F.size(new))
+    return F.arrays_zip(F.slice(gone, 1, n).alias("old"), F.slice(new, 1, n).alias("new"))
+
+
+def leaves(branches: Column, level: int) -> Column:
+    """How many leaves there are in branches."""
+    return F.size(branches) if level == 2 else F.regexp_count(F.array_join(branches, ";"), F.lit("[=.][0-9a-f]"))
+
+
+def shared(x: Column, y: Column, level: int = 0) -> Column:
+    """Leaves in kept branches, twice, and in moved ones, once; of replaced branches what their own children share."""
+    def count(head: Column, tail: Column, moved: Column, gone: Column, new: Column) -> Column:
+        own = 2 * leaves(head, level) + 2 * leaves(tail, level) + leaves(moved, level)
+        if level == 2:
+            return own
+        return own + F.aggregate(paired(gone, new), F.lit(0), lambda n, p: n + shared(children(p["old"], level + 1), children(p["new"], level + 1), level + 1))
+
+    return let(x, lambda a: let(y, lambda b: walk(a, b, count)))
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """0 to 1: the leaves that the walk finds kept, moved ones half, over the mean number of leaves; 1 only if the roots are equal."""
+    def compared(x: Column, y: Column) -> Column:
+        total = leaves(x, 0) + leaves(y, 0)
+        return F.when(total > 0, F.least(shared(x, y) / total, 1 - 1 / (total + 1.0))).otherwise(0.0)
+
+    return F.when(root(a) == root(b), 1.0).otherwise(let(children(a, 0), lambda x: let(children(b, 0), lambda y: compared(x, y))))
 
 
 def edits(a: Column, b: Column) -> Column:
-    """Where ``b`` departs from ``a``: (section, paragraph) of ``b``, from 0, whose branch ``a`` lacks."""
-    known_sections, known = branches(a, ";"), branches(a, "[;,]")
-    opened = F.transform(branches(b, ";"), lambda s, i: F.struct(i.alias("section"), s.alias("body")))
-    opened = F.filter(opened, lambda s: ~F.array_contains(known_sections, s["body"]))
-    each = F.transform(opened, lambda s: F.filter(
-        F.transform(F.split(s["body"], ","), lambda p, j: F.struct(s["section"].alias("section"), j.alias("paragraph"), p.alias("body"))),
-        lambda p: ~F.array_contains(known, p["body"])))
-    return F.transform(F.flatten(each), lambda p: F.struct(p["section"], p["paragraph"]))
+    """What became of the tree ``a`` in ``b``: an array of (kind, a, b).
+
+    ``kind`` is replaced (leaves only: other replaced branches are opened), moved, deleted or inserted; ``a`` and ``b`` are the branch's places from
+    the top, from 0: section, paragraph, leaf. Deleted ones have no ``b``, inserted ones no ``a``. Of branches that repeat, the first is named.
+    """
+    none = F.lit(None).cast("array<int>")
+
+    def edit(kind: str, at_a: Column, at_b: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), at_a.alias("a"), at_b.alias("b"))
+
+    def compared(x: Column, y: Column, above_a: Column, above_b: Column, level: int) -> Column:
+        def at(above: Column, of: Column, branch: Column) -> Column:
+            return F.array_append(above, (F.array_position(of, branch) - 1).cast("int"))
+
+        def listed(head: Column, tail: Column, moved: Column, gone: Column, new: Column) -> Column:
+            n = F.least(F.size(gone), F.size(new))
+
+            def opened(p: Column) -> Column:
+                here = at(above_a, x, p["old"]), at(above_b, y, p["new"])
+                if level == 2:
+                    return F.array(edit("replaced", *here))
+                return compared(children(p["old"], level + 1), children(p["new"], level + 1), *here, level + 1)
+
+            return F.concat(
+                F.transform(moved, lambda m: edit("moved", at(above_a, x, m), at(above_b, y, m))), F.flatten(F.transform(paired(gone, new), opened)),
+                F.transform(F.slice(gone, n + 1, F.size(gone)), lambda g: edit("deleted", at(above_a, x, g), none)),
+                F.transform(F.slice(new, n + 1, F.size(new)), lambda g: edit("inserted", none, at(above_b, y, g))))
+
+        return walk(x, y, listed)
+
+    top = F.array().cast("array<int>")
+    changed = let(children(a, 0), lambda x: let(children(b, 0), lambda y: compared(x, y, top, top, 0)))
+    return F.when(root(a) == root(b), F.array().cast("array<struct<kind: string, a: array<int>, b: array<int>>>")).otherwise(changed)
 
 
 def following(keys: DataFrame) -> DataFrame:
@@ -128,7 +210,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         F.col("_one.fingerprint").alias("_next_print"),
         F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 4) as int))"),
                  F.expr("left(_one.head, cast(floor(length(text) / 4) as int))")).alias("_edited"))
-    return edited.select("*", fingerprint("_edited").alias("edited_fingerprint")).select(
-        "doc_id", "n_chars", F.sha2("_edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+    printed_twice = edited.select("doc_id", "n_chars", "fingerprint", "_next_print", F.sha2("_edited", 256).alias("edited_sha256"),
+                                  once(fingerprint("_edited")).alias("edited_fingerprint"))
+    return printed_twice.select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("_next_print")).alias("near_next"))

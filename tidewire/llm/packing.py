@@ -22,6 +22,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -155,11 +156,9 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, tokens: bool
                     part = ids[at:end]
                     rows.append((key, piece, at, len(part), zlib.crc32(part.tobytes()), *[part.astype("i4")] * tokens))
                     at, piece = end, piece + 1
-            out = pd.DataFrame(rows, columns=[f.split()[0] for f in schema.split(", ")])
-            out["doc_id"] = pd.array(out["doc_id"], dtype="Int64")
-            yield out
+            yield pd.DataFrame(rows, columns=[f.split()[0] for f in schema.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(cut, schema)
+    return docs.select(common.without_null("doc_id"), "text").mapInPandas(cut, schema).withColumn("doc_id", common.with_null("doc_id"))
 
 
 def pack(cut: DataFrame, size: int = SIZE) -> DataFrame:
@@ -177,20 +176,22 @@ def pack(cut: DataFrame, size: int = SIZE) -> DataFrame:
                             F.lit(1), "_rank").drop("_cell")
     schema = T.StructType([*cut.schema.fields]).add("sequence_id", "long").add("offset", "long")
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sequence = np.zeros(len(batch), np.int64)
             offset = np.zeros(len(batch), np.int64)
-            length, rank = batch["length"].to_numpy(), batch["_rank"].to_numpy()
+            length, rank = batch.column("length").to_numpy(), batch.column("_rank").to_numpy()
             for n in np.unique(length):
                 mine, spots = length == n, where[int(n)]
                 spot = spots[np.searchsorted(spots[:, 0], rank[mine], side="right") - 1]
                 k = rank[mine] - spot[:, 0]
                 sequence[mine] = spot[:, 1] + k // spot[:, 2]
                 offset[mine] = spot[:, 3] + k % spot[:, 2] * n
-            yield batch.drop(columns="_rank").assign(sequence_id=sequence, offset=offset)
+            # other columns pass as they are
+            kept = [*batch.columns[:-1], pa.array(sequence), pa.array(offset)]
+            yield pa.RecordBatch.from_arrays(kept, [*batch.schema.names[:-1], "sequence_id", "offset"])
 
-    return ranked.select(*cut.columns, "_rank").mapInPandas(place, schema)
+    return ranked.select(*cut.columns, "_rank").mapInArrow(place, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = SIZE) -> DataFrame:

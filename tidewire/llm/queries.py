@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewire.llm import common, html, language, lines, merkle, mixture, packing, quality, shards, shingle_join, urls
+from tidewire.llm import alignment, common, html, importance, language, lines, merkle, mixture, packing, quality, secrets, shards, shingle_join, urls
+from tidewire.session import temporary_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -66,8 +67,8 @@ WITH split AS (
   SELECT doc_id, source, u.line, u.pos
   FROM documents, LATERAL (SELECT unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos) u),
 trimmed AS (SELECT *, trim(translate(line, chr(9) || chr(11) || chr(12) || chr(13), '    '), ' ') AS body FROM split),
-wordy AS (SELECT * FROM trimmed WHERE len(list_filter(string_split(body, ' '), lambda x: x <> '')) >= {lines.LEAST_WORDS}),
-shared AS (SELECT body, min(doc_id) AS owner FROM wordy GROUP BY body HAVING count(DISTINCT source) >= {lines.SITES}),
+wordy AS (SELECT * FROM trimmed WHERE body <> ''),
+shared AS (SELECT body, coalesce(min(doc_id), {lines.NO_ID}) AS owner FROM wordy GROUP BY body HAVING count(DISTINCT source) >= {lines.SITES}),
 firsts AS (SELECT w.body, w.doc_id, min(w.pos) AS first FROM wordy w JOIN shared s ON s.body = w.body AND s.owner = w.doc_id GROUP BY ALL),
 gone AS (
   SELECT w.doc_id, w.pos FROM wordy w JOIN shared s USING (body) LEFT JOIN firsts f ON f.body = w.body AND f.doc_id = w.doc_id
@@ -100,6 +101,25 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_pages(pages, html.fit(numbered, common.documents(spark, sf_dir)))
 
 
+@register
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by how much they are like ``benchmark``, the drawn tenth ranked."""
+    return importance.resample(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@register
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents, by a ledger of their own."""
+    return secrets.scan_documents(common.documents(spark, sf_dir), temporary_dir(spark, "ledger"))
+
+
+@register
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in the tokens of two tokenizers, aligned."""
+    return alignment.align_documents(
+        common.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def hexadecimal(digits: str) -> str:
     return f"CAST('0x' || {digits} AS BIGINT)"
 
@@ -168,20 +188,63 @@ FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN (SELECT node AS doc_
 """
 
 
+def sql_let(value: str, name: str, body: str) -> str:
+    return f"list_transform([{value}], lambda {name}: {body})[1]"
+
+
 def merkle_print(text: str) -> str:
     def cut(n: int) -> str:
         return f"regexp_extract_all(p, '(?s)[^.!?]{{0,{n - 1}}}(?:[.!?]+\\s*|[^.!?]|$)')"
 
-    leaves = (f"list_transform(list_filter(CASE WHEN length(p) < {merkle.SHORT} THEN {cut(merkle.FINE)} ELSE {cut(merkle.PIECE)} END, lambda x: x <> ''), "
-              f"lambda x: substr(md5(x), 1, {merkle.LEAF}))")
-    body = (f"array_to_string(list_transform(regexp_split_to_array({text}, '\\n[\\t\\f\\r\\v ]*\\n'), lambda s: "
-            f"array_to_string(list_transform(string_split(s, chr(10)), lambda p: coalesce(array_to_string({leaves}, '.'), '')), ',')), ';')")
-    return f"substr(md5(md5({text}) || {body}), 1, {merkle.NODE}) || '/' || {body}"
+    def node(hashes: str, spelled: str, level: int) -> str:
+        return sql_let(f"md5(coalesce(array_to_string({hashes}, ''), ''))", f"h{level}",
+                       f"{{'hash': h{level}, 'spelled': substr(h{level}, 1, {merkle.NODE}) || '{merkle.OPENS[level]}' || coalesce(array_to_string({spelled}, '{merkle.PARTS[level + 1]}'), '')}}")
+
+    cuts = f"list_filter(CASE WHEN length(p) < {merkle.SHORT} THEN {cut(merkle.FINE)} ELSE {cut(merkle.PIECE)} END, lambda q: q <> '')"
+    paragraph = sql_let(f"list_transform({cuts}, lambda q: md5(q))", "leaves", node("leaves", f"list_transform(leaves, lambda q: substr(q, 1, {merkle.LEAF}))", 1))
+    section = sql_let(f"list_transform(string_split(s, chr(10)), lambda p: {paragraph})", "ps",
+                      node("list_transform(ps, lambda q: q.hash)", "list_transform(ps, lambda q: q.spelled)", 0))
+    blank = "'\n[\t\f\r\v ]*\n'"
+    gaps = f"coalesce(array_to_string(list_transform(regexp_extract_all({text}, {blank}), lambda g: md5(g)), ''), '')"
+    return sql_let(f"list_transform(regexp_split_to_array({text}, {blank}), lambda s: {section})", "ss",
+                   f"md5(array_to_string(list_transform(ss, lambda q: q.hash), '') || '|' || {gaps}) || '/' || array_to_string(list_transform(ss, lambda q: q.spelled), ';')")
+
+
+def merkle_children(branch: str, level: int) -> str:
+    parts = f"string_split(substr({branch}, {2 + (32 if level == 0 else merkle.NODE)}), '{merkle.PARTS[level]}')"
+    return f"list_filter({parts}, lambda z: z <> '')" if level == 2 else parts
+
+
+def merkle_leaves(branches: str, level: int) -> str:
+    return f"len({branches})" if level == 2 else f"len(regexp_extract_all(coalesce(array_to_string({branches}, ';'), ''), '[=.][0-9a-f]'))"
+
+
+def merkle_shared(x: str, y: str, level: int = 0) -> str:
+    a, b, p, q, mx, my, gone, new = (f"{v}{level}" for v in ("a", "b", "p", "q", "mx", "my", "gone", "new"))
+
+    def alike(u: str, v: str) -> str:
+        both = f"range(1, least(len({u}), len({v})) + 1)"
+        return f"coalesce(list_min(list_filter({both}, lambda k: {u}[k] <> {v}[k])) - 1, least(len({u}), len({v})))"
+
+    def lacks(u: str, v: str) -> str:
+        return f"list_filter({u}, lambda z, k: list_position({u}, z) = k AND NOT list_contains({v}, z))"
+
+    own = (f"2 * {merkle_leaves(f'{a}[1:{p}]', level)} + 2 * {merkle_leaves(f'{a}[len({a}) - {q} + 1:]', level)} "
+           f"+ {merkle_leaves(f'list_filter({mx}, lambda z, k: list_position({mx}, z) = k AND list_contains({my}, z))', level)}")
+    if level < 2:
+        inner = merkle_shared(merkle_children(f"{gone}[k{level}]", level + 1), merkle_children(f"{new}[k{level}]", level + 1), level + 1)
+        opened = f"list_sum(list_transform(range(1, least(len({gone}), len({new})) + 1), lambda k{level}: {inner}))"
+        own += " + " + sql_let(lacks(mx, my), gone, sql_let(lacks(my, mx), new, f"coalesce({opened}, 0)"))
+    middles = sql_let(f"{a}[{p} + 1:len({a}) - {q}]", mx, sql_let(f"{b}[{p} + 1:len({b}) - {q}]", my, own))
+    tails = sql_let(alike(f"list_reverse({a}[{p} + 1:])", f"list_reverse({b}[{p} + 1:])"), q, middles)
+    return sql_let(x, a, sql_let(y, b, sql_let(alike(a, b), p, tails)))
 
 
 def merkle_likeness(a: str, b: str) -> str:
-    x, y = (f"list_distinct(regexp_split_to_array(substr({c}, {merkle.NODE + 2}), '[;,.]'))" for c in (a, b))
-    return f"CASE WHEN split_part({a}, '/', 1) = split_part({b}, '/', 1) THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect({x}, {y})) / (len({x}) + len({y})) END"
+    x, y = merkle_children(a, 0), merkle_children(b, 0)
+    total = f"({merkle_leaves(x, 0)} + {merkle_leaves(y, 0)})"
+    return (f"CASE WHEN split_part({a}, '/', 1) = split_part({b}, '/', 1) THEN 1.0::DOUBLE WHEN {total} = 0 THEN 0.0::DOUBLE "
+            f"ELSE least(({merkle_shared(x, y)})::DOUBLE / {total}, 1 - 1 / ({total} + 1.0::DOUBLE)) END")
 
 
 ORACLE["op10_merkle"] = f"""
@@ -196,3 +259,67 @@ SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, {merkle_
        {merkle_likeness('fingerprint', 'next_fingerprint')} AS near_next
 FROM printed
 """
+
+
+CRC_OF_WORD = ("xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(len(raw) // 2), lambda i: "
+               "CAST('0x' || substr(raw, 2 * i + 1, 2) AS BIGINT))), lambda c, b: xor(steps[(xor(c, b) & 255) + 1], c >> 8)))")
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLE["op11_importance"] = f"""
+WITH crc AS (SELECT {CRC_TABLE} AS steps),
+worded AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+wanted AS (SELECT unnest(regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark),
+each AS (SELECT r, unnest(w) AS word FROM worded),
+vocabulary AS (SELECT word, hex(encode(word)) AS raw FROM (SELECT word FROM each UNION SELECT word FROM wanted)),
+placed AS (SELECT word, {CRC_OF_WORD} % {importance.BUCKETS} AS bucket FROM vocabulary, crc),
+s AS (SELECT bucket, count(*) AS n FROM each JOIN placed USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM wanted JOIN placed USING (word) GROUP BY bucket),
+totals AS (SELECT (SELECT count(*) FROM each)::DOUBLE AS s, (SELECT count(*) FROM wanted)::DOUBLE AS t),
+gains AS (
+  SELECT b.bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * (totals.s + {importance.BUCKETS})
+         / ((coalesce(s.n, 0) + 1)::DOUBLE * (totals.t + {importance.BUCKETS}))))::BIGINT AS gain
+  FROM (SELECT DISTINCT bucket FROM placed) b LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket), totals),
+weights AS (
+  SELECT r, count(*) AS n, sum(gain)::BIGINT AS total FROM each JOIN placed USING (word) JOIN gains USING (bucket) GROUP BY r),
+scored AS (
+  SELECT d.r, d.doc_id, len(d.w)::BIGINT AS n_features,
+         coalesce((w.total - ((w.total % w.n) + w.n) % w.n) // w.n, 0)::BIGINT AS weight,
+         floor(-1000 * ln(-ln(({hexadecimal(f"substr(sha256('{importance.SEED}:' || coalesce(d.doc_id::VARCHAR, '')), 1, 8)")} + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS noise
+  FROM worded d LEFT JOIN weights w USING (r)),
+placed_rows AS (
+  SELECT *, weight + noise AS score, n_features >= {importance.LEAST_WORDS} AS enough FROM scored),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY enough ORDER BY score DESC, doc_id NULLS FIRST, r) AS place, count(*) OVER (PARTITION BY enough) AS many FROM placed_rows)
+SELECT doc_id, n_features, weight, score, CASE WHEN enough AND place <= many * {importance.PERCENT} // 100 THEN place END::BIGINT AS rank
+FROM numbered
+"""
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def secret_spans(rules) -> str:
+    """Spans of every rule in ``text``, in order of start, then rule."""
+    each = []
+    for i, rule in enumerate(rules):
+        pattern = quoted(rule.pattern)
+        gaps, matches = f"regexp_split_to_array(text, {pattern})", f"regexp_extract_all(text, {pattern})"
+        counts = f"regexp_extract_all(text, {pattern}, {rule.group})"
+        end = (f"(coalesce(list_sum(list_transform({gaps}[1:k + 1], lambda x: length(x))), 0) "
+               f"+ list_sum(list_transform({matches}[1:k + 1], lambda x: length(x))))::BIGINT")
+        each.append(f"list_transform(list_filter(range(len({matches})), lambda k: length({counts}[k + 1]) >= {rule.least}), "
+                    f"lambda k: {{'start': {end} - length({matches}[k + 1]), 'place': {i}, 'kind': '{rule.kind}', 'end': {end}}})")
+    return f"list_sort(flatten([{', '.join(each)}]))"
+
+
+def secret_digits(spans: str) -> str:
+    return f"coalesce(array_to_string(list_transform({spans}, lambda s: s.kind || ':' || s.start || ':' || s.end), ','), '')"
+
+
+ORACLE["op12_secrets"] = f"""
+WITH found AS (SELECT doc_id, {secret_spans(secrets.RULES)} AS found FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+base AS (SELECT *, list_filter(found, lambda s: s.place < {len(secrets.BASE)}) AS base FROM found)
+SELECT doc_id, {', '.join(f"len(list_filter(found, lambda s: s.kind = '{r.kind}'))::BIGINT AS n_{r.kind}" for r in secrets.BASE)},
+       sha256({secret_digits('base')}) AS base_sha256, {secret_digits('found')} AS spans
+FROM base
+"""

@@ -1,8 +1,10 @@
 """URL filters: fixed host and path rules, and association rules mined from labels, with built-in functions only.
 
 FP-growth finds token combinations of labelled urls that go with a bad label often enough (support) and
-reliably enough (confidence). A mined rule is filed in an inverted index under its rarest token; a
-url meets only the rules filed under its own tokens, and a rule fits if the url has all its tokens.
+reliably enough (confidence). Tokens that stand in exactly the same labelled urls are one item: whichever of them a combination names, it has the
+same support and confidence, so that naming each would only multiply the rules. A url has an item if it has one of its tokens.
+A mined rule is filed in an inverted index under its rarest item; a
+url meets only the rules filed under its own items, and a rule fits if the url has all its items.
 """
 
 from __future__ import annotations
@@ -20,8 +22,8 @@ RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.
          ("net", "/es/", "block"), ("net", "/fr/", "block")]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)(.*)$"
-# A mined rule holds for so many labelled urls and for this share of all of them, so reliably.
-LEAST_COUNT, SUPPORT, CONFIDENCE = 25, 0.0005, 0.75
+# A mined rule holds for so many labelled urls, so reliably, whatever their number.
+LEAST_COUNT, CONFIDENCE = 25, 0.75
 BAD = "label=bad"
 
 
@@ -47,34 +49,48 @@ def fixed(host_: Column, path_: Column, rules: list[tuple[str, str, str]] = RULE
 
 
 def tokens(url: Column | str) -> Column:
-    """What a url is made of: words of host (``h:``), path (``p:``) and the rest (``q:``), sorted; numbers don't count."""
-    def words(text: Column, mark: str) -> Column:
-        each = F.filter(F.split(F.translate(text, UPPER, LOWER), "[^a-z0-9]+"), lambda w: w.rlike("[a-z]"))
+    """What a url is made of: words of host (``h:``), path (``p:``) and the rest (``q:``), sorted; numbers count in the host only."""
+    def words(text: Column, mark: str, least: str = r"\p{L}") -> Column:
+        each = F.filter(F.split(F.translate(text, UPPER, LOWER), r"[^\p{L}\p{N}]+"), lambda w: w.rlike(least))
         return F.transform(each, lambda w: F.concat(F.lit(mark), w))
 
     scheme = F.array(F.concat(F.lit("s:"), F.translate(F.coalesce(F.substring_index(url, "://", 1), F.lit("")), UPPER, LOWER)))
     return F.array_sort(F.array_distinct(F.concat(
         F.when(F.instr(url, "://") > 0, scheme).otherwise(F.array().cast("array<string>")),
-        words(part(url, 1), "h:"), words(part(url, 2), "p:"), words(part(url, 3), "q:"))))
+        words(part(url, 1), "h:", "."), words(part(url, 2), "p:"), words(part(url, 3), "q:"))))
 
 
-def mine(labelled: DataFrame, least: int = LEAST_COUNT, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+def items_of(held: DataFrame, least: int) -> DataFrame:
+    """(token, item, n): tokens of at least ``least`` rows of ``held`` (row, token), and the item that those in the same rows make up."""
+    # two hashes of the rows that a token is in, which don't depend on their order
+    seen = held.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("a"), F.bit_xor(F.xxhash64("row", F.lit(2))).alias("b"))
+    # no more tokens than one url has
+    together = seen.where(F.col("n") >= least).groupBy("n", "a", "b").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
+    return together.select(F.explode("tokens").alias("token"), F.array_join("tokens", " ").alias("item"), "n")
+
+
+def mine(labelled: DataFrame, least: int = LEAST_COUNT, confidence: float = CONFIDENCE) -> DataFrame:
     """Rules (antecedent, confidence, support, filed) that point to a bad label; ``labelled`` has url and bad.
 
-    Null labels don't count. ``filed`` is the antecedent's rarest token.
+    Null labels and urls don't count. An item of the antecedent is its tokens, joined by spaces. ``filed`` is the antecedent's rarest item.
     """
     spark = labelled.sparkSession
-    baskets = durable(labelled.where("url is not null and bad is not null").select(
-        F.when(F.col("bad"), F.array_append(tokens("url"), F.lit(BAD))).otherwise(tokens("url")).alias("items"), "bad"), "baskets")
-    n = baskets.count()
-    if not n or baskets.where("bad").isEmpty():
-        return spark.createDataFrame([], "antecedent array<string>, confidence double, support double, filed string")
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, least / n)), minConfidence=confidence).fit(baskets)
+    none = spark.createDataFrame([], "antecedent array<string>, confidence double, support double, filed string")
+    rows = durable(labelled.where("url is not null and bad is not null").select("bad", tokens("url").alias("tokens")).withColumn(
+        "row", F.monotonically_increasing_id()), "labelled")
+    held = rows.select("row", "bad", F.explode("tokens").alias("token"))
+    items = durable(items_of(held, least), "items")
+    if items.isEmpty() or rows.where("bad").isEmpty():
+        return none
+    in_rows = lookup_join(held, items.select("token", "item"), "token").groupBy("row", "bad").agg(F.collect_set("item").alias("items"))
+    baskets = durable(in_rows.select(F.when(F.col("bad"), F.array_append("items", F.lit(BAD))).otherwise(F.col("items")).alias("items")), "baskets")
+    n, known = rows.count(), baskets.count()
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / known), minConfidence=confidence).fit(baskets)
     rules = model.associationRules.where(F.col("consequent")[0] == BAD).select(
-        F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
-    counts = model.freqItemsets.where("size(items) = 1").select(F.col("items")[0].alias("token"), F.col("freq"))
-    rarest = rules.select("antecedent", F.explode("antecedent").alias("token")).join(counts, "token").groupBy("antecedent").agg(
-        F.min(F.struct("freq", "token"))["token"].alias("filed"))
+        F.array_sort("antecedent").alias("antecedent"), "confidence", (F.col("support") * known / n).alias("support"))
+    counts = items.select("item", "n").distinct()
+    rarest = rules.select("antecedent", F.explode("antecedent").alias("item")).join(counts, "item").groupBy("antecedent").agg(
+        F.min(F.struct("n", "item"))["item"].alias("filed"))
     return durable(rules.join(rarest, "antecedent"), "rules")
 
 
@@ -83,16 +99,19 @@ def matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
 
     ``urls`` has key and tokens, one row per distinct set.
     """
-    met = lookup_join(urls.select("key", "tokens", F.explode("tokens").alias("filed")), rules, "filed")
-    fits = met.where(F.size(F.array_except("antecedent", "tokens")) == 0)
-    return fits.groupBy("key").agg(F.max(F.struct("confidence", F.array_join("antecedent", " ").alias("mined"))).alias("_best")).select(
+    names = rules.select(F.explode("antecedent").alias("item")).distinct().select("item", F.explode(F.split("item", " ")).alias("token"))
+    own = lookup_join(urls.select("key", F.explode("tokens").alias("token")), names, "token").groupBy("key").agg(F.collect_set("item").alias("items"))
+    met = lookup_join(own.select("key", "items", F.explode("items").alias("filed")), rules, "filed")
+    fits = met.where(F.size(F.array_except("antecedent", "items")) == 0)
+    return fits.groupBy("key").agg(F.max(F.struct("confidence", F.array_join("antecedent", ", ").alias("mined"))).alias("_best")).select(
         "key", "_best.mined", "_best.confidence")
 
 
 def judge(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """Add host, path, rule, verdict, mined and confidence to rows with a url.
 
-    A fixed rule decides; otherwise a url that a mined rule fits is blocked, and any other is allowed.
+    A fixed rule decides; otherwise a url that a mined rule fits is blocked, and any other is allowed. A null url has no host, path or
+    tokens and is allowed. Rows that repeat stay; columns of these names are replaced.
     """
     keyed = urls.withColumn("_tokens", F.coalesce(tokens("url"), F.array().cast("array<string>"))).withColumn("_key", F.array_join("_tokens", " "))
     distinct = keyed.groupBy(F.col("_key").alias("key")).agg(F.first("_tokens").alias("tokens"))
