@@ -21,8 +21,6 @@ from tidewire.sources.tables import once
 TOKENIZER = "byte_bpe_50k.json"
 # Near duplicates: shingles of five words, similar by four fifths or more.
 NEAR_WORDS, NEAR_SIMILAR = 5, 80
-# Line dedup counts the sites of every line that has a word.
-LINE_WORDS = 1
 
 
 def documents_of(docs: DataFrame) -> DataFrame:
@@ -41,7 +39,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A document that loses all its words goes: each of its lines stays in the document that owns it. Of whole copies on
     many sources one stays so. Documents that had no words before stay as they are.
     """
-    cut = lines.dedup(documents_of(docs), least_words=LINE_WORDS)
+    cut = lines.dedup(documents_of(docs))
     # a filter on the cut text itself would be pushed down with the whole cut in it
     new = cut.select("doc_id", "lang", "source", "n_chars", once(F.struct("text", "n_removed")).alias("_new")).select("*", "_new.*")
     emptied = (F.col("n_removed") > 0) & (common.word_count("text") == 0)
@@ -50,14 +48,23 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the group's smallest doc_id.
+    """One document of each group: the one with the group's smallest doc_id, null last.
 
-    Rows that repeat a doc_id stay together. Rows with a null doc_id stay.
+    Of rows that repeat a doc_id, or have none, one stays too if they are in one group: the smallest by a hash of the row. Such rows
+    get numbers of their own, for which all rows are written once more.
     """
     docs = documents_of(docs)
-    found = shingle_join.link(docs, NEAR_WORDS, NEAR_SIMILAR)
-    others = found.where("component_id <> doc_id or component_id is null and doc_id is not null").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*common.DOCUMENT_COLUMNS)
+    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").isEmpty():
+        rows = docs.withColumn("_row", F.col("doc_id"))
+    else:
+        rows = durable(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = shingle_join.link(rows.select(F.col("_row").alias("doc_id"), "text"), NEAR_WORDS, NEAR_SIMILAR)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(*common.DOCUMENT_COLUMNS), "_row").alias("_order")
+    grouped = durable(found.where("component_id <> doc_id").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")), "groups")
+    grouped = grouped.union(grouped.select("_group", "_group").distinct())
+    firsts = rows.select("_row", order).join(grouped.hint("merge"), "_row").groupBy("_group").agg(F.min("_order")["_row"].alias("_row"))
+    others = grouped.select("_row").join(firsts.select("_row").hint("merge"), "_row", "left_anti")
+    return rows.join(others.hint("merge"), "_row", "left_anti").select(*common.DOCUMENT_COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
