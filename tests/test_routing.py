@@ -93,6 +93,14 @@ def test_delivery_cap(spark, monkeypatch, cap, small):
     assert {r.item_id: r.event for r in routing.delivery_cap(df, cap).collect()} == want
 
 
+def test_delivery_cap_counts_ties(spark):
+    rows = [(1, "p", START)] * 5 + [(2, "p", START)] * 2 + [(1, "q", None)] * 3
+    df = spark.createDataFrame(rows, "item_id long, pub string, published timestamp_ntz").repartition(4)
+    for cap in (1, 2, 6):
+        sent = Counter((r.pub, r.event) for r in routing.delivery_cap(df, cap).collect())
+        assert sent["p", "pub_send"] == min(cap, 7) and sent["q", "pub_send"] == min(cap, 3) and sent.total() == 10
+
+
 def test_lookup_join_both_ways(spark):
     big = spark.range(1000).select("id", F.when(F.col("id") < 700, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 9)).alias("k"))
     small = spark.createDataFrame([("hot", 1), ("k1", 2), ("k1", 3)], "k string, v int")

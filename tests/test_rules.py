@@ -1,5 +1,6 @@
 import itertools
 import re
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -141,6 +142,37 @@ def test_vocabulary_without_broadcast(spark, monkeypatch):
     assert want == sorted(map(tuple, routing.item_matches(items, table, by_vocabulary=False).collect()))
 
 
+def test_repeated_ids_are_matched_by_row(spark):
+    """Rows that share an id are never pooled, whatever the number of rules."""
+    table = filters(spark, "alpha & beta", "alpha; beta", "alpha beta")
+    items = titled(spark, ["alpha", "beta", "alpha beta", "beta alpha"]).withColumn("item_id", F.lit(1))
+    want = Counter({(1, 0): 2, (1, 1): 4, (1, 2): 1})
+    for vocabulary in (False, True):
+        assert Counter(map(tuple, routing.item_matches(items, table, by_vocabulary=vocabulary).collect())) == want
+    assert Counter((r.filter_id, r.found) for r in matching.conj_by_count(items, table).collect()) == Counter({(0, 2): 2, (1, 1): 6, (2, 1): 1})
+
+
+def test_no_row_of_a_place_carries_a_text(spark, monkeypatch):
+    """Words are exploded into places without the text they are from."""
+    written = []
+    monkeypatch.setattr(matching, "durable", lambda df, name="step": written.append((name, df)) or sizing_durable(df, name))
+    items = titled(spark, ["the of a b c", "a b c d", "b c the of"] * 5)
+    routing.item_matches(items, filters(spark, "a b c; the of", "b & c d", "a * c d"), by_vocabulary=True).collect()
+    names = [name for name, _ in written]
+    assert {"rows", "hits", "parts", "places", "wanted"} <= set(names)
+    for name, df in written:
+        if name in ("places", "wanted", "hits", "parts"):
+            assert not {"line", "words"} & set(df.columns)
+    found = next(df for name, df in written if name == "places")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    joined = [line for line in plan.splitlines() if "Generate posexplode" in line]
+    assert joined and not any("words#" in line.split("], ")[-1] for line in joined)
+    # regexes run on the vocabulary alone
+    for name, df in written:
+        if name in ("places", "wanted"):
+            assert "RLIKE" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_too_many_rules_do_not_become_columns(spark):
     table = spark.range(100).select(F.col("id").cast("int").alias("filter_id"), F.lit("a").alias("cond"),
                                     F.array().cast("array<string>").alias("sources"), F.array().cast("array<string>").alias("pubs"))
@@ -149,6 +181,9 @@ def test_too_many_rules_do_not_become_columns(spark):
     assert routing.item_matches(titled(spark, ["a"]), table).count() == 100
 
 
+sizing_durable = matching.durable
+
+
 def test_words_of_line(spark):
     assert titled(spark, ["a b", ""]).select(line_words(F.col("line"))).collect()[1][0] == []
 

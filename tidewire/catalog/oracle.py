@@ -256,3 +256,16 @@ ORACLE["source_throttle"] = f"WITH RECURSIVE {SOURCE_PULLS} SELECT src, ts, id F
 ORACLE["stream_source_throttle"] = ORACLE["source_throttle"]
 ORACLE["stream_outbox"] = f"""WITH {routed(True, WANTED)}, m AS (SELECT *, {MESSAGE} AS message FROM routed)
 SELECT pub, message, 'http://example.org/send?text=' || {escaped('message')} AS url FROM m"""
+ORACLE["stream_throttle_late"] = ORACLE["throttle"]
+ORACLE["stream_delivery_cap"] = ORACLE["delivery_cap"]
+ORACLE["stream_delivery_report"] = ORACLE["delivery_report"]
+ORACLE["stream_capacity"] = f"WITH {TOKENS} SELECT src, least(count(DISTINCT key), 4) AS keys FROM keyed GROUP BY src"
+ORACLE["stream_outbox_errors"] = f"""WITH {routed(True, WANTED)}, m AS (SELECT *, {MESSAGE} AS message FROM routed)
+SELECT pub, message, 'ValueError: ' || length(message) || ' characters for ' || pub AS error FROM m WHERE length(message) > 100"""
+ORACLE["receive_report"] = f"""WITH {ITEMS} SELECT src AS link, count(*) AS received, count(*) FILTER (item_id % 7 = 0) AS rejected,
+  least(count(*) FILTER (item_id % 10 = 3), 1) AS broken FROM items GROUP BY src"""
+ORACLE["stream_receive_report"] = ORACLE["receive_report"]
+ORACLE["sql_functions"] = f"""WITH {TOKENS} SELECT item_id, key, len(words)::INTEGER AS n_words, {BLANK} AS blank, len({split_trim('body', ',')})::INTEGER AS n_parts,
+  {affix('src', ['en', 'src1'])} AS affix, split_part(src, '.', 1) AS agency, strftime(published, '%d.%m %H:%M') AS date_fmt,
+  hour(published) >= 20 OR hour(published) < 5 AS muted, 'http://example.org/send?text=' || {escaped('title')} AS url FROM keyed"""
+ORACLE["sql_throttle"] = ORACLE["throttle"]

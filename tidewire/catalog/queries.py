@@ -5,27 +5,30 @@ Arrays leave as ``|``-joined text, so that any engine can compare them.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.catalog import subscriptions as subs
-from tidewire.functions import render, text
+from tidewire.functions import render, sql, text
 from tidewire.functions.affix import affix_match
 from tidewire.functions.hours import is_muted
 from tidewire.operators import dedup, dimensions, matching, routing, throttle
 from tidewire.plans import rules as rule_tables
 from tidewire.plans.patterns import translate
-from tidewire.session import run_dir
-from tidewire.sources import feeds, tables
-from tidewire.streaming import jobs, state
+from tidewire.session import durable, temporary_dir
+from tidewire.sources import feeds, sinks, tables
+from tidewire.streaming import jobs, ordered, state
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 FIFO_CAPACITY = 4
 HOURLY_CAP = 2
+LATE = timedelta(hours=6)
+LONGEST_MESSAGE = 100
 
 
 def query(function: Query | None = None, *, name: str | None = None):
@@ -77,7 +80,7 @@ def scan_page_items(spark, folder):
 @query
 def scan_feed_xml(spark, folder):
     """Items written as RSS by source, and read back as a feed."""
-    path = run_dir(spark, "feed")
+    path = temporary_dir(spark, "feed")
     feeds.write_rss(tables.document_items(spark, folder), path, ["src"])
     rows = feeds.read_feeds(spark, path)
     return rows.select("title", "link", joined("categories").alias("categories"), "published")
@@ -86,7 +89,7 @@ def scan_feed_xml(spark, folder):
 @query
 def scan_multi_link(spark, folder):
     """Sources with two links each: the items under every link, with their source."""
-    path = run_dir(spark, "feeds")
+    path = temporary_dir(spark, "feeds")
     items = tables.document_items(spark, folder).withColumn("half", F.col("item_id") % 2)
     feeds.write_rss(items, path, ["src", "half"])
     links = F.array(*[F.concat(F.lit(f"{path}/src="), F.col("name"), F.lit(f"/half={half}")) for half in (0, 1)])
@@ -454,13 +457,34 @@ def source_throttle(spark, folder):
     return kept.select("src", "ts", "id")
 
 
+# --- SQL ---------------------------------------------------------------------------------------
+
+
+@query
+def sql_functions(spark, folder):
+    """Words, keys, links and dates of the items, by functions named in SQL."""
+    sql.register(spark)
+    return spark.sql("""
+        SELECT item_id, dedup_key(token_line(text)) AS key, size(tokenize(text)) AS n_words, is_blank(title) AS blank, size(split_trim(text, ',')) AS n_parts,
+               affix_match(src, array('en', 'src1')) AS affix, agency(src) AS agency, date_text(published) AS date_fmt, muted(published, 20, 5) AS muted,
+               build_url('http://example.org/send?text=%s', title) AS url
+        FROM {items}""", items=tables.document_items(spark, folder))
+
+
+@query
+def sql_throttle(spark, folder):
+    """The throttle as a table function."""
+    sql.register(spark)
+    return spark.sql("SELECT * FROM throttle(TABLE({pulls}) PARTITION BY user_id ORDER BY (ts, id), 'ts', 21600)", pulls=tables.pulls(spark, folder))
+
+
 # --- streams -----------------------------------------------------------------------------------
 
 
 @query
 def stream_route(spark, folder):
     """The routing job over all input there is; titles and publishers it delivered."""
-    path = run_dir(spark, "route")
+    path = temporary_dir(spark, "route")
     job = jobs.start_route(jobs.document_item_stream(spark, folder), subs.desk_filters(spark), subs.desk_pubs(spark),
                            f"{path}/outbox", f"{path}/log")
     job.awaitTermination()
@@ -495,7 +519,102 @@ def stream_source_throttle(spark, folder):
 @query
 def stream_outbox(spark, folder):
     """What the routing job delivers, rendered: which of two equal texts goes out depends on arrival, so the text's key stands for it."""
-    path = run_dir(spark, "outbox")
+    path = temporary_dir(spark, "outbox")
     jobs.start_route(jobs.document_item_stream(spark, folder), subs.desk_filters(spark), subs.desk_pubs(spark),
                      f"{path}/outbox", f"{path}/log", sources=subs.document_sources(spark, folder), scoped=True).awaitTermination()
     return spark.read.parquet(f"{path}/outbox").select("pub", "message", "url")
+
+
+@query
+def stream_throttle_late(spark, folder):
+    """Pulls that arrive up to six hours late, throttled in the order of their own times."""
+    path = temporary_dir(spark, "late")
+    for stream in jobs.arriving(tables.pulls(spark, folder), "ts", f"{path}/in", LATE):
+        kept = jobs.drain(ordered.throttle_ordered(stream, "user_id", subs.COOLDOWN, delay=2 * LATE), "throttle", path)
+    return kept.filter("id is not null").select("user_id", "ts", "id")
+
+
+def capped_streams(spark: SparkSession, folder: str, path: str) -> Iterator[DataFrame]:
+    """Routed rows with the hourly cap, as they arrive late."""
+    routed = desk_routes(spark, folder).select("item_id", "pub", "title", "published")
+    for stream in jobs.arriving(routed, "published", f"{path}/in", LATE):
+        yield ordered.cap_ordered(stream, HOURLY_CAP, delay=2 * LATE)
+
+
+@query
+def stream_delivery_cap(spark, folder):
+    path = temporary_dir(spark, "cap")
+    for stream in capped_streams(spark, folder, path):
+        capped = jobs.drain(stream, "cap", path)
+    return capped.filter("pub is not null").select("item_id", "pub", "event")
+
+
+@query
+def stream_delivery_report(spark, folder):
+    """What a capped stream of deliveries wrote, counted as it went out."""
+    path = temporary_dir(spark, "report")
+    for stream in capped_streams(spark, folder, path):
+        jobs.start_deliveries(stream.filter("pub is not null"), sinks.counting_publisher(path), f"{path}/log").awaitTermination()
+    return sinks.counted(spark, path)
+
+
+@query
+def stream_capacity(spark, folder):
+    """How many keys the FIFO stream remembers for each source, read from its state."""
+    path = temporary_dir(spark, "fifo")
+    keyed = tables.with_key(tables.prepared(jobs.document_item_stream(spark, folder))).select("item_id", "src", "key", "published")
+    jobs.drain(state.dedup_fifo_stream(keyed, "src", FIFO_CAPACITY), "fifo", path)
+    return state.remembered_keys(spark, f"{path}/log")
+
+
+def short_only(pub: str, message: str, url: str) -> None:
+    """A receiver that takes short messages only."""
+    if len(message) > LONGEST_MESSAGE:
+        raise ValueError(f"{len(message)} characters for {pub}")
+
+
+@query
+def stream_outbox_errors(spark, folder):
+    """Routed rows that their receiver refused, with the reason; all others went out."""
+    path = temporary_dir(spark, "errors")
+    jobs.start_route(jobs.document_item_stream(spark, folder), subs.desk_filters(spark), subs.desk_pubs(spark),
+                     sinks.sending_publisher(f"{path}/outbox", short_only), f"{path}/log", sources=subs.document_sources(spark, folder), scoped=True).awaitTermination()
+    return sinks.failed(spark, f"{path}/outbox").select("pub", "message", "error")
+
+
+def spoiled_feeds(spark: SparkSession, folder: str) -> list[str]:
+    """Items written as RSS by source, every seventh without a title, and for sources with an item_id that ends in 3 a feed more that breaks off."""
+    path = temporary_dir(spark, "feeds")
+    items = tables.document_items(spark, folder)
+    titled = items.withColumn("title", F.when(F.col("item_id") % 7 == 0, " ").otherwise(F.col("title")))
+    feeds.write_rss(titled, f"{path}/good", ["src"])
+    broken = F.concat(F.lit("<channel><item><title>item "), F.col("item_id").cast("string"), F.lit("</titel></item></channel>"))
+    firsts = items.filter("item_id % 10 = 3").groupBy("src").agg(F.min("item_id").alias("item_id"))
+    firsts.select("src", broken.alias("value")).write.partitionBy("src").text(f"{path}/broken")
+    return [f"{path}/good", f"{path}/broken"]
+
+
+def link_of() -> Column:
+    return F.regexp_extract("file", "/src=([^/]*)/", 1)
+
+
+@query
+def receive_report(spark, folder):
+    """Received, rejected and broken rows of each feed link, from one scan."""
+    scanned = durable(feeds.scan_feeds(spark, spoiled_feeds(spark, folder)).select("file", "status"), "scanned")
+    return feeds.receive_report(scanned, link_of())
+
+
+@query
+def stream_receive_report(spark, folder):
+    """The same over the feeds as a stream, counted by micro-batch."""
+    path = temporary_dir(spark, "received")
+    good, broken = spoiled_feeds(spark, folder)
+    for name in (good, broken):
+        rows = feeds.stream_scanned_feeds(spark, f"{name}/*").select(link_of().alias("link"), "status", F.lit("feed").alias("pub"))
+        jobs.start_deliveries(rows, sinks.counting_publisher(f"{path}/{name[-4:]}", ("link", "status")), f"{path}/log-{name[-4:]}").awaitTermination()
+    counts = [sinks.counted(spark, f"{path}/{name[-4:]}", ("link", "status")) for name in (good, broken)]
+    n = F.col("n")
+    return counts[0].union(counts[1]).groupBy("link").agg(
+        F.sum(F.when(F.col("status") != "broken", n).otherwise(0)).alias("received"), F.sum(F.when(F.col("status") == "rejected", n).otherwise(0)).alias("rejected"),
+        F.sum(F.when(F.col("status") == "broken", n).otherwise(0)).alias("broken"))

@@ -2,7 +2,9 @@
 
 Two ways with one answer. A small rule table becomes columns: one narrow pass, no shuffle. A
 large one is matched through the vocabulary: regexes run once per distinct word that shares a
-literal beginning or letter triple with the pattern, and sequences grow from their rarest word.
+literal beginning or letter triple with the pattern, which gives an index of words and pattern numbers. From then on
+only numbers are compared. A sequence is looked for at the occurrences of its rarest pattern, then at the word beside
+it, and the few places that are left are intersected with the positions of all its other patterns.
 """
 
 from __future__ import annotations
@@ -35,18 +37,23 @@ def match_by_columns(items: DataFrame, rules: list[Rule], scoped: bool = False)
     return rows.filter(F.col("filter_id").isNotNull())
 
 
+def numbered_rows(items: DataFrame) -> DataFrame:
+    """``items`` written down, with a number for each row (``_row``): rows may repeat an item's id."""
+    return durable(items.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
 def word_hits(tokens: DataFrame, patterns: DataFrame, patterns_fit: bool) -> DataFrame:
-    """``(word, regex, n)``: vocabulary words matching each regex, with their token counts.
+    """``(word, pid, n)``: vocabulary words matching each pattern, with their token counts.
 
-    A pattern is looked up under a single probe key, a word answers to several, and only the
+    A pattern (pid, regex, probe) is looked up under a single probe key, a word answers to several, and only the
     pairs that meet run the regex. Patterns without literal letters sit under the empty key
     and are tried on every word, as they must be.
     """
     vocabulary = tokens.groupBy("word").agg(F.count("*").alias("n"))
     probed = vocabulary.select("word", "n", F.explode(word_probes(F.col("word"))).alias("probe"))
-    lookup = patterns.select("regex", probe_key(F.col("probe")).alias("probe"))
+    lookup = patterns.select("pid", "regex", probe_key(F.col("probe")).alias("probe"))
     met = lookup_join(probed, lookup, "probe", small_fits=patterns_fit)
-    return met.filter(F.expr("word rlike regex")).select("word", "regex", "n")
+    return met.filter(F.expr("word rlike regex")).select("word", "pid", "n")
 
 
 def rule_sequences(filters: DataFrame) -> DataFrame:
@@ -66,66 +73,98 @@ def conj_places(seqs: DataFrame) -> DataFrame:
     return sets.select("filter_id", "conj_id", F.size("_keys").alias("size"), F.explode("_keys").alias("seq_key"))
 
 
-def sequence_anchors(seqs: DataFrame, hits: DataFrame, seqs_fit: bool) -> DataFrame:
-    """``(word, seq_key, first, terms)``: the words at which to look for each sequence that can match at all.
+def rarest_first(seqs: DataFrame, patterns: DataFrame, hits: DataFrame, seqs_fit: bool) -> DataFrame:
+    """``(seq_key, parts)``: the patterns of each sequence that can match at all as (offset, pid).
 
-    Those are the words of its pattern with the fewest matching tokens, which is at place
-    ``first``; ``terms`` are its other patterns. A sequence with a pattern no word matches drops out.
+    The first part is the pattern with the fewest matching tokens, at offset 0, the second one stands beside it, and the others follow in
+    order of tokens. A sequence with a pattern no word matches drops out.
     """
-    per_regex = hits.groupBy("regex").agg(F.sum("n").alias("n"))
+    counted = patterns.join(hits.groupBy("pid").agg(F.sum("n").alias("n")), "pid").select("regex", "pid", "n")
     distinct = seqs.groupBy("seq_key").agg(F.first("terms").alias("terms"))
-    parts = distinct.select("seq_key", F.size("terms").alias("len"), F.inline("terms"))
-    counted = lookup_join(parts, per_regex, "regex", small_fits=seqs_fit)
-    starts = (
-        counted.groupBy("seq_key", "len")
-        .agg(F.collect_list(F.struct("pos", "regex")).alias("terms"), F.min(F.struct("n", "pos", "regex")).alias("_rarest"))
-        .filter(F.size("terms") == F.col("len"))
-        .select("seq_key", F.col("_rarest.pos").alias("first"), F.col("_rarest.regex").alias("regex"),
-                F.filter("terms", lambda t: t["pos"] != F.col("_rarest.pos")).alias("terms"))
-    )
-    return lookup_join(hits.select("word", "regex"), starts, "regex", small_fits=seqs_fit).select("word", "seq_key", "first", "terms")
-
-
-def sequence_hits(items: DataFrame, seqs: DataFrame, seqs_fit: bool) -> DataFrame:
-    """``(item_id, seq_key)``: which item holds which sequence.
-
-    The texts are read twice: once for the vocabulary, and once to look at the occurrences of each
-    sequence's rarest pattern, around which the item's own words must match the others. Anchors that
-    fit are broadcast, and that pass is narrow; otherwise anchor words meet tokens by a
-    salted join, and only items with a candidate are looked at again.
+    terms = distinct.select("seq_key", F.size("terms").alias("len"), F.inline("terms"))
+    met = lookup_join(terms, counted, "regex", small_fits=seqs_fit).groupBy("seq_key", "len").agg(
+        F.array_sort(F.collect_list(F.struct("n", "pos", "pid"))).alias("terms")).filter(F.size("terms") == F.col("len"))
+    first = F.col("terms")[0]["pos"]
+    beside = F.filter(F.slice("terms", 2, F.size("terms")), lambda t: F.abs(t["pos"] - first) == 1)
+    order = F.concat(F.slice("terms", 1, 1), F.slice(beside, 1, 1))
+    order = F.concat(order, F.array_except("terms", order))
+    return met.select("seq_key", F.transform(order, lambda t: F.struct((t["pos"] - first).alias("offset"), t["pid"].alias("pid"))).alias("parts"))
+
+
+def sequence_hits(rows: DataFrame, seqs: DataFrame, seqs_fit: bool) -> DataFrame:
+    """``(_row, seq_key)``: which row holds which sequence.
+
+    Sequences that begin with the same parts share the places where these stand. A place is a row and a position, never a copy
+    of a text. While the places that are left measure small they are broadcast and the words stay where they are; otherwise both sides are
+    dealt out by row and position, which no text has twice.
     """
-    worded = items.select("item_id", line_words(F.col("line")).alias("words"))
-    tokens = worded.select("item_id", F.posexplode("words").alias("pos", "word"))
-    patterns = seqs.select(F.inline("terms")).groupBy("regex").agg(F.min("probe").alias("probe"))
-    hits = durable(word_hits(tokens, patterns, seqs_fit))
-    anchors = durable(sequence_anchors(seqs, hits, seqs_fit))
-    around = F.expr("forall(terms, t -> coalesce(try_element_at(words, pos - first + t.pos + 1), '') rlike t.regex)")
-    if is_small(anchors):
-        placed = worded.select("item_id", "words", F.posexplode("words").alias("pos", "word"))
-        met = placed.join(F.broadcast(anchors), "word")
-    else:
-        candidates = lookup_join(tokens, anchors, "word", small_fits=False)
-        met = candidates.filter("pos >= first").join(worded, "item_id")
-    return met.filter(F.col("pos") >= F.col("first")).filter(around).select("item_id", "seq_key").distinct()
+    worded = rows.select("_row", line_words(F.col("line")).alias("words"))
+    tokens = worded.select("_row", F.posexplode("words").alias("pos", "word"))
+    patterns = durable(seqs.select(F.inline("terms")).groupBy("regex").agg(F.min("probe").alias("probe")).withColumn(
+        "pid", F.monotonically_increasing_id()), "patterns")
+    hits = durable(word_hits(tokens, patterns, seqs_fit), "hits")
+    index = hits.select("word", "pid")
+    index_fits = is_small(index)
+    parts = durable(rarest_first(seqs, patterns, hits, seqs_fit), "parts")
+    # a sequence of one pattern stands in a row or not, wherever
+    single = parts.filter(F.size("parts") == 1).select("seq_key", F.col("parts")[0]["pid"].alias("pid"))
+    words = lookup_join(index, single, "pid", small_fits=seqs_fit).select("word", "seq_key")
+    found = lookup_join(worded.select("_row", F.explode(F.array_distinct("words")).alias("word")), words, "word").select("_row", "seq_key").distinct()
+    longer = parts.filter(F.size("parts") > 1).select(
+        "seq_key", F.col("parts")[0]["pid"].alias("pid"), F.col("parts")[1].alias("second"), F.slice("parts", 3, F.size("parts")).alias("rest"))
+    if longer.isEmpty():
+        return found
+    # sequences with the same two first parts are one pair
+    pair_key = F.struct("pid", "second")
+    pairs = longer.select(pair_key.alias("pair")).distinct().select("pair", "pair.pid", "pair.second.offset", F.col("pair.second.pid").alias("second"))
+    starts = lookup_join(index, pairs, "pid", small_fits=seqs_fit).select("word", "pair", "offset", "second")
+    before = F.concat(F.array(F.lit("")), "words")
+    after = F.concat(F.slice("words", 2, F.greatest(F.size("words"), F.lit(1))), F.array(F.lit("")))
+    beside = worded.select("_row", F.posexplode(F.arrays_zip(F.col("words").alias("word"), before.alias("before"), after.alias("after"))).alias("pos", "t"))
+    begun = lookup_join(beside.select("_row", "pos", "t.word", "t.before", "t.after"), starts, "word")
+    held = begun.select("_row", "pos", "pair", F.when(F.col("offset") > 0, F.col("after")).otherwise(F.col("before")).alias("word"), F.col("second").alias("pid"))
+    places = durable(lookup_join(held, index, ["word", "pid"], "left_semi", small_fits=index_fits).select("_row", "pos", "pair"), "places")
+    by_pair = longer.select(pair_key.alias("pair"), "seq_key", "rest")
+    candidates = lookup_join(places, by_pair, "pair", small_fits=seqs_fit)
+    found = found.union(candidates.filter(F.size("rest") == 0).select("_row", "seq_key"))
+    # all other parts at once: each is a place and a pattern, and all of them must be there
+    wanted = durable(candidates.select("_row", "pos", "seq_key", F.size("rest").alias("wanted"), F.explode("rest").alias("part")).select(
+        "_row", F.col("pos").alias("at"), "seq_key", "wanted", (F.col("pos") + F.col("part.offset")).alias("pos"), "part.pid").filter("pos >= 0"), "wanted")
+    there = tokens.join(F.broadcast(wanted) if is_small(wanted) else wanted.hint("merge"), ["_row", "pos"])
+    met = lookup_join(there, index, ["word", "pid"], "left_semi", small_fits=index_fits)
+    whole = met.groupBy("_row", "at", "seq_key", "wanted").agg(F.count("*").alias("met")).filter("met = wanted")
+    return found.union(whole.select("_row", "seq_key")).distinct()
 
 
 def conj_hits(seq_hits: DataFrame, places: DataFrame, places_fit: bool) -> DataFrame:
-    """All-of by counting: ``(item_id, filter_id, conj_id)`` with every distinct sequence found."""
+    """All-of by counting: ``(_row, filter_id, conj_id, found)`` with every distinct sequence found."""
     return (
         lookup_join(seq_hits, places, "seq_key", small_fits=places_fit)
-        .groupBy("item_id", "filter_id", "conj_id", "size").agg(F.count("*").alias("found"))
-        .filter("found = size")
+        .groupBy("_row", "filter_id", "conj_id", "size").agg(F.count("*").alias("found"))
+        .filter("found = size").drop("size")
     )
 
 
-def conj_by_count(items: DataFrame, filters: DataFrame) -> DataFrame:
-    """Satisfied alternatives per item, with the number of sequences they hold."""
-    seqs = durable(rule_sequences(filters))
+def row_conjs(rows: DataFrame, filters: DataFrame) -> DataFrame:
+    """Satisfied alternatives by row (:func:`numbered_rows`), with the number of sequences they hold."""
+    seqs = durable(rule_sequences(filters), "sequences")
     # every rule-side table is made of these rows, none has more than they have terms
     fit = is_small(seqs.select(F.explode("terms")))
-    return conj_hits(sequence_hits(items, seqs, fit), conj_places(seqs), fit)
+    return conj_hits(sequence_hits(rows, seqs, fit), conj_places(seqs), fit)
+
+
+def match_rows(rows: DataFrame, filters: DataFrame) -> DataFrame:
+    """``(_row, filter_id)`` for rule tables of any size."""
+    return row_conjs(rows, filters).select("_row", "filter_id").distinct()
+
+
+def conj_by_count(items: DataFrame, filters: DataFrame) -> DataFrame:
+    """``(item_id, filter_id, conj_id, found)``: satisfied alternatives, each row of ``items`` by itself."""
+    rows = numbered_rows(items.select("item_id", "line"))
+    return row_conjs(rows, filters).join(rows.select("_row", "item_id"), "_row").select("item_id", "filter_id", "conj_id", "found")
 
 
 def match_by_vocabulary(items: DataFrame, filters: DataFrame) -> DataFrame:
-    """``(item_id, filter_id)`` for rule tables of any size."""
-    return conj_by_count(items, filters).select("item_id", "filter_id").distinct()
+    """``(item_id, filter_id)`` for rule tables of any size, one row for each row of ``items`` and satisfied rule."""
+    rows = numbered_rows(items.select("item_id", "line"))
+    return match_rows(rows, filters).join(rows.select("_row", "item_id"), "_row").select("item_id", "filter_id")

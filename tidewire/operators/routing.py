@@ -12,7 +12,7 @@ from tidewire.functions.affix import any_affix_match, glob_keys, affixes
 from tidewire.functions.render import build_url, item_slots, render_each
 from tidewire.operators.dedup import dedup_first
 from tidewire.operators.dimensions import filter_pubs
-from tidewire.operators.matching import match_by_columns, match_by_vocabulary, match_column
+from tidewire.operators.matching import match_by_columns, match_by_vocabulary, match_column, match_rows, numbered_rows
 from tidewire.plans.rules import Rule, compile_rules
 from tidewire.plans.sizing import lookup_join
 from tidewire.session import durable
@@ -68,18 +68,23 @@ def item_matches(items: DataFrame, filters: DataFrame, scoped: bool = False, by_
                  rules: list[Rule] | None = None) -> DataFrame:
     """``(item_id, filter_id)`` over items with a token line, by columns when the rules are few.
 
-    ``by_vocabulary`` asks for one of the two ways; they give the same rows, and too many rules
-    for columns go through the vocabulary in any case.
+    ``by_vocabulary`` asks for one of the two ways; they give the same rows, one for each row of ``items`` and satisfied
+    filter, and too many rules for columns go through the vocabulary in any case.
     """
     if rules is None and not by_vocabulary:
         rules = compile_rules(filters)
     if rules is not None and not by_vocabulary:
         return match_by_columns(items, rules, scoped).select("item_id", "filter_id")
-    found = match_by_vocabulary(items, filters)
     if not scoped:
-        return found
-    placed = found.join(items.select("item_id", "src"), "item_id")
-    return lookup_join(placed, scoped_pairs(items, filters), ["src", "filter_id"], "left_semi").select("item_id", "filter_id")
+        return match_by_vocabulary(items, filters)
+    rows = numbered_rows(items.select("item_id", "src", "line"))
+    return scoped_matches(rows, filters).join(rows.select("_row", "item_id"), "_row").select("item_id", "filter_id")
+
+
+def scoped_matches(rows: DataFrame, filters: DataFrame) -> DataFrame:
+    """``(_row, filter_id)`` of rows with ``src``, each filter by the sources it names."""
+    placed = match_rows(rows, filters).join(rows.select("_row", "src"), "_row")
+    return lookup_join(placed, scoped_pairs(rows, filters), ["src", "filter_id"], "left_semi").select("_row", "filter_id")
 
 
 def active_item_matches(items: DataFrame, filters: DataFrame, scoped: bool = False, by_vocabulary: bool | None = None) -> DataFrame:
@@ -92,16 +97,16 @@ def active_item_matches(items: DataFrame, filters: DataFrame, scoped: bool = Fal
 def matched_items(items: DataFrame, filters: DataFrame, scoped: bool = False, by_vocabulary: bool | None = None) -> DataFrame:
     """Items of active sources with at least one satisfied filter: ``filter_ids`` the satisfied ones, and their dedup ``key``.
 
-    Items are told apart by id, source and words, so rows that repeat an id each get their own filters.
+    Rows that repeat an id each get their own filters.
     """
     rules = compile_rules(filters)
     items = prepared(from_active_sources(items, filters, rules))
     if rules is not None and not by_vocabulary:
         found = items.select("*", once(match_column(rules, scoped)).alias("filter_ids"))
         return with_key(found.filter(F.size("filter_ids") > 0))
-    rows = items.withColumn("_row", F.xxhash64("item_id", "src", "line"))
-    found = item_matches(rows.select(F.col("_row").alias("item_id"), "src", "line"), filters, scoped, True)
-    sets = found.groupBy(F.col("item_id").alias("_row")).agg(F.array_sort(F.collect_set("filter_id")).alias("filter_ids"))
+    rows = numbered_rows(items)
+    found = scoped_matches(rows, filters) if scoped else match_rows(rows, filters)
+    sets = found.groupBy("_row").agg(F.array_sort(F.collect_set("filter_id")).alias("filter_ids"))
     return with_key(rows).join(sets, "_row").drop("_row")
 
 
@@ -170,27 +175,27 @@ def rendered(routed: DataFrame, pubs: DataFrame, layout: Callable[[], Column] =
 
 
 def delivery_cap(routed: DataFrame, cap: int = CHANNEL_SLOTS) -> DataFrame:
-    """Mark each row ``pub_send``, or ``pub_full`` beyond the publisher's first ``cap`` of the hour.
+    """Mark each row ``pub_send``, or ``pub_full`` beyond the publisher's first ``cap`` of the hour, by time and item id.
 
     Only the boundary row of an overfull (publisher, hour) is looked for: salted ranks keep at
     most ``cap`` rows per salt before the final rank, so no task sees a whole hot publisher. The
-    boundaries are then looked up by every row. The routed rows are read twice for that, so they
-    are written down first.
+    boundaries are then looked up by every row. The routed rows are written down first, with numbers that tell rows apart
+    which are equal in time and id, so exactly ``cap`` of an hour pass.
     """
-    routed = durable(routed)
+    routed = durable(routed.withColumn("_number", F.monotonically_increasing_id()))
     # in a struct, rows without a time share a slot like any other
     timed = routed.withColumn("_slot", F.struct("pub", F.date_trunc("hour", F.col("published")).alias("hour")))
     if cap <= 0:
-        return timed.withColumn("event", F.lit("pub_full")).drop("_slot")
-    place = F.struct(F.col("published").alias("p"), F.col("item_id").alias("i"))
-    slots = timed.select("_slot", place.alias("_at"), F.pmod(F.xxhash64("item_id"), F.lit(CAP_SALTS)).alias("_salt"))
+        return timed.withColumn("event", F.lit("pub_full")).drop("_slot", "_number")
+    place = F.struct(F.col("published").alias("p"), F.col("item_id").alias("i"), F.col("_number").alias("n"))
+    slots = timed.select("_slot", place.alias("_at"), F.pmod(F.xxhash64("_number"), F.lit(CAP_SALTS)).alias("_salt"))
     salted = Window.partitionBy("_slot", "_salt").orderBy("_at")
     whole = Window.partitionBy("_slot").orderBy("_at")
     heads = slots.withColumn("_r", F.row_number().over(salted)).filter(F.col("_r") <= cap)
     last = heads.withColumn("_r", F.row_number().over(whole)).filter(F.col("_r") == cap).select("_slot", F.col("_at").alias("_last"))
     full = F.coalesce(place > F.col("_last"), F.lit(False))
     marked = lookup_join(timed, last, "_slot", "left").withColumn("event", F.when(full, "pub_full").otherwise("pub_send"))
-    return marked.drop("_slot", "_last")
+    return marked.drop("_slot", "_last", "_number")
 
 
 def outbox(routed: DataFrame, pubs: DataFrame, cap: int = CHANNEL_SLOTS, layout: Callable[[], Column] = default_layout) -> DataFrame:

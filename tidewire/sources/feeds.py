@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.functions.render import parse_feed_time
+from tidewire.functions.text import is_blank
 from tidewire.plans.sizing import lookup_join
 from tidewire.sources.tables import once
 
@@ -24,11 +25,10 @@ def _reader(source, kind: tuple[str, str]):
     )
 
 
-def _items(raw: DataFrame, kind: tuple[str, str]) -> DataFrame:
-    """A feed that does not parse gives no rows and does not stop the others."""
+def _scanned(raw: DataFrame, kind: tuple[str, str]) -> DataFrame:
+    """Every row of the feeds with its ``status``: item, rejected (its title is blank) or broken (it does not parse)."""
     # the reader refuses to be asked for the broken mark alone, so the row is pinned as a whole
-    pinned = raw.select(once(F.struct(*raw.columns)).alias("_row"), F.col("_metadata.file_path").alias("file"))
-    good = pinned.filter(F.col("_row._broken").isNull()).select("_row.*", "file")
+    pinned = raw.select(once(F.struct(*raw.columns)).alias("_row"), F.col("_metadata.file_path").alias("file")).select("_row.*", "file")
     none = F.array().cast("array<string>")
     if kind is RSS:
         link, categories, time = F.col("link"), F.col("category"), F.coalesce(parse_feed_time(F.col("pubDate")), parse_feed_time(F.col("`dc:date`")))
@@ -37,12 +37,34 @@ def _items(raw: DataFrame, kind: tuple[str, str]) -> DataFrame:
         link = F.try_element_at(page, F.lit(1))["_href"]
         categories = F.transform("category", lambda c: c["_term"])
         time = parse_feed_time(F.coalesce("published", "updated"))
-    return good.select(
+    status = F.when(F.col("_broken").isNotNull(), "broken").when(is_blank("title"), "rejected").otherwise("item")
+    return pinned.select(
         F.col("title"), link.alias("link"), F.coalesce(categories, none).alias("categories"), time.alias("published"),
-        "file",
+        "file", status.alias("status"), F.col("_broken").alias("broken"),
     )
 
 
+def _items(raw: DataFrame, kind: tuple[str, str]) -> DataFrame:
+    """A feed row that does not parse gives no item and does not stop the others."""
+    return _scanned(raw, kind).filter("status <> 'broken'").drop("status", "broken")
+
+
+def scan_feeds(spark: SparkSession, paths: str | list[str], kind: tuple[str, str] = RSS) -> DataFrame:
+    """All rows of the feeds, unfit ones included: items with ``file``, ``status`` and the text of a ``broken`` row.
+
+    Written down once, it gives items, reject tables and :func:`receive_report` without another scan.
+    """
+    return _scanned(_reader(spark.read, kind).load(paths), kind)
+
+
+def receive_report(scanned: DataFrame, link: Column | str = "file") -> DataFrame:
+    """``(link, received, rejected, broken)``: rows that parsed, those of them without a title, and rows that did not parse, for each link."""
+    link = F.col(link) if isinstance(link, str) else link
+    return scanned.groupBy(link.alias("link")).agg(
+        F.count_if(F.col("status") != "broken").alias("received"), F.count_if(F.col("status") == "rejected").alias("rejected"),
+        F.count_if(F.col("status") == "broken").alias("broken"))
+
+
 def read_feeds(spark: SparkSession, paths: str | list[str], kind: tuple[str, str] = RSS) -> DataFrame:
     """``(title, link, categories, published, file)`` of all items under ``paths``."""
     return _items(_reader(spark.read, kind).load(paths), kind)
@@ -52,6 +74,10 @@ def stream_feeds(spark: SparkSession, path: str, kind: tuple[str, str] = RSS) ->
     return _items(_reader(spark.readStream, kind).load(path), kind)
 
 
+def stream_scanned_feeds(spark: SparkSession, path: str, kind: tuple[str, str] = RSS) -> DataFrame:
+    return _scanned(_reader(spark.readStream, kind).load(path), kind)
+
+
 def _bare_path(uri: Column) -> Column:
     return F.regexp_replace(uri, r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?(?=/)", "")
 
