@@ -219,48 +219,52 @@ def merkle_leaves(branches: str, level: int) -> str:
     return f"len({branches})" if level == 2 else f"len(regexp_extract_all(coalesce(array_to_string({branches}, ';'), ''), '[=.][0-9a-f]'))"
 
 
-def merkle_shared(x: str, y: str, level: int = 0) -> str:
-    a, b, p, q, mx, my, gone, new = (f"{v}{level}" for v in ("a", "b", "p", "q", "mx", "my", "gone", "new"))
-
-    def alike(u: str, v: str) -> str:
-        both = f"range(1, least(len({u}), len({v})) + 1)"
-        return f"coalesce(list_min(list_filter({both}, lambda k: {u}[k] <> {v}[k])) - 1, least(len({u}), len({v})))"
-
-    def lacks(u: str, v: str) -> str:
-        return f"list_filter({u}, lambda z, k: list_position({u}, z) = k AND NOT list_contains({v}, z))"
-
-    own = (f"2 * {merkle_leaves(f'{a}[1:{p}]', level)} + 2 * {merkle_leaves(f'{a}[len({a}) - {q} + 1:]', level)} "
-           f"+ {merkle_leaves(f'list_filter({mx}, lambda z, k: list_position({mx}, z) = k AND list_contains({my}, z))', level)}")
+def merkle_level(level: int) -> str:
+    """What became of the children x in y, for the rows (id, x, y) of ``s0``, ``s1`` or ``s2``: ``t`` has what they share, the next ``s`` the replaced branches."""
+    def alike(x: str, y: str) -> str:
+        same = f"list_position(list_transform(list_zip({x}, {y}), lambda z: z[1] IS NOT DISTINCT FROM z[2]), false)"
+        return f"coalesce(nullif({same}, 0) - 1, least(len({x}), len({y})))"
+
+    def rest(side: str, other: str, name: str) -> str:
+        return f"{name}{level} AS (SELECT r, z, row_number() OVER (PARTITION BY r ORDER BY k) AS n FROM {side}{level} ANTI JOIN {other}{level} USING (r, z))"
+
+    def distinct(name: str, of: str) -> str:
+        return f"{name}{level} AS (SELECT r, z, min(k) AS k FROM (SELECT r, unnest({of}) AS z, generate_subscripts({of}, 1) AS k FROM m{level}) GROUP BY r, z)"
+
+    steps = [
+        f"a{level} AS (SELECT *, row_number() OVER () AS r, {alike('x', 'y')} AS p FROM s{level})",
+        f"b{level} AS (SELECT *, {alike('list_reverse(x[p + 1:])', 'list_reverse(y[p + 1:])')} AS q FROM a{level})",
+        f"m{level} AS (SELECT id, r, x[1:p] || x[len(x) - q + 1:] AS kept, x[p + 1:len(x) - q] AS mx, y[p + 1:len(y) - q] AS my FROM b{level})",
+        distinct("u", "mx"), distinct("v", "my"), rest("u", "v", "gone"), rest("v", "u", "fresh"),
+        f"t{level} AS (SELECT id, 2 * {merkle_leaves('kept', level)} AS units FROM m{level} UNION ALL "
+        f"SELECT id, {merkle_leaves('[z]', level)} FROM m{level} JOIN u{level} USING (r) SEMI JOIN v{level} USING (r, z))"]
     if level < 2:
-        inner = merkle_shared(merkle_children(f"{gone}[k{level}]", level + 1), merkle_children(f"{new}[k{level}]", level + 1), level + 1)
-        opened = f"list_sum(list_transform(range(1, least(len({gone}), len({new})) + 1), lambda k{level}: {inner}))"
-        own += " + " + sql_let(lacks(mx, my), gone, sql_let(lacks(my, mx), new, f"coalesce({opened}, 0)"))
-    middles = sql_let(f"{a}[{p} + 1:len({a}) - {q}]", mx, sql_let(f"{b}[{p} + 1:len({b}) - {q}]", my, own))
-    tails = sql_let(alike(f"list_reverse({a}[{p} + 1:])", f"list_reverse({b}[{p} + 1:])"), q, middles)
-    return sql_let(x, a, sql_let(y, b, sql_let(alike(a, b), p, tails)))
-
-
-def merkle_likeness(a: str, b: str) -> str:
-    x, y = merkle_children(a, 0), merkle_children(b, 0)
-    total = f"({merkle_leaves(x, 0)} + {merkle_leaves(y, 0)})"
-    return (f"CASE WHEN split_part({a}, '/', 1) = split_part({b}, '/', 1) THEN 1.0::DOUBLE WHEN {total} = 0 THEN 0.0::DOUBLE "
-            f"ELSE least(({merkle_shared(x, y)})::DOUBLE / {total}, 1 - 1 / ({total} + 1.0::DOUBLE)) END")
+        steps.append(f"s{level + 1} AS (SELECT id, {merkle_children('o.z', level + 1)} AS x, {merkle_children('f.z', level + 1)} AS y "
+                     f"FROM gone{level} o JOIN fresh{level} f USING (r, n) JOIN m{level} USING (r))")
+    return ", ".join(steps)
 
 
 ORACLE["op10_merkle"] = f"""
 WITH ordered AS (
-  SELECT doc_id, coalesce(text, '') AS text,
+  SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text,
          coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id), first_value(coalesce(text, '')) OVER (ORDER BY doc_id)) AS following FROM documents),
 edited AS (SELECT *, left(text, length(text) - length(text) // 4) || left(following, length(text) // 4) AS edited FROM ordered),
-printed AS (
-  SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(edited) AS edited_sha256, {merkle_print('text')} AS fingerprint,
-         {merkle_print('edited')} AS edited_fingerprint, {merkle_print('following')} AS next_fingerprint FROM edited)
-SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, {merkle_likeness('fingerprint', 'edited_fingerprint')} AS near_edited,
-       {merkle_likeness('fingerprint', 'next_fingerprint')} AS near_next
-FROM printed
+printed AS MATERIALIZED (
+  SELECT id, doc_id, length(text)::BIGINT AS n_chars, sha256(edited) AS edited_sha256, {merkle_print('text')} AS fingerprint,
+         {merkle_print('edited')} AS edited_fingerprint, {merkle_print('following')} AS next_fingerprint FROM edited),
+compared AS (SELECT id, fingerprint AS one, edited_fingerprint AS other FROM printed UNION ALL SELECT -id, fingerprint, next_fingerprint FROM printed),
+s0 AS (SELECT id, {merkle_children('one', 0)} AS x, {merkle_children('other', 0)} AS y FROM compared),
+{merkle_level(0)}, {merkle_level(1)}, {merkle_level(2)},
+units AS (SELECT id, sum(units) AS units FROM (FROM t0 UNION ALL FROM t1 UNION ALL FROM t2) GROUP BY id),
+totals AS (SELECT id, {merkle_leaves('x', 0)} + {merkle_leaves('y', 0)} AS total FROM s0),
+near AS (
+  SELECT id, CASE WHEN split_part(one, '/', 1) = split_part(other, '/', 1) THEN 1.0::DOUBLE WHEN total = 0 THEN 0.0::DOUBLE
+                  ELSE least(units::DOUBLE / total, 1 - 1 / (total + 1.0::DOUBLE)) END AS near
+  FROM compared JOIN totals USING (id) LEFT JOIN units USING (id))
+SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, e.near AS near_edited, f.near AS near_next
+FROM printed p JOIN near e ON e.id = p.id JOIN near f ON f.id = -p.id
 """
 
-
 CRC_OF_WORD = ("xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(len(raw) // 2), lambda i: "
                "CAST('0x' || substr(raw, 2 * i + 1, 2) AS BIGINT))), lambda c, b: xor(steps[(xor(c, b) & 255) + 1], c >> 8)))")
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
