@@ -13,10 +13,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions.text import line_words
-from tidewire.plans.patterns import probe_key, word_probes
+from tidewire.plans.patterns import fold, folded_probes, probe_key
 from tidewire.plans.rules import SEQ, Rule, rule_terms, usable_terms
 from tidewire.plans.sizing import is_small, lookup_join
 from tidewire.session import durable
+from tidewire.sources.tables import once
+
+
+# Words with their patterns are short rows: so many of them are broadcast if their bytes fit.
+INDEX_ROWS = 2_000_000
 
 
 def match_column(rules: list[Rule], scoped: bool = False):
@@ -50,7 +55,8 @@ def word_hits(tokens: DataFrame, patterns: DataFrame, patterns_fit: bool) -> Dat
     and are tried on every word, as they must be.
     """
     vocabulary = tokens.groupBy("word").agg(F.count("*").alias("n"))
-    probed = vocabulary.select("word", "n", F.explode(word_probes(F.col("word"))).alias("probe"))
+    folded = vocabulary.select("word", "n", once(fold(F.col("word"))).alias("_folded"))
+    probed = folded.select("word", "n", F.explode(folded_probes(F.col("_folded"))).alias("probe"))
     lookup = patterns.select("pid", "regex", probe_key(F.col("probe")).alias("probe"))
     met = lookup_join(probed, lookup, "probe", small_fits=patterns_fit)
     return met.filter(F.expr("word rlike regex")).select("word", "pid", "n")
@@ -104,12 +110,12 @@ def sequence_hits(rows: DataFrame, seqs: DataFrame, seqs_fit: bool) -> DataFrame
         "pid", F.monotonically_increasing_id()), "patterns")
     hits = durable(word_hits(tokens, patterns, seqs_fit), "hits")
     index = hits.select("word", "pid")
-    index_fits = is_small(index)
+    index_fits = is_small(index, INDEX_ROWS)
     parts = durable(rarest_first(seqs, patterns, hits, seqs_fit), "parts")
     # a sequence of one pattern stands in a row or not, wherever
     single = parts.filter(F.size("parts") == 1).select("seq_key", F.col("parts")[0]["pid"].alias("pid"))
     words = lookup_join(index, single, "pid", small_fits=seqs_fit).select("word", "seq_key")
-    found = lookup_join(worded.select("_row", F.explode(F.array_distinct("words")).alias("word")), words, "word").select("_row", "seq_key").distinct()
+    found = lookup_join(worded.select("_row", F.explode(F.array_distinct("words")).alias("word")), words, "word", max_rows=INDEX_ROWS).select("_row", "seq_key").distinct()
     longer = parts.filter(F.size("parts") > 1).select(
         "seq_key", F.col("parts")[0]["pid"].alias("pid"), F.col("parts")[1].alias("second"), F.slice("parts", 3, F.size("parts")).alias("rest"))
     if longer.isEmpty():
@@ -121,7 +127,7 @@ def sequence_hits(rows: DataFrame, seqs: DataFrame, seqs_fit: bool) -> DataFrame
     before = F.concat(F.array(F.lit("")), "words")
     after = F.concat(F.slice("words", 2, F.greatest(F.size("words"), F.lit(1))), F.array(F.lit("")))
     beside = worded.select("_row", F.posexplode(F.arrays_zip(F.col("words").alias("word"), before.alias("before"), after.alias("after"))).alias("pos", "t"))
-    begun = lookup_join(beside.select("_row", "pos", "t.word", "t.before", "t.after"), starts, "word")
+    begun = lookup_join(beside.select("_row", "pos", "t.word", "t.before", "t.after"), starts, "word", max_rows=INDEX_ROWS)
     held = begun.select("_row", "pos", "pair", F.when(F.col("offset") > 0, F.col("after")).otherwise(F.col("before")).alias("word"), F.col("second").alias("pid"))
     places = durable(lookup_join(held, index, ["word", "pid"], "left_semi", small_fits=index_fits).select("_row", "pos", "pair"), "places")
     by_pair = longer.select(pair_key.alias("pair"), "seq_key", "rest")

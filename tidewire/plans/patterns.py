@@ -155,7 +155,11 @@ def fold(text: Column) -> Column:
 
 def word_probes(word: Column) -> Column:
     """All probe keys a word answers to (see :func:`probe_key`)."""
-    folded = fold(word)
+    return folded_probes(fold(word))
+
+
+def folded_probes(folded: Column) -> Column:
+    """The same of a folded word, which had better be a column of its own: it is read many times."""
     length = F.length(folded)
     starts = F.transform(
         F.sequence(F.lit(1), F.least(F.lit(3), length)),
