@@ -8,10 +8,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidewire.functions.text import line_words, token_line
-from tidewire.operators import matching, routing
+from tidewire.operators import matching, routing, subsumption
 from tidewire.plans import sizing
 from tidewire.plans.patterns import line_regex, stays_in_word, translate
-from tidewire.plans.rules import compile_rules, rule_lint, rule_terms
+from tidewire.plans.rules import compile_rules, rule_lint, rule_terms, translated_patterns
 
 FILTERS = "filter_id int, cond string, sources array<string>, pubs array<string>"
 
@@ -90,6 +90,42 @@ def test_lint(spark):
     assert {g[2] for g in got if g[1] == "BAD_PATTERN"} == set(BAD[:5] + BAD[6:-1])
 
 
+PLAIN = ["a", "A", "ab", "aB", "AB", "*a", "*A", "*b", "*ab", "*aB", "a$", "A$", "ab$", "*b$", "*ab$", "*B$", "*", "$", "*$", "й", "Й", "*й$", "aй", "aйb$", "o", "aa", "*aa$"]
+
+
+def test_inclusions_against_all_words(spark):
+    """Inclusion of patterns is inclusion of the words they match, among all words of up to five letters."""
+    words = ["".join(w) for n in range(1, 6) for w in itertools.product("aAbBйЙoz", repeat=n)]
+    accepted = {p: {w for w in words if word_matches(p, w)} for p in PLAIN}
+    table = translated_patterns(spark.createDataFrame([(p,) for p in PLAIN], "pattern string"))
+    got = {tuple(r) for r in subsumption.pattern_inclusions(table).collect()}
+    assert got == {(p, q) for p in PLAIN for q in PLAIN if accepted[p] <= accepted[q]}
+
+
+SUBSUMED = [
+    ("tional; tion", {(0, 1)}), ("tion; tional", {(1, 0)}), ("x; x", {(1, 0)}), ("Tion; tion", {(0, 1)}), ("tion; Tional", {(1, 0)}),
+    ("a b c; b c; c a", {(0, 1)}), ("aa & bb; a", {(0, 1)}), ("a; aa & bb; b & a", {(1, 0), (1, 2), (2, 0)}), ("город$ъ; город", {(0, 1)}),
+    ("город$ъ; город$Ъ", {(0, 1)}), ("город$Ъ; *ов$; город$ов", set()), ("Мост$Ъ; *мост", {(0, 1)}), ("мать$; мат$ь", {(0, 1)}), ("(a|b); (a|b); b", {(1, 0)}),
+    ("a & a; a", {(1, 0)}), ("a q; a; *", {(0, 1), (0, 2), (1, 2)}), ("a; b", set()), (" ; &", set()), (None, set()),
+]
+
+
+def test_subsumed_alternatives(spark):
+    table = filters(spark, *[cond for cond, _ in SUBSUMED])
+    got = {tuple(r) for r in subsumption.rule_subsumed(table).collect()}
+    assert got == {(i, *pair) for i, (_, pairs) in enumerate(SUBSUMED) for pair in pairs}
+    assert subsumption.rule_subsumed(table.limit(0)).count() == 0
+
+
+def test_subsumed_alternatives_add_no_match(spark):
+    """An alternative that is reported never holds where the other does not."""
+    conds = [c for c, _ in SUBSUMED if c and "(" not in c and not re.search(r"\$\w", c)]
+    titles = [" ".join(t) for n in (1, 2, 3) for t in itertools.product(["a", "aa", "B", "bb", "tion", "Tional", "q", "c"], repeat=n)]
+    for filter_id, conj_id, by in subsumption.rule_subsumed(filters(spark, *conds)).collect():
+        alternatives = conds[filter_id].split(";")
+        assert all(satisfied(alternatives[by], t.split()) for t in titles if satisfied(alternatives[conj_id], t.split()))
+
+
 def test_bad_rules_never_match(spark):
     table = filters(spark, "a; (", "a")
     items = titled(spark, ["a"])

@@ -103,6 +103,10 @@ TERMS = f"""{WATCH},
 SPOILED_TERMS = TERMS.replace("translate(text, '.' || chr(10) || ',', ';;&') AS cond", """CASE item_id % 5
          WHEN 0 THEN translate(text, '.' || chr(10) || ',', ';;&') || '; ends$$ here' WHEN 1 THEN translate(text, '.' || chr(10) || ',', ';;&') || '; a & b\\(; a'
          WHEN 2 THEN NULL WHEN 3 THEN translate(text, '.' || chr(10) || ',', ';;&') || '; x y & x y; x' ELSE translate(text, '.' || chr(10) || ',', ';;&') END AS cond""")
+_WATCH_COND = "translate(text, '.' || chr(10) || ',', ';;&') AS cond"
+_FIRST, _SECOND = (rf"regexp_extract(text, '^(\p{{L}}+) (\p{{L}}+)', {n})" for n in (1, 2))
+WIDENED_TERMS = TERMS.replace(_WATCH_COND, f"""{_WATCH_COND[:-8]} || CASE WHEN {_FIRST} = '' THEN '' ELSE
+         '; ' || left({_FIRST}, 2) || ' ' || left({_SECOND}, 2) || '; *' || substr({_FIRST}, 2) || '; ' || {_FIRST} || '$ & ' || {_FIRST} END AS cond""")
 # patterns made of letters only: lower-case runs match either case, the start is anchored
 FOUND = rf"""{TERMS}, {TITLES},
   tokens AS (SELECT item_id, unnest(range(len(words))) AS place, unnest(words) AS word FROM titles),
@@ -186,6 +190,20 @@ ORACLE: dict[str, str] = {
       UNION ALL SELECT DISTINCT filter_id, 'REPEATED_IN_CONJ', seq FROM ranked GROUP BY filter_id, conj_id, seq HAVING count(*) > 1
       UNION ALL SELECT DISTINCT filter_id, 'BAD_PATTERN', pattern FROM terms WHERE pattern IN ('ends$$', 'b\\(')
       UNION ALL SELECT filter_id, 'NO_CONDITION', '' FROM watch WHERE filter_id NOT IN (SELECT filter_id FROM terms)""",
+    # patterns of letters, a star before them or a dollar after them: the one stands inside the other, letter by letter
+    "rule_subsumed": f"""WITH {WIDENED_TERMS},
+      plain AS (SELECT *, starts_with(pattern, '*') AS star, ends_with(pattern, '$') AS whole, trim(pattern, '*$') AS body FROM terms),
+      met AS (SELECT a.filter_id, a.conj_id, a.seq_id, b.conj_id AS by_conj, b.seq_id AS by_seq, a.pos - b.pos AS shift, count(*) AS n
+              FROM plain a JOIN plain b ON a.filter_id = b.filter_id AND a.conj_id <> b.conj_id
+              AND len(list_filter(range(0, length(a.body) - length(b.body) + 1), lambda k:
+                  (b.star OR (NOT a.star AND k = 0)) AND (NOT b.whole OR (a.whole AND k + length(b.body) = length(a.body)))
+                  AND len(list_filter(range(1, length(b.body) + 1), lambda i: b.body[i] <> a.body[k + i] AND b.body[i] <> lower(a.body[k + i]))) = 0)) > 0
+              GROUP BY ALL),
+      sizes AS (SELECT filter_id, conj_id AS by_conj, seq_id AS by_seq, count(*) AS n FROM plain GROUP BY ALL),
+      held AS (SELECT filter_id, conj_id, by_conj, count(DISTINCT by_seq) AS n FROM met SEMI JOIN sizes USING (filter_id, by_conj, by_seq, n) GROUP BY ALL),
+      pairs AS (SELECT filter_id, conj_id, by_conj FROM held SEMI JOIN (SELECT filter_id, by_conj, count(*) AS n FROM sizes GROUP BY ALL) USING (filter_id, by_conj, n))
+      SELECT p.filter_id, p.conj_id, p.by_conj FROM pairs p LEFT JOIN pairs q ON p.filter_id = q.filter_id AND p.conj_id = q.by_conj AND p.by_conj = q.conj_id
+      WHERE q.by_conj IS NULL OR p.conj_id > p.by_conj""",
     "conj_by_count": f"WITH {FOUND} SELECT item_id, filter_id, conj_id, found FROM conj_found",
     "affix_match_pairs": f"WITH {SOURCES}, {WATCH} SELECT name, filter_id FROM sources, (SELECT filter_id, sources AS globs FROM watch) WHERE {NAMED}",
     "affix_match": f"WITH {ITEMS} SELECT item_id, starts_with(src, 'en') OR ends_with(src, 'en') OR starts_with(src, 'src' || (item_id % 20)) "

@@ -15,7 +15,7 @@ from tidewire.catalog import subscriptions as subs
 from tidewire.functions import render, sql, text
 from tidewire.functions.affix import affix_match
 from tidewire.functions.hours import is_muted
-from tidewire.operators import dedup, dimensions, matching, routing, throttle
+from tidewire.operators import dedup, dimensions, matching, routing, subsumption, throttle
 from tidewire.plans import rules as rule_tables
 from tidewire.plans.patterns import translate
 from tidewire.session import durable, temporary_dir
@@ -228,6 +228,11 @@ def rule_lint(spark, folder):
     return rule_tables.rule_lint(subs.spoiled_filters(spark, folder))
 
 
+@query
+def rule_subsumed(spark, folder):
+    return subsumption.rule_subsumed(subs.widened_filters(spark, folder))
+
+
 @query
 def conj_by_count(spark, folder):
     found = matching.conj_by_count(titles(spark, folder), subs.watch_filters(spark, folder))

@@ -79,6 +79,14 @@ def spoiled_filters(spark: SparkSession, folder: str) -> DataFrame:
     return watch_filters(spark, folder).withColumn("cond", F.when(third == 4, F.col("cond")).otherwise(spoiled))
 
 
+def widened_filters(spark: SparkSession, folder: str) -> DataFrame:
+    """The watch rules, each with alternatives made of its first two words: their beginnings, the inside of one, and one as a whole."""
+    first, second = (F.regexp_extract("cond", r"^(\p{L}+) (\p{L}+)", n) for n in (1, 2))
+    wider = F.concat("cond", F.lit("; "), F.left(first, F.lit(2)), F.lit(" "), F.left(second, F.lit(2)), F.lit("; *"), F.substring(first, 2, 100),
+                     F.lit("; "), first, F.lit("$ & "), first)
+    return watch_filters(spark, folder).withColumn("cond", F.when(first != "", wider).otherwise(F.col("cond")))
+
+
 def watch_filters(spark: SparkSession, folder: str) -> DataFrame:
     texts = table(spark, folder, "benchmark")
     cond = F.translate(F.translate("text", ".\n", ";;"), ",", "&")

@@ -57,6 +57,10 @@ _NOT_PORTABLE = regex.compile(
 # What a pattern may hold to be searched on a whole token line: nothing that can eat the
 # newline between two words.
 _CROSSES_WORDS = regex.compile(r"\s|\\[A-Za-wyzA-Z0-9]|\\x(?!26)|\[[^\]]*\\|\[\^|\[[^\]]*[\x00-\x1f]")
+# Bodies that stand for their own letters, in both cases or one, and hold no regex.
+_PLAIN = regex.compile(r"[\p{Ll}\p{Lu}\p{Nd}'_-]*")
+# A character no plain body holds.
+OTHER = "\uE000"
 _NOT_LITERAL = regex.compile(r"\\.|\[[^\]]*\]|(?P<group>\((?:[^()]|(?&group))*\))", regex.DOTALL)
 
 
@@ -121,6 +125,30 @@ def stays_in_word(pattern: str) -> bool:
     return _CROSSES_WORDS.search(pattern) is None
 
 
+def witnesses(pattern: str) -> list[str] | None:
+    """The hardest words a plain pattern accepts: another plain pattern that accepts them accepts all of its words.
+
+    Open ends go on with a character no body holds, and letters of both cases are lower-case, which only
+    a letter of both cases accepts. There is a word for each ending. None for malformed patterns and raw regexes.
+    """
+    shape = _PATTERN.fullmatch(pattern)
+    if translate(pattern) is None or not _PLAIN.fullmatch(shape["body"]):
+        return None
+    body, mark = shape["body"], shape["end"]
+    start = OTHER + body if shape["star"] or not body else body
+    if not body or not mark:
+        return [start + OTHER]
+    if mark == "$":
+        return [start]
+    letter = SAME_ENDINGS.get(mark[-1], mark[-1])
+    return [start + end for end in ENDINGS[letter].split() + [""] * (letter in BARE_ENDINGS)]
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def witness_column(patterns: pd.Series) -> pd.Series:
+    return patterns.map(witnesses)
+
+
 def line_regex(regexes: list[str]) -> str:
     """Consecutive word regexes as one regex over a token line (``^``/``$`` at word edges)."""
     return "(?md)" + r"[^\n]*\n[^\n]*".join(f"(?:{r})" for r in regexes)
