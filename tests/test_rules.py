@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tidewire.functions import sql
 from tidewire.functions.text import line_words, token_line
 from tidewire.operators import matching, routing, subsumption
 from tidewire.plans import sizing
@@ -74,6 +75,23 @@ def test_expressions_both_ways(spark, cond, yes, no):
     assert {r.item_id for r in routing.item_matches(items, table, by_vocabulary=True).collect()} == want
 
 
+def test_rules_as_sql_functions(spark):
+    """The function of a rule table satisfies what its columns satisfy."""
+    table = filters(spark, *[cond for cond, _, _ in EXPRESSIONS], "(it's|\\x26)$", "a; (")
+    items = titled(spark, sorted({t for _, yes, no in EXPRESSIONS for t in yes + no} | {"it's", "&", "", "a"}) + [None])
+    rules = compile_rules(table)
+    sql.register_rules(spark, rules)
+    want = {tuple(r) for r in matching.match_by_columns(items, rules).select("item_id", "filter_id").collect()}
+    got = spark.sql("SELECT item_id, explode(hits) FROM (SELECT item_id, satisfied(line) AS hits FROM {items})", items=items)
+    assert {tuple(r) for r in got.collect()} == want and any(f == len(EXPRESSIONS) for _, f in want)
+    sources = spark.createDataFrame([(1, "a", ["x", "o'y"], []), (2, "a", ["z"], [])], FILTERS)
+    sql.register_rules(spark, compile_rules(sources))
+    names = spark.createDataFrame([("x.b",), ("q.o'y",), ("b.z",), ("q",), (None,)], "src string")
+    assert [r[0] for r in spark.sql("SELECT active(src) FROM {names}", names=names).collect()] == [True, True, True, False, False]
+    sql.register_rules(spark, [])
+    assert [tuple(r) for r in spark.sql("SELECT satisfied('a'), active('x')").collect()] == [([], False)]
+
+
 def test_terms(spark):
     rows = rule_terms(filters(spark, " a  b & c ;; d&; ")).collect()
     assert [tuple(r) for r in rows] == [(0, 0, 0, 0, "a"), (0, 0, 0, 1, "b"), (0, 0, 1, 0, "c"), (0, 1, 0, 0, "d")]

@@ -286,4 +286,5 @@ ORACLE["stream_receive_report"] = ORACLE["receive_report"]
 ORACLE["sql_functions"] = f"""WITH {TOKENS} SELECT item_id, key, len(words)::INTEGER AS n_words, {BLANK} AS blank, len({split_trim('body', ',')})::INTEGER AS n_parts,
   {affix('src', ['en', 'src1'])} AS affix, split_part(src, '.', 1) AS agency, strftime(published, '%d.%m %H:%M') AS date_fmt,
   hour(published) >= 20 OR hour(published) < 5 AS muted, 'http://example.org/send?text=' || {escaped('title')} AS url FROM keyed"""
+ORACLE["sql_route"] = ORACLE["route_items"]
 ORACLE["sql_throttle"] = ORACLE["throttle"]

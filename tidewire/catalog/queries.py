@@ -476,6 +476,21 @@ def sql_functions(spark, folder):
         FROM {items}""", items=tables.document_items(spark, folder))
 
 
+@query
+def sql_route(spark, folder):
+    """The routing of ``route_items`` written in SQL; the desk rules are a function there. An exploded array of one has a costly value computed once."""
+    sql.register(spark)
+    sql.register_rules(spark, rule_tables.compile_rules(subs.desk_filters(spark)))
+    return spark.sql("""
+        WITH worded AS (SELECT item_id, array(token_line(text)) AS lines FROM {items} WHERE active(src) AND NOT is_blank(title)),
+          matched AS (SELECT item_id, line, array(satisfied(line)) AS sets FROM worded LATERAL VIEW OUTER explode(lines) AS line),
+          found AS (SELECT item_id, dedup_key(line) AS key, filter_ids FROM matched LATERAL VIEW OUTER explode(sets) AS filter_ids WHERE size(filter_ids) > 0),
+          ranked AS (SELECT item_id, filter_ids, row_number() OVER (PARTITION BY key ORDER BY published, item_id) AS n FROM found JOIN {stamps} USING (item_id))
+        SELECT DISTINCT item_id, pub FROM (SELECT item_id, explode(filter_ids) AS filter_id FROM ranked WHERE n = 1) JOIN {filter_pubs} USING (filter_id)""",
+        items=tables.titled_documents(spark, folder), stamps=tables.document_stamps(spark, folder),
+        filter_pubs=dimensions.filter_pubs(subs.desk_pubs(spark), subs.desk_filters(spark)))
+
+
 @query
 def sql_throttle(spark, folder):
     """The throttle as a table function."""

@@ -4,6 +4,8 @@
 optimised and generated like any other expression. ``throttle`` takes a table by partition and order::
 
     SELECT * FROM throttle(TABLE(pulls) PARTITION BY user_id ORDER BY (ts, id), 'ts', 21600)
+
+``register_rules`` makes a small rule table into two functions, ``satisfied(line)`` and ``active(src)``.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from tidewire.functions.render import DATE_LAYOUT
 from tidewire.functions.text import _BETWEEN, _TRIM, _WORD_END, EMPTY_KEY, SPACE
+from tidewire.plans.patterns import line_regex, stays_in_word, translate
+from tidewire.plans.rules import Rule
 
 #: name -> (parameters, type, body)
 FUNCTIONS = {
@@ -67,3 +71,44 @@ def register(spark: SparkSession) -> None:
     for name, (parameters, kind, body) in FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {kind} RETURN {body}")
     spark.udtf.register("throttle", udtf(Throttle))
+
+
+def literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sequence_test(patterns: list[str]) -> str:
+    """Do consecutive words of the token line ``line`` match the patterns?"""
+    regexes = [translate(p).regex for p in patterns]
+    if all(map(stays_in_word, patterns)):
+        return f"(line <> '' AND line RLIKE {literal(line_regex(regexes))})"
+    words = r"split(line, '\n')"
+    starts = f"(size({words}) - {len(regexes) - 1})"
+    slices = ", ".join(f"slice({words}, {k + 1}, greatest({starts}, 0))" for k in range(len(regexes)))
+    tests = " AND ".join(f"w.`{k}` RLIKE {literal(r)}" for k, r in enumerate(regexes))
+    return f"(line <> '' AND {starts} > 0 AND exists(arrays_zip({slices}), w -> {tests}))"
+
+
+def condition(rule: Rule) -> str:
+    conjs = [" AND ".join(map(sequence_test, dict.fromkeys(map(tuple, seqs)))) for seqs in rule.conjs if seqs]
+    return " OR ".join(f"({conj})" for conj in conjs) or "false"
+
+
+def coverage(rule: Rule) -> str:
+    if not rule.sources or "" in rule.sources:
+        return "true"
+    return " OR ".join(f"startswith(src, {literal(g)}) OR endswith(src, {literal(g)})" for g in dict.fromkeys(rule.sources))
+
+
+def register_rules(spark: SparkSession, rules: list[Rule]) -> None:
+    """Compiled rules (:func:`plans.rules.compile_rules`) as functions of the session.
+
+    ``satisfied(line)`` is the array of the ids of all rules that a token line satisfies, empty for a line without words or a missing one, and
+    ``active(src)`` says whether some rule reads the source. Without rules nothing is satisfied or active.
+    """
+    kind = rules[0].id_type if rules else "int"
+    hits = ", ".join(f"CASE WHEN {condition(rule)} THEN CAST({literal(str(rule.filter_id))} AS {kind}) END" for rule in rules)
+    found = f"array_compact(array({hits}))" if rules else f"CAST(array() AS ARRAY<{kind}>)"
+    read = " OR ".join(coverage(rule) for rule in rules) or "false"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION satisfied(line STRING) RETURNS ARRAY<{kind}> RETURN {found}")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION active(src STRING) RETURNS BOOLEAN RETURN coalesce({read}, false)")
