@@ -46,7 +46,8 @@ def test_columns_are_pruned(spark, folder):
     assert all("props" not in s and "user_id" not in s for s in schemas)
 
 
-def test_matching_stays_in_the_jvm_and_tokenises_once(spark, folder):
-    text = plan(QUERIES["item_matches"](spark, folder)).split("== Physical Plan ==")[1]
+@pytest.mark.parametrize("name", ["item_matches", "sql_route"])
+def test_matching_stays_in_the_jvm_and_tokenises_once(spark, folder, name):
+    text = plan(QUERIES[name](spark, folder)).split("== Physical Plan ==")[1]
     assert "Python" not in text and "Arrow" not in text
     assert text.count("(?=[") == 1

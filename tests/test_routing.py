@@ -128,6 +128,8 @@ def test_config_files(spark, tmp_path):
     assert got == {"main.news": (timedelta(minutes=15), "main"), "other.x": (timedelta(seconds=90), "other")}
     report = {tuple(r) for r in dimensions.config_check(sources, filters, pubs).collect()}
     assert report == {("pubs", "main", "duplicate"), ("sources", "other.x", "no links"), ("sources", "other.x", "no filter")}
+    with pytest.raises(ValueError, match="repeated publisher names: main"):
+        read_config(spark, str(tmp_path), strict=True)
 
 
 def test_config_without_anything(spark):

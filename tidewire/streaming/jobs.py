@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidewire.operators.dedup import dedup_first
+from tidewire.operators.dimensions import refuse_repeats
 from tidewire.operators.routing import category_prefilter, default_layout, matched_items, rendered, routes
 from tidewire.session import durable, tables_freed, temporary_dir
 from tidewire.sources.sinks import Publisher, outbox_publisher
@@ -122,14 +123,6 @@ def start_route(items: DataFrame, filters: DataFrame, pubs: DataFrame, publish:
     return writer.outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
 
 
-def refuse_repeats(pubs: DataFrame, sources: DataFrame | None = None) -> None:
-    """Raise if a name stands twice in a table that items are joined to by name."""
-    for kind, table_ in (("publisher", pubs), ("source", sources)):
-        names = [] if table_ is None else [r["name"] for r in table_.groupBy("name").count().where("count > 1").orderBy("name").limit(5).collect()]
-        if names:
-            raise ValueError(f"repeated {kind} names: {', '.join(map(str, names))}")
-
-
 def start_deliveries(rows: DataFrame, publish: Publisher, checkpoint: str, **trigger) -> StreamingQuery:
     """Hand the micro-batches of a stream of rows to ``publish``."""
     with rocksdb(rows.sparkSession):
