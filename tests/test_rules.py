@@ -132,6 +132,7 @@ def test_subsumed_alternatives(spark):
     table = filters(spark, *[cond for cond, _ in SUBSUMED])
     got = {tuple(r) for r in subsumption.rule_subsumed(table).collect()}
     assert got == {(i, *pair) for i, (_, pairs) in enumerate(SUBSUMED) for pair in pairs}
+    assert {tuple(r) for r in subsumption.rule_subsumed(table.union(table)).collect()} == got
     assert subsumption.rule_subsumed(table.limit(0)).count() == 0
 
 

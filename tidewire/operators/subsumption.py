@@ -32,9 +32,9 @@ def rule_subsumed(filters: DataFrame) -> DataFrame:
 
     A sequence stands wherever a longer one does that includes it, word by word from some place on; an all-of holds wherever another one does that
     has such a sequence for each of its own. Of alternatives that include each other the first one stays. Rules with a bad pattern never
-    match and are left out. All joins are by pattern, within a rule.
+    match and are left out, and a rule that is given twice is one rule. All joins are by pattern, within a rule.
     """
-    terms = durable(usable_terms(rule_terms(filters)).select(*SEQ, "pos", "pattern"), "terms")
+    terms = durable(usable_terms(rule_terms(filters)).select(*SEQ, "pos", "pattern").distinct(), "terms")
     inclusions = durable(pattern_inclusions(translated_patterns(terms)), "inclusions")
     sizes = terms.groupBy(*SEQ).agg(F.count("*").alias("_len"))
     # the places where a word of the one stands for a word of the other
