@@ -197,6 +197,19 @@ def test_vocabulary_without_broadcast(spark, monkeypatch):
     assert want == sorted(map(tuple, routing.item_matches(items, table, by_vocabulary=False).collect()))
 
 
+def test_the_word_index_is_never_copied(spark, monkeypatch):
+    """What grows with the texts is no lookup table, which would be copied once per salt when it is large."""
+    looked_up = []
+    monkeypatch.setattr(matching, "lookup_join", lambda big, small, *a, **k: looked_up.append(small.columns) or sizing.lookup_join(big, small, *a, **k))
+    monkeypatch.setattr(matching, "INDEX_ROWS", 0)
+    monkeypatch.setattr(sizing, "BROADCAST_ROWS", 1)
+    conds = ["the of & a", "a; b c", "*tion$ & the", "z & y", "the of a"]
+    items, table = titled(spark, ["the of a", "b c", "nation the", "b", "z", "a a a", ""] * 20), filters(spark, *conds)
+    want = sorted(map(tuple, routing.item_matches(items, table, by_vocabulary=False).collect()))
+    assert sorted(map(tuple, routing.item_matches(items, table, by_vocabulary=True).collect())) == want
+    assert looked_up and not any("word" in columns for columns in looked_up)
+
+
 def test_repeated_ids_are_matched_by_row(spark):
     """Rows that share an id are never pooled, whatever the number of rules."""
     table = filters(spark, "alpha & beta", "alpha; beta", "alpha beta")

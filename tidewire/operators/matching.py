@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidewire.functions.text import line_words
 from tidewire.plans.patterns import fold, folded_probes, probe_key
 from tidewire.plans.rules import SEQ, Rule, rule_terms, usable_terms
-from tidewire.plans.sizing import is_small, lookup_join
+from tidewire.plans.sizing import frequent_join, is_small, lookup_join
 from tidewire.session import durable
 from tidewire.sources.tables import once
 
@@ -109,13 +109,14 @@ def sequence_hits(rows: DataFrame, seqs: DataFrame, seqs_fit: bool) -> DataFrame
     patterns = durable(seqs.select(F.inline("terms")).groupBy("regex").agg(F.min("probe").alias("probe")).withColumn(
         "pid", F.monotonically_increasing_id()), "patterns")
     hits = durable(word_hits(tokens, patterns, seqs_fit), "hits")
-    index = hits.select("word", "pid")
-    index_fits = is_small(index, INDEX_ROWS)
     parts = durable(rarest_first(seqs, patterns, hits, seqs_fit), "parts")
+    # how often a word stands anywhere goes with each of its rows
+    index = hits.select("word", "pid", "n")
     # a sequence of one pattern stands in a row or not, wherever
     single = parts.filter(F.size("parts") == 1).select("seq_key", F.col("parts")[0]["pid"].alias("pid"))
-    words = lookup_join(index, single, "pid", small_fits=seqs_fit).select("word", "seq_key")
-    found = lookup_join(worded.select("_row", F.explode(F.array_distinct("words")).alias("word")), words, "word", max_rows=INDEX_ROWS).select("_row", "seq_key").distinct()
+    words = durable(lookup_join(index, single.select("pid"), "pid", "left_semi", small_fits=seqs_fit), "single")
+    once_each = frequent_join(worded.select("_row", F.explode(F.array_distinct("words")).alias("word")), words, "word", "n", INDEX_ROWS).select("_row", "pid").distinct()
+    found = lookup_join(once_each, single, "pid", small_fits=seqs_fit).select("_row", "seq_key")
     longer = parts.filter(F.size("parts") > 1).select(
         "seq_key", F.col("parts")[0]["pid"].alias("pid"), F.col("parts")[1].alias("second"), F.slice("parts", 3, F.size("parts")).alias("rest"))
     if longer.isEmpty():
@@ -123,13 +124,15 @@ def sequence_hits(rows: DataFrame, seqs: DataFrame, seqs_fit: bool) -> DataFrame
     # sequences with the same two first parts are one pair
     pair_key = F.struct("pid", "second")
     pairs = longer.select(pair_key.alias("pair")).distinct().select("pair", "pair.pid", "pair.second.offset", F.col("pair.second.pid").alias("second"))
-    starts = lookup_join(index, pairs, "pid", small_fits=seqs_fit).select("word", "pair", "offset", "second")
+    starts = durable(lookup_join(index, pairs.select("pid"), "pid", "left_semi", small_fits=seqs_fit), "starts")
     before = F.concat(F.array(F.lit("")), "words")
     after = F.concat(F.slice("words", 2, F.greatest(F.size("words"), F.lit(1))), F.array(F.lit("")))
     beside = worded.select("_row", F.posexplode(F.arrays_zip(F.col("words").alias("word"), before.alias("before"), after.alias("after"))).alias("pos", "t"))
-    begun = lookup_join(beside.select("_row", "pos", "t.word", "t.before", "t.after"), starts, "word", max_rows=INDEX_ROWS)
-    held = begun.select("_row", "pos", "pair", F.when(F.col("offset") > 0, F.col("after")).otherwise(F.col("before")).alias("word"), F.col("second").alias("pid"))
-    places = durable(lookup_join(held, index, ["word", "pid"], "left_semi", small_fits=index_fits).select("_row", "pos", "pair"), "places")
+    begun = frequent_join(beside.select("_row", "pos", "t.word", "t.before", "t.after"), starts, "word", "n", INDEX_ROWS)
+    held = lookup_join(begun.drop("word"), pairs, "pid", small_fits=seqs_fit).select(
+        "_row", "pos", "pair", F.when(F.col("offset") > 0, F.col("after")).otherwise(F.col("before")).alias("word"), F.col("second").alias("pid"))
+    seconds = durable(lookup_join(index, pairs.select(F.col("second").alias("pid")), "pid", "left_semi", small_fits=seqs_fit), "seconds")
+    places = durable(frequent_join(held, seconds, ["word", "pid"], "n", INDEX_ROWS).select("_row", "pos", "pair"), "places")
     by_pair = longer.select(pair_key.alias("pair"), "seq_key", "rest")
     candidates = lookup_join(places, by_pair, "pair", small_fits=seqs_fit)
     found = found.union(candidates.filter(F.size("rest") == 0).select("_row", "seq_key"))
@@ -137,7 +140,7 @@ def sequence_hits(rows: DataFrame, seqs: DataFrame, seqs_fit: bool) -> DataFrame
     wanted = durable(candidates.select("_row", "pos", "seq_key", F.size("rest").alias("wanted"), F.explode("rest").alias("part")).select(
         "_row", F.col("pos").alias("at"), "seq_key", "wanted", (F.col("pos") + F.col("part.offset")).alias("pos"), "part.pid").filter("pos >= 0"), "wanted")
     there = tokens.join(F.broadcast(wanted) if is_small(wanted) else wanted.hint("merge"), ["_row", "pos"])
-    met = lookup_join(there, index, ["word", "pid"], "left_semi", small_fits=index_fits)
+    met = frequent_join(there, index, ["word", "pid"], "n", INDEX_ROWS)
     whole = met.groupBy("_row", "at", "seq_key", "wanted").agg(F.count("*").alias("met")).filter("met = wanted")
     return found.union(whole.select("_row", "seq_key")).distinct()
 

@@ -32,3 +32,25 @@ def lookup_join(big: DataFrame, small: DataFrame, on: str | list[str], how: str
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in big.columns]), F.lit(SALTS)).cast("int"))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(copies, keys + ["_salt"], how).drop("_salt")
+
+
+def frequent_join(big: DataFrame, index: DataFrame, on: str | list[str], count: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Inner join with an index that grows with ``big``: ``count`` says how many rows of ``big`` have the row's key, one value per key.
+
+    An index of up to ``max_rows`` rows that measures small is broadcast whole. Of a larger one the rows of the most frequent keys
+    are, as many as are always small; the other keys are rare, so their rows are dealt out by the key and no task gets many. Nothing is copied.
+    """
+    if is_small(index, max_rows):
+        return big.join(F.broadcast(index.drop(count)), on)
+    # sizes by powers of two: the lowest power from which on the rows are few
+    power = F.floor(F.log2(F.greatest(F.col(count), F.lit(1))))
+    sizes = index.groupBy(power.alias("power")).agg(F.count("*").alias("n"), F.sum(F.length(F.to_json(F.struct("*")))).alias("size")).collect()
+    rows, size, least = 0, 0, 64
+    for found in sorted(sizes, key=lambda r: -r.power):
+        rows, size = rows + found.n, size + found["size"]
+        if rows > BROADCAST_ROWS or size > BROADCAST_BYTES:
+            break
+        least = found.power
+    frequent = index.filter(power >= least).drop(count)
+    rest = big.join(F.broadcast(frequent.select(on).distinct()), on, "left_anti")
+    return big.join(F.broadcast(frequent), on).unionByName(rest.join(index.filter(power < least).drop(count).hint("merge"), on))
