@@ -111,6 +111,31 @@ def test_lookup_join_both_ways(spark):
     assert sizing.is_small(small) and not sizing.is_small(small, max_rows=2) and not sizing.is_small(small, max_bytes=10)
 
 
+def test_frequent_join(spark, monkeypatch):
+    """Frequent keys by broadcast, rare ones by a shuffle, each row once."""
+    big = spark.range(1000).select("id", F.when(F.col("id") < 700, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 40)).alias("k"))
+    index = spark.createDataFrame([("hot", 1, 700), ("hot", 2, 700), ("k1", 3, 7), ("k2", 4, 7), ("none", 5, 1)], "k string, v int, n long")
+    want = Counter(map(tuple, big.join(index, "k").select("id", "v").collect()))
+    for rows in (0, 1, 2, 3, 100):
+        monkeypatch.setattr(sizing, "BROADCAST_ROWS", rows)
+        joined = sizing.frequent_join(big, index, "k", "n", rows)
+        assert joined.columns == ["k", "id", "v"]
+        assert Counter(map(tuple, joined.select("id", "v").collect())) == want
+
+
+def test_publishers_meet_rows_by_classes(spark, monkeypatch):
+    """No table of publishers is made for every set of filters that rows satisfy, and a row has each publisher once."""
+    kept = spark.createDataFrame([(1, [1, 2, 3]), (1, [1, 2, 3]), (2, [2]), (3, [3, 1]), (4, [4]), (5, [])], "item_id long, filter_ids array<int>")
+    filters = spark.createDataFrame([(1, "x", [], ["p", "q"]), (2, "x", [], ["q", "r"]), (3, "x", [], []), (4, "x", [], ["nobody"])], FILTERS)
+    pubs = spark.createDataFrame([(name, "u%s", "") for name in ("p", "q", "r", "s")], "name string, url_format string, template string")
+    want = Counter((r.item_id, r.pub) for r in routing.routes(kept, filters, pubs).collect())
+    looked_up = []
+    monkeypatch.setattr(routing, "MAX_PLAN_PAIRS", 1)
+    monkeypatch.setattr(routing, "lookup_join", lambda big, small, *a, **k: looked_up.append(small.columns) or sizing.lookup_join(big, small, *a, **k))
+    assert Counter((r.item_id, r.pub) for r in routing.routes(kept, filters, pubs).collect()) == want and want[1, "q"] == 2
+    assert not any("filter_ids" in columns for columns in looked_up)
+
+
 def test_unknown_sources(spark):
     items = spark.createDataFrame([(1, "a", "t", "l", [], START), (2, "b", "t", "l", [], START)], ITEMS)
     sources = spark.createDataFrame([("a",)], "name string")

@@ -130,7 +130,7 @@ def routes(kept: DataFrame, filters: DataFrame, pubs: DataFrame) -> DataFrame:
     """Survivors to one row per item and publisher, the union over the satisfied filters.
 
     While the resolved publishers are few they go into the plan as a map and no shuffle is
-    needed; otherwise they are looked up per distinct set of filters. Rows that repeat an item stay rows.
+    needed; otherwise rows meet publishers by the filters that name both, and nothing is compared across rows. Rows that repeat an item stay rows.
     """
     pairs = filter_pubs(pubs, filters)
     few = pairs.limit(MAX_PLAN_PAIRS + 1).collect()
@@ -145,10 +145,15 @@ def routes(kept: DataFrame, filters: DataFrame, pubs: DataFrame) -> DataFrame:
         none = F.array().cast("array<string>")
         union = F.array_distinct(F.flatten(F.transform("filter_ids", lambda f: F.coalesce(F.try_element_at(by_filter, f), none))))
         return kept.select("*", F.explode(union).alias("pub")).drop("filter_ids")
-    kept = durable(kept)
-    each = kept.select("filter_ids").distinct().select("filter_ids", F.explode("filter_ids").alias("filter_id"))
-    union = lookup_join(each, pairs, "filter_id").select("filter_ids", "pub").distinct()
-    return lookup_join(kept, union, "filter_ids").drop("filter_ids")
+    # publishers that the same filters name are one class, so a row's publishers are whole classes, each given by the first of its filters that the row satisfies
+    named = pairs.groupBy("pub").agg(F.array_sort(F.collect_set("filter_id")).alias("_named"))
+    named = durable(named, "named")
+    classes = durable(named.select("_named").distinct().withColumn("_class", F.monotonically_increasing_id()), "classes")
+    members = named.join(classes, "_named").select("_class", "pub")
+    by_filter = classes.select(F.explode("_named").alias("_filter"), "_named", "_class")
+    each = lookup_join(kept.select("*", F.explode("filter_ids").alias("_filter")), by_filter, "_filter")
+    given = each.filter(F.col("_filter") == F.array_min(F.array_intersect("_named", "filter_ids"))).drop("_filter", "_named", "filter_ids")
+    return lookup_join(given, members, "_class").drop("_class")
 
 
 def route_items(items: DataFrame, filters: DataFrame, pubs: DataFrame, scoped: bool = False, details: DataFrame | None = None,
