@@ -927,6 +927,17 @@ def test_products_equal_dense_ones():
         assert (turned.starts == np.concatenate([[0], np.cumsum(a.sum(axis=0))])).all() and (turned.columns == np.nonzero(a.T)[1]).all()
 
 
+def test_common_ends_are_found_by_search(monkeypatch):
+    draw = np.random.default_rng(5)
+    for n in (0, 1, 3, 40):
+        for _ in range(20):
+            a, b = (np.sort(draw.integers(0, 50, draw.integers(0, n + 1))) for _ in range(2))
+            assert alignment.in_both(a, b).tolist() == sorted(set(a.tolist()) & set(b.tolist()))
+    monkeypatch.setattr(np, "intersect1d", None)
+    sides = alignment.byte_level(TOKENIZER), alignment.pieces_of(TOKEN_PIECES)
+    assert len(alignment.align(["one two", "", "three"], *sides).group_text) >= 2
+
+
 def test_pipeline_stages(spark, folder, odd, none):
     kept = {"quality rules", "n-gram Jaccard join"}
     for start in (odd, none):

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -175,16 +176,24 @@ def tokens(texts: list[str], a: Tokenizer, b: Tokenizer) -> tuple[Side, Side]:
     sides = []
     for x, ids in zip((a, b), found, strict=True):
         counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for one in ids for i in one), np.int64, int(counts.sum()))
+        flat = np.fromiter(itertools.chain.from_iterable(ids), np.int64, int(counts.sum()))
         sizes = x.sizes[flat]
         sides.append(Side(flat, np.cumsum(sizes), sizes, np.repeat(np.arange(len(ids)), counts)))
     return sides[0], sides[1]
 
 
+def in_both(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The numbers of both ascending arrays, each once: found by search, there is nothing to hash or sort."""
+    if not len(a) or not len(b):
+        return a[:0]
+    met = a[b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a]
+    return met[np.append(True, met[1:] != met[:-1])] if len(met) else met
+
+
 def align(texts: list[str], a: Tokenizer, b: Tokenizer) -> Aligned:
     """Groups and overlap links of a slice of texts."""
     left, right = tokens(texts, a, b)
-    common_ends = np.intersect1d(left.ends, right.ends)
+    common_ends = in_both(left.ends, right.ends)
     for side in (left, right):
         side.group = np.searchsorted(common_ends, side.ends)
     group_text = left.text[np.searchsorted(left.ends, common_ends)] if len(common_ends) else np.zeros(0, np.int64)
