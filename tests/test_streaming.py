@@ -241,3 +241,67 @@ def test_a_killed_task_leaves_no_partial_output(spark, tmp_path):
     assert not [p for p in tmp_path.rglob("part-*.parquet") if "_temporary" not in str(p)]
     sinks.sending_publisher(str(tmp_path), lambda *row: None)(rows, 0)
     assert spark.read.parquet(str(tmp_path)).count() == 8
+
+
+class FakeState:
+    """A processor's state by plain dictionaries, counting the calls."""
+
+    def __init__(self):
+        self.calls, self.timers = 0, set()
+
+    def getMapState(self, name, *schemas):
+        state, held = self, {}
+
+        class Map:
+            def __getattr__(self, call):
+                state.calls += 1
+                return {"containsKey": held.__contains__, "getValue": held.get, "updateValue": held.__setitem__, "removeKey": held.pop,
+                        "keys": lambda: list(held), "exists": lambda: bool(held)}[call]
+
+        return Map()
+
+    def getValueState(self, name, schema):
+        state, held = self, []
+
+        class Value:
+            def __getattr__(self, call):
+                state.calls += 1
+                return {"exists": lambda: bool(held), "get": lambda: held[-1], "update": held.append, "clear": held.clear}[call]
+
+        return Value()
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+
+@pytest.mark.parametrize("loose", [0, 3, 60, 10_000])
+def test_a_batch_costs_a_key_few_calls(monkeypatch, loose):
+    """Rows of many hours are judged as in the batch operator, and the calls to the state don't grow with the hours while rows are few."""
+    import random
+
+    import pandas as pd
+
+    monkeypatch.setattr(ordered, "LOOSE", loose, raising=False)
+    draw, hour = random.Random(3), 3_600_000
+    rows = sorted((draw.randrange(300 * hour * 1000), i) for i in range(400))
+    want, due = [], 0
+    for at, i in rows:
+        if at >= due:
+            want.append(str(i))
+            due = at + 6 * hour * 1000
+    state, processor, got = FakeState(), ordered.OrderedCooldown(hour), []
+    processor.init(state)
+    key = ("k", 6 * hour * 1000)
+    for watermark, low, high in ((0, 0, 150), (100, 150, 301), (290, 301, 301), (400, 301, 301)):
+        part = [(at, i) for at, i in rows if low * hour * 1000 <= at < high * hour * 1000]
+        draw.shuffle(part)
+        if part:
+            frame = pd.DataFrame({"at": [a for a, _ in part], "tie": [i for _, i in part], "row": [str(i) for _, i in part], "late": False})
+            got += [r for f in processor.handleInputRows(key, iter([frame[:90], frame[90:]]), None) for r in f["row"]]
+        now = type("Now", (), {"getCurrentWatermarkInMs": lambda self, at=watermark: at * hour})()
+        for timer in sorted(t for t in state.timers if t <= watermark * hour):
+            state.timers.discard(timer)
+            got += [r for f in processor.handleExpiredTimer(key, now, None) for r in f["row"]]
+    assert got == want and not state.timers
+    assert loose < 10_000 or state.calls < 60

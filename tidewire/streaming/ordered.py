@@ -9,6 +9,7 @@ A row waits as JSON beside its time, so every column type comes out as it went i
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 from datetime import timedelta
 
@@ -28,6 +29,8 @@ HOUR = 3_600_000
 FORMATS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 WAITING = T.StructType([T.StructField("at", T.ArrayType(T.LongType())), T.StructField("tie", T.ArrayType(T.LongType())), T.StructField("row", T.ArrayType(T.StringType()))])
 NO_TIE = -(1 << 63)
+# Waiting rows of a key that are kept as one value.
+LOOSE = 10_000
 
 
 def frame(waiting: tuple | None) -> pd.DataFrame:
@@ -47,8 +50,9 @@ def in_order(rows: pd.DataFrame) -> pd.DataFrame:
 class OrderedCooldown(StatefulProcessor):
     """Pass a row when the last passed row of its key is a cooldown ago, which is the last part of the key, in microseconds.
 
-    Rows wait in buckets of time, so that one that arrives touches its own bucket only, and a bucket is judged and freed
-    when the watermark has passed its end.
+    The waiting rows of a key are one value with one timer while they are few: a batch costs a key a few calls to its state, however many hours its
+    rows are of. More than ``LOOSE`` rows go to buckets of time, so that of a crowded key one that arrives touches its own bucket only, and a
+    bucket is judged and freed when the watermark has passed its end.
     """
 
     def __init__(self, bucket: int):
@@ -56,43 +60,75 @@ class OrderedCooldown(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
+        self.loose = handle.getValueState("loose", WAITING)
         self.held = handle.getMapState("held", T.StructType([T.StructField("bucket", T.LongType())]), WAITING)
         self.due = handle.getValueState("due", T.StructType([T.StructField("at", T.LongType())]))
         self.undated = handle.getValueState("undated", T.StructType([T.StructField("seen", T.BooleanType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        known = self.loose.exists()
+        loose = self.waiting_loose() if known else []
         for batch in rows:
-            timeless = batch[batch["late"]]
-            if len(timeless) and not self.undated.exists():
-                self.undated.update((True,))
-                yield in_order(timeless)[["row"]].head(1)
-            dated = batch[~batch["late"]]
-            for bucket, part in dated.groupby(dated["at"] // (1000 * self.bucket)):
-                name = (int(bucket),)
-                known = self.held.containsKey(name)
-                if not known:
-                    self.handle.registerTimer((int(bucket) + 1) * self.bucket)
-                self.held.updateValue(name, waiting(pd.concat([frame(self.held.getValue(name) if known else None), part[["at", "tie", "row"]]])))
+            if batch["late"].any():
+                timeless = batch[batch["late"]]
+                if not self.undated.exists():
+                    self.undated.update((True,))
+                    yield in_order(timeless)[["row"]].head(1)
+                batch = batch[~batch["late"]]
+            loose += zip(batch["at"].tolist(), batch["tie"].tolist(), batch["row"].tolist())
+            if len(loose) > LOOSE:
+                self.shelve(loose)
+                loose = []
+        self.keep(loose, known)
+
+    def waiting_loose(self) -> list[tuple]:
+        return list(zip(*self.loose.get(), strict=True))
+
+    def keep(self, loose: list[tuple], known: bool) -> None:
+        """Few rows as one value, which is looked at when the first of their buckets has passed."""
+        if loose:
+            self.loose.update(tuple(map(list, zip(*loose, strict=True))))
+            self.handle.registerTimer((min(loose)[0] // (1000 * self.bucket) + 1) * self.bucket)
+        elif known:
+            self.loose.clear()
+
+    def shelve(self, rows: list[tuple]) -> None:
+        parts = pd.DataFrame(rows, columns=["at", "tie", "row"])
+        for bucket, part in parts.groupby(parts["at"] // (1000 * self.bucket)):
+            name = (int(bucket),)
+            known = self.held.containsKey(name)
+            if not known:
+                self.handle.registerTimer((int(bucket) + 1) * self.bucket)
+            self.held.updateValue(name, waiting(pd.concat([frame(self.held.getValue(name) if known else None), part])))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         # timers may come in any order, buckets may not
-        passed = timerValues.getCurrentWatermarkInMs()
-        for (bucket,) in sorted(self.held.keys()):
-            if (bucket + 1) * self.bucket <= passed:
-                yield self.judged(key, in_order(frame(self.held.getValue((bucket,)))))
-                self.held.removeKey((bucket,))
-
-    def judged(self, key, rows: pd.DataFrame) -> pd.DataFrame:
-        times = rows["at"].to_numpy()
-        at = int(np.searchsorted(times, self.due.get()[0])) if self.due.exists() else 0
+        passed = timerValues.getCurrentWatermarkInMs() // self.bucket
+        loose = self.waiting_loose() if self.loose.exists() else []
+        ready = sorted(r for r in loose if r[0] // (1000 * self.bucket) < passed)
+        if ready:
+            self.keep([r for r in loose if r[0] // (1000 * self.bucket) >= passed], True)
+        crowded = sorted(b for (b,) in self.held.keys() if b < passed) if self.held.exists() else []
+        for bucket in crowded:
+            until = bisect.bisect_left(ready, ((bucket + 1) * 1000 * self.bucket,))
+            yield self.judged(key, sorted([*ready[:until], *zip(*self.held.getValue((bucket,)), strict=True)]))
+            self.held.removeKey((bucket,))
+            ready = ready[until:]
+        if ready:
+            yield self.judged(key, ready)
+
+    def judged(self, key, rows: list[tuple]) -> pd.DataFrame:
+        """Those of the rows, which are in order, that pass."""
+        times = [r[0] for r in rows]
+        at = bisect.bisect_left(times, self.due.get()[0]) if self.due.exists() else 0
         kept, due = [], None
         while at < len(times):
-            kept.append(at)
-            due = int(times[at]) + int(key[-1])
-            at = int(np.searchsorted(times, due))
+            kept.append(rows[at][2])
+            due = times[at] + int(key[-1])
+            at = bisect.bisect_left(times, due, at)
         if due is not None:
             self.due.update((due,))
-        return rows.iloc[kept][["row"]]
+        return pd.DataFrame({"row": np.array(kept, object)})
 
     def close(self) -> None:
         pass
