@@ -241,6 +241,36 @@ def test_no_row_of_a_place_carries_a_text(spark, monkeypatch):
             assert "RLIKE" not in df._jdf.queryExecution().optimizedPlan().toString()
 
 
+LONG_CONDS = ["a b c d e", "d e; x a", "*tion$ of the & z", "q b c; c d e q", "nothing here", "b", "e a b & of", "the* a b c d e a b", "Ж a; a ж$"]
+LONG_TEXTS = ["a b c d e a b", "x a b c d e q b c", "the nation of the z", "z a action of these", "e a b of b c d e", "", "q", "a b c d", "thea a b c d e a b", "Ж a Жж a ж"]
+
+
+@pytest.mark.parametrize("rows,words,fits", [(0, 1, True), (30, 3, True), (30, 3, False)])
+def test_rare_words_and_pieces_of_texts(spark, monkeypatch, rows, words, fits):
+    """Frequent words by the index, rare ones on the spot, sequences across the pieces a text is cut into: the same rows."""
+    items, table = titled(spark, [" ".join(LONG_TEXTS[i:] + [str(i)]) for i in range(10)] + LONG_TEXTS * 2), filters(spark, *LONG_CONDS)
+    want = sorted(map(tuple, routing.item_matches(items, table, by_vocabulary=False).collect()))
+    monkeypatch.setattr(matching, "INDEX_ROWS", rows)
+    monkeypatch.setattr(matching, "BLOCK_WORDS", words)
+    if not fits:
+        monkeypatch.setattr(matching, "is_small", lambda *a, **k: False)
+        monkeypatch.setattr(sizing, "is_small", lambda *a, **k: False)
+    assert sorted(map(tuple, routing.item_matches(items, table, by_vocabulary=True).collect())) == want
+
+
+def test_words_are_never_dealt_out(spark, monkeypatch):
+    """While the rules are small, no table of words is shuffled, however many words there are: places are looked at where the text is."""
+    written = []
+    monkeypatch.setattr(matching, "durable", lambda df, name="step": written.append((name, df)) or sizing_durable(df, name))
+    monkeypatch.setattr(matching, "INDEX_ROWS", 0)
+    monkeypatch.setattr(sizing, "BROADCAST_ROWS", 1)
+    items = titled(spark, LONG_TEXTS * 5)
+    found = routing.item_matches(items, filters(spark, *LONG_CONDS), by_vocabulary=True)
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in [found, *(df for name, df in written if name in ("places", "wanted"))]]
+    shuffled = [line for plan in plans for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(plans) == 3 and shuffled and not any("word#" in line or "pos#" in line for line in shuffled)
+
+
 def test_too_many_rules_do_not_become_columns(spark):
     table = spark.range(100).select(F.col("id").cast("int").alias("filter_id"), F.lit("a").alias("cond"),
                                     F.array().cast("array<string>").alias("sources"), F.array().cast("array<string>").alias("pubs"))

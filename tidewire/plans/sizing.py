@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
@@ -34,6 +34,22 @@ def lookup_join(big: DataFrame, small: DataFrame, on: str | list[str], how: str
     return salted.join(copies, keys + ["_salt"], how).drop("_salt")
 
 
+def power_of(count: str) -> Column:
+    """Counts by powers of two."""
+    return F.floor(F.log2(F.greatest(F.col(count), F.lit(1))))
+
+
+def frequent_power(index: DataFrame, count: str, max_rows: int) -> int:
+    """The lowest power of two of ``count`` from which on the rows measure small; 0 if all of them do."""
+    sizes = index.groupBy(power_of(count).alias("power")).agg(F.count("*").alias("n"), F.sum(F.length(F.to_json(F.struct("*")))).alias("size")).collect()
+    rows, size = 0, 0
+    for found in sorted(sizes, key=lambda r: -r.power):
+        rows, size = rows + found.n, size + found["size"]
+        if rows > max_rows or size > BROADCAST_BYTES:
+            return found.power + 1
+    return 0
+
+
 def frequent_join(big: DataFrame, index: DataFrame, on: str | list[str], count: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Inner join with an index that grows with ``big``: ``count`` says how many rows of ``big`` have the row's key, one value per key.
 
@@ -42,15 +58,7 @@ def frequent_join(big: DataFrame, index: DataFrame, on: str | list[str], count:
     """
     if is_small(index, max_rows):
         return big.join(F.broadcast(index.drop(count)), on)
-    # sizes by powers of two: the lowest power from which on the rows are few
-    power = F.floor(F.log2(F.greatest(F.col(count), F.lit(1))))
-    sizes = index.groupBy(power.alias("power")).agg(F.count("*").alias("n"), F.sum(F.length(F.to_json(F.struct("*")))).alias("size")).collect()
-    rows, size, least = 0, 0, 64
-    for found in sorted(sizes, key=lambda r: -r.power):
-        rows, size = rows + found.n, size + found["size"]
-        if rows > BROADCAST_ROWS or size > BROADCAST_BYTES:
-            break
-        least = found.power
+    power, least = power_of(count), frequent_power(index, count, BROADCAST_ROWS)
     frequent = index.filter(power >= least).drop(count)
     rest = big.join(F.broadcast(frequent.select(on).distinct()), on, "left_anti")
     return big.join(F.broadcast(frequent), on).unionByName(rest.join(index.filter(power < least).drop(count).hint("merge"), on))
